@@ -36,7 +36,8 @@ def term_matches(entries: DataFrame) -> DataFrame:
     )
     terms = D.entry_terms(F.col("kanji"), F.col("kana"))
     return (
-        entries.select(F.explode(terms).alias("term"), match.alias("match"))
+        entries.select(terms.alias("terms"), match.alias("match"))
+        .select(F.explode("terms").alias("term"), "match")
         .groupBy("term")
         .agg(F.array_sort(F.collect_list("match")).alias("matches"))
     )

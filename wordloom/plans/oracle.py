@@ -315,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "hiragana": f"SELECT doc_id AS source_id, {_hira(_kana('text'))} AS text FROM documents",
         "unicode_trimmed": f"""
-            SELECT source_id, piece_no, {_trim('piece')} AS text, length(piece) + 6 AS padded_chars
+            SELECT source_id, piece_no, {_trim('piece')} AS text, length(piece) + 7 AS padded_chars
             FROM (SELECT doc_id AS source_id, unnest(ps) AS piece,
                     unnest(range(len(ps)))::BIGINT AS piece_no
                   FROM (SELECT doc_id, regexp_extract_all(text, {PIECE}) AS ps FROM documents))""",
