@@ -116,30 +116,33 @@ def tokenize_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     keys = [c for c in sentences.columns if c != "sentence"]
     found = F.regexp_extract_all(F.col("sentence"), F.lit(LEXICON_RUN), F.lit(0))
     runs = sentences.select(*keys, F.posexplode(found).alias("run_idx", "run"))
-    starts = runs.select(
-        *keys,
-        "run_idx",
-        "run",
-        F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"),
-    ).withColumn("head", F.substring(F.col("run"), F.col("start"), F.lit(1)))
-    spans = (
-        starts.join(broadcast_if_small(lengths), "head", "left")
-        .select(*keys, "run_idx", "run", "start", F.explode_outer("lens").alias("len"))
-        .withColumn("term", F.substring(F.col("run"), F.col("start"), F.col("len")))
+    starts = (
+        runs.select("*", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
+        .withColumn("head", F.substring(F.col("run"), F.col("start"), F.lit(1)))
+        .join(broadcast_if_small(lengths), "head", "left")
     )
-    hits = spans.join(
-        broadcast_if_small(terms.withColumn("hit", F.lit(True))), "term", "left"
-    ).select(
+    # Only the first position carries the run, the others the text that a term could cover.
+    spans = starts.select(
         *keys,
         "run_idx",
-        "run",
-        F.when(
-            F.col("hit") & (F.length("term") == F.col("len")),
-            F.struct("start", (-F.col("len")).alias("neg_len"), "features"),
-        ).alias("hit"),
+        "start",
+        F.when(F.col("start") == 1, F.col("run")).alias("run"),
+        F.substring(F.col("run"), F.col("start"), F.array_max("lens")).alias("ahead"),
+        "lens",
+    ).select("*", F.explode_outer("lens").alias("len"))
+    found = spans.withColumn(
+        "term", F.substring(F.col("ahead"), F.lit(1), F.col("len"))
+    ).join(broadcast_if_small(terms.withColumn("known", F.lit(True))), "term", "left")
+    hit = F.when(
+        F.col("known") & (F.length("term") == F.col("len")),
+        F.struct("start", (-F.col("len")).alias("neg_len"), "features"),
     )
-    per_run = hits.groupBy(*keys, "run_idx", "run").agg(
-        F.array_sort(F.collect_list("hit")).alias("hits")
+    # Misses go before the shuffle; the first position stays, so no run is lost.
+    per_run = (
+        found.select(*keys, "run_idx", "start", "run", hit.alias("hit"))
+        .where(F.col("hit").isNotNull() | (F.col("start") == 1))
+        .groupBy(*keys, "run_idx")
+        .agg(F.max("run").alias("run"), F.array_sort(F.collect_list("hit")).alias("hits"))
     )
     pieces = F.flatten(_longest_from_left(F.col("run"), F.col("hits")))
     tokens = per_run.select(*keys, "run_idx", F.posexplode(pieces).alias("at", "t"))
