@@ -70,7 +70,7 @@ def test_lookup_is_two_equi_joins(spark, as_laid_out):
 
 
 def test_a_large_dictionary_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(dictionary, "broadcast_if_small", lambda df: layout.broadcast_if_small(df, 10))
+    monkeypatch.setattr(dictionary, "is_small", lambda df: layout.is_small(df, 10))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         words = corpus.corpus_words(spark, FOLDER).select("word", "lemma")
@@ -78,11 +78,14 @@ def test_a_large_dictionary_is_not_broadcast(spark, monkeypatch):
         df = dictionary.lookup_rows(words, matches)
         assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
         small = df.agg(F.count(F.lit(1)), F.sum("match_no")).first()
+        todo = words.withColumn("pronunciation", F.lit("")).withColumn("definitions", F.lit(""))
+        split = dictionary.backfill_definitions(todo, matches).where("updated").count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     monkeypatch.undo()
     again = dictionary.lookup_rows(words, matches).agg(F.count(F.lit(1)), F.sum("match_no")).first()
     assert small == again
+    assert dictionary.backfill_definitions(todo, matches).where("updated").count() == split > 0
 
 
 WRITES = {"dict_load", "sink_roundtrip", "stream_ingest", "stream_running_counts"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import definitions as D
 from wordloom.functions.text import empty_if_null, to_hiragana
-from wordloom.operators.layout import broadcast_if_small
+from wordloom.operators.layout import broadcast_if, is_small
 
 _MATCH = (
     "array<struct<entry_id:string,readings:array<string>,primary_reading:string,"
@@ -43,26 +43,36 @@ def term_matches(entries: DataFrame) -> DataFrame:
     )
 
 
-def lookup(words: DataFrame, matches: DataFrame, match_reading: bool = False) -> DataFrame:
+def lookup(
+    words: DataFrame,
+    matches: DataFrame,
+    match_reading: bool = False,
+    where: Column | None = None,
+    small: bool | None = None,
+) -> DataFrame:
     """Add ``matches``: the entries found under the word or under the lemma.
 
     The OR is two equi-joins against a table with one row per term, united inside the
     row, so words are neither multiplied nor grouped again. With ``match_reading``
     an entry must also have the pronunciation among its kana, unless the
     pronunciation is empty. ``words`` needs ``word``, may have ``lemma`` and, for
-    ``match_reading``, ``pronunciation``.
+    ``match_reading``, ``pronunciation``. Rows that fail ``where`` are not looked up.
+    ``small`` says whether to broadcast the dictionary where that is known.
     """
-    side = broadcast_if_small(matches)
+    side = broadcast_if(is_small(matches) if small is None else small, matches)
+    word, lemma = F.col("word"), F.when(F.col("lemma") != F.col("word"), F.col("lemma"))
+    if where is not None:
+        word, lemma = F.when(where, word), F.when(where, lemma)
     found = words.join(
         side.select(F.col("term").alias("_term"), F.col("matches").alias("_by_word")),
-        F.col("word") == F.col("_term"),
+        word == F.col("_term"),
         "left",
     ).drop("_term")
     hits: Column = F.coalesce(F.col("_by_word"), F.array().cast(_MATCH))
     if "lemma" in words.columns:
         found = found.join(
             side.select(F.col("term").alias("_term"), F.col("matches").alias("_by_lemma")),
-            F.when(F.col("lemma") != F.col("word"), F.col("lemma")) == F.col("_term"),
+            lemma == F.col("_term"),
             "left",
         ).drop("_term")
         by_lemma = F.coalesce(F.col("_by_lemma"), F.array().cast(_MATCH))
@@ -123,15 +133,20 @@ def backfill_definitions(words: DataFrame, matches: DataFrame) -> DataFrame:
     """Fill ``definitions`` (JSON text) where they are NULL or ``''``; add ``updated``.
 
     The lookup goes by word or lemma and demands the reading. Words that have definitions
-    are passed by and take no part in the join.
+    take no part in the join: with a broadcast dictionary they pass it by in the same
+    scan, else they are kept out of its shuffle, where they would all meet under NULL.
     """
     missing = F.coalesce(F.col("definitions"), F.lit("")) == ""
-    done = words.where(~missing).withColumn("updated", F.lit(False))
-    found = lookup(words.where(missing).drop("definitions"), matches, match_reading=True)
+    if is_small(matches):
+        return _filled(lookup(words, matches, True, where=missing, small=True), missing)
+    filled = _filled(lookup(words.where(missing), matches, True, small=False), F.lit(True))
+    return words.where(~missing).withColumn("updated", F.lit(False)).unionByName(filled)
+
+
+def _filled(found: DataFrame, missing: Column) -> DataFrame:
     text = D.definitions_json(D.definitions_of(F.col("matches")))
-    filled = (
-        found.withColumn("definitions", text)
+    return (
+        found.withColumn("updated", missing & (F.size("matches") > 0))
+        .withColumn("definitions", F.when(missing, text).otherwise(F.col("definitions")))
         .drop("matches")
-        .withColumn("updated", F.col("definitions") != "")
     )
-    return done.unionByName(filled)

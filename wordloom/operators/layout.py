@@ -37,13 +37,20 @@ def measured_bytes(df: DataFrame) -> int:
     return df.select(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only for a side that was measured to be small.
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows may be sent to every executor.
 
     The optimizer's estimate is too low after an explode, so it may rule a broadcast
-    out but not in: a side it finds small enough is measured. A larger side gets no
-    hint and is joined by shuffle, where AQE splits skewed partitions.
+    out but not in: a side it finds small enough is measured.
     """
-    if estimated_bytes(df) > limit or measured_bytes(df) > limit:
-        return df
-    return F.broadcast(df)
+    return estimated_bytes(df) <= limit and measured_bytes(df) <= limit
+
+
+def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
+    """Without a hint a side is joined by shuffle, where AQE splits skewed partitions."""
+    return F.broadcast(df) if small else df
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only for a side that was measured to be small."""
+    return broadcast_if(is_small(df, limit), df)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from wordloom.functions import morph
 from wordloom.functions.text import WHITE_SPACE, is_blank
-from wordloom.operators.layout import broadcast_if_small
+from wordloom.operators.layout import broadcast_if, is_small
 from wordloom.schemas import MORPHEME
 
 #: A word, a number, or one other character that is not white space.
@@ -98,28 +98,37 @@ def tokenize_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     terms becomes tokens of its own, cut where the script changes, with
     ``in_lexicon`` false.
 
-    A position only tries the lengths of terms that begin with its character; that
-    table has at most (characters x lengths) rows and needs no cap on term length.
+    A position only tries the lengths of the terms that begin with its two characters,
+    and one character if that is a term, so there is no cap on the length of terms.
     """
     terms = (
         lexicon.where(F.col("term").rlike(LEXICON_TERM))
         .groupBy("term")
         .agg(F.min("features").alias("features"))
     )
-    lengths = (
-        terms.select(
-            F.substring("term", 1, 1).alias("head"), F.length("term").alias("len")
-        )
-        .groupBy("head")
-        .agg(F.collect_set("len").alias("lens"))
+    small = is_small(terms)  # the tables below are made from it and no larger
+    sized = terms.withColumn("len", F.length("term"))
+    longer = (
+        sized.where("len > 1")
+        .groupBy(F.substring("term", 1, 2).alias("head2"))
+        .agg(F.collect_set("len").alias("lens2"))
+    )
+    single = sized.where("len = 1").select(
+        F.col("term").alias("head1"), F.array("len").alias("lens1")
     )
     keys = [c for c in sentences.columns if c != "sentence"]
     found = F.regexp_extract_all(F.col("sentence"), F.lit(LEXICON_RUN), F.lit(0))
     runs = sentences.select(*keys, F.posexplode(found).alias("run_idx", "run"))
+    no_lens = F.array().cast("array<int>")
     starts = (
         runs.select("*", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
-        .withColumn("head", F.substring(F.col("run"), F.col("start"), F.lit(1)))
-        .join(broadcast_if_small(lengths), "head", "left")
+        .withColumn("head1", F.substring(F.col("run"), F.col("start"), F.lit(1)))
+        .withColumn("head2", F.substring(F.col("run"), F.col("start"), F.lit(2)))
+        .join(broadcast_if(small, longer), "head2", "left")
+        .join(broadcast_if(small, single), "head1", "left")
+        .withColumn(
+            "lens", F.concat(F.coalesce("lens1", no_lens), F.coalesce("lens2", no_lens))
+        )
     )
     # Only the first position carries the run, the others the text that a term could cover.
     spans = starts.select(
@@ -132,10 +141,10 @@ def tokenize_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     ).select("*", F.explode_outer("lens").alias("len"))
     found = spans.withColumn(
         "term", F.substring(F.col("ahead"), F.lit(1), F.col("len"))
-    ).join(broadcast_if_small(terms.withColumn("known", F.lit(True))), "term", "left")
+    ).join(broadcast_if(small, terms.select("term", F.lit(True).alias("known"))), "term", "left")
     hit = F.when(
         F.col("known") & (F.length("term") == F.col("len")),
-        F.struct("start", (-F.col("len")).alias("neg_len"), "features"),
+        F.struct("start", (-F.col("len")).alias("neg_len")),
     )
     # Misses go before the shuffle; the first position stays, so no run is lost.
     per_run = (
@@ -145,38 +154,33 @@ def tokenize_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
         .agg(F.max("run").alias("run"), F.array_sort(F.collect_list("hit")).alias("hits"))
     )
     pieces = F.flatten(_longest_from_left(F.col("run"), F.col("hits")))
-    tokens = per_run.select(*keys, "run_idx", F.posexplode(pieces).alias("at", "t"))
-    return project_features(
-        tokens.select(
-            *keys,
-            (F.col("run_idx").cast("bigint") * F.lit(1 << 32) + F.col("at")).alias("token_idx"),
-            "t.surface",
-            "t.in_lexicon",
-            "t.features",
-        )
+    tokens = per_run.select(*keys, "run_idx", F.posexplode(pieces).alias("at", "t")).select(
+        *keys,
+        (F.col("run_idx").cast("bigint") * F.lit(1 << 32) + F.col("at")).alias("token_idx"),
+        "t.surface",
+        "t.in_lexicon",
     )
+    # Features join the tokens that were chosen, so candidates stay two numbers each.
+    features = broadcast_if(small, terms.where(F.col("features").isNotNull()))
+    term = F.when(F.col("in_lexicon"), F.col("surface"))
+    return project_features(tokens.join(features, term == F.col("term"), "left").drop("term"))
 
 
 def _longest_from_left(run: Column, hits: Column) -> Column:
     """Groups of tokens: for every term taken, the unknown text before it and the term."""
-    token_type = "array<array<struct<surface:string,in_lexicon:boolean,features:array<string>>>>"
+    token_type = "array<array<struct<surface:string,in_lexicon:boolean>>>"
 
     def unknown(first: Column, end: Column) -> Column:
         text = F.substring(run, first, end - first)
         return F.transform(
             F.regexp_extract_all(text, F.lit(SCRIPT_RUN), F.lit(0)),
-            lambda s: F.struct(
-                s.alias("surface"),
-                F.lit(False).alias("in_lexicon"),
-                F.lit(None).cast("array<string>").alias("features"),
-            ),
+            lambda s: F.struct(s.alias("surface"), F.lit(False).alias("in_lexicon")),
         )
 
     def take(acc: Column, hit: Column) -> Column:
         term = F.struct(
             F.substring(run, hit["start"], -hit["neg_len"]).alias("surface"),
             F.lit(True).alias("in_lexicon"),
-            hit["features"].alias("features"),
         )
         group = F.concat(unknown(acc["next"], hit["start"]), F.array(term))
         return F.when(
