@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wordloom.operators import views
 from wordloom.operators.tokens import tokenize_spaced
-from wordloom.plans.ingest import ingest_batch, page_texts
+from wordloom.plans.ingest import ingest_batch, ingest_pages, page_texts
 from wordloom.plans.store import VocabularyStore
 from wordloom.schemas import DOCUMENTS
 from wordloom.session import work_folder
@@ -150,3 +150,35 @@ def test_pages_to_store(spark, store):
     pages = spark.createDataFrame([(1, "http://a.example/1", html)], "page_id long, url string, html string")
     assert ingest_batch(store, page_texts(pages)) == 2
     assert set(counts(store)) == {(1, "où"), (1, "là")}
+
+
+def test_a_source_twice_in_a_batch(spark, store):
+    rows = [(1, 1, "un\ndeux"), (1, 0, "one"), (2, 0, "x")]
+    df = spark.createDataFrame(rows, "source_id long, arrival long, text string")
+    assert ingest_batch(store, df, drop_ascii=False) == 3
+    assert counts(store) == {(1, "one"): 1, (1, "deux"): 1, (2, "x"): 1}
+
+
+HTML = "<html><head><title>{0}</title></head><body><article>{1}</article></body></html>"
+
+
+def test_pages_with_sources(spark, store, rows):
+    def pages(*specs):
+        data = [(i, url, HTML.format(title, "".join(f"<p>{p}</p>" for p in ps)))
+                for i, url, title, *ps in specs]
+        return spark.createDataFrame(data, "page_id long, url string, html string")
+
+    first = pages((5, "http://a.example/1", "T", "un", "deux"), (3, "http://a.example/1", "T", "un"),
+                  (9, "http://b.example/2", "U", "trois"))
+    assert ingest_pages(store, first, drop_ascii=False) == 3
+    assert counts(store) == {(3, "un"): 1, (3, "deux"): 1, (9, "trois"): 1}
+    again = pages((20, "http://a.example/1", "T", "un", "deux", "quatre"), (21, "http://c.example", "V", "un"))
+    assert ingest_pages(store, again, drop_ascii=False) == 2
+    assert counts(store)[(3, "quatre")] == 1
+    got = sorted(rows(store.sources(), "source_id", "url", "title", "last_processed_sentence"))
+    assert got == [(3, "http://a.example/1", "T", 2), (9, "http://b.example/2", "U", 0),
+                   (21, "http://c.example", "V", 0)]
+    store.write_views(language="fr")
+    assert store.read_view("words").count() == 4
+    assert store.read_view("sources").count() == 3
+    assert rows(store.read_view("word_sources").where("source_id = 9"), "word") == [("trois",)]

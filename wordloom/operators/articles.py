@@ -72,25 +72,32 @@ def repeated_blocks(blocks: DataFrame, min_pages: int = REPEATED_ON_PAGES) -> Da
 def main_text(blocks: DataFrame, min_pages: int = REPEATED_ON_PAGES) -> DataFrame:
     """``(page_id, n_blocks, text)``: the blocks that are neither navigation nor boilerplate.
 
-    Every page keeps its row, if only with empty text. For a large crawl write
-    ``page_blocks`` to a table first: the count then reads only its key columns and the
-    markup is parsed once. The join carries no hint: the repeated side is the outcome of
-    a shuffle, so AQE knows its size, and splits a block that fills much of a partition.
+    Every page keeps its row, if only with empty text. Only keys take part in the count and
+    the join; text is shuffled once, by page, where it meets the positions to leave out.
+    ``blocks`` is read three times, twice without its text: write ``page_blocks`` to a
+    table and pass that, so that the markup is parsed once.
     """
-    repeated = repeated_blocks(blocks, min_pages).withColumn("repeated", F.lit(True))
-    flagged = blocks.join(repeated, ["host", "block_id"], "left")
-    keep = (
-        F.col("repeated").isNull()
-        & F.col("block").isNotNull()
-        & (F.col("link_chars") <= MAX_LINK_SHARE * F.length("block"))
+    repeated = blocks.join(
+        repeated_blocks(blocks, min_pages), ["host", "block_id"], "left_semi"
+    ).select("page_id", "block_idx", F.lit(None).cast("string").alias("block"))
+    is_text = F.col("link_chars") <= MAX_LINK_SHARE * F.length("block")
+    candidates = blocks.select(
+        "page_id", "block_idx", F.when(is_text, F.col("block")).alias("block")
     )
-    kept = F.array_sort(F.collect_list(F.when(keep, F.struct("block_idx", "block"))))
-    return (
-        flagged.groupBy("page_id")
-        .agg(kept.alias("kept"))
-        .select(
-            "page_id",
-            F.size("kept").cast("bigint").alias("n_blocks"),
-            F.array_join(F.col("kept.block"), "\n").alias("text"),
-        )
+    # A repeated block leaves a NULL next to its text, which sorts first and strikes it out.
+    merged = (
+        candidates.unionByName(repeated)
+        .groupBy("page_id")
+        .agg(F.array_sort(F.collect_list(F.struct("block_idx", "block"))).alias("all"))
+    )
+    before = F.transform(F.col("all"), lambda b, i: F.get(F.col("all"), i - 1)["block_idx"])
+    kept = F.filter(
+        F.arrays_zip(F.col("all").alias("b"), before.alias("before")),
+        lambda z: z["b"]["block"].isNotNull()
+        & (F.coalesce(z["before"], F.lit(-1)) != z["b"]["block_idx"]),
+    )
+    return merged.select("page_id", F.transform(kept, lambda z: z["b"]["block"]).alias("kept")).select(
+        "page_id",
+        F.size("kept").cast("bigint").alias("n_blocks"),
+        F.array_join("kept", "\n").alias("text"),
     )

@@ -18,13 +18,14 @@ def split_sentences(
     text: str = "text",
     part: str | None = None,
     trimmed: bool = True,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``(source_id, sentence_idx, sentence)`` of all non-blank sentences.
 
     Blank pieces go before the index is given, so indexes have no gaps. A source
     that spans several rows (the turns of a conversation) names its ordering
     column as ``part``. With ``trimmed=False`` a sentence keeps the white space
-    around it.
+    around it. ``keep`` names further columns to carry along.
     """
     pieces = sentence_pieces(F.col(text))
     if trimmed:
@@ -34,11 +35,10 @@ def split_sentences(
     index: Column = F.col("pos").cast("bigint")
     if part is not None:
         index = index + F.col(part).cast("bigint") * F.lit(PART_STRIDE)
-    ids = [F.col(source_id).alias("source_id")]
-    if part is not None:
-        ids.append(F.col(part))
+    more = list(keep or [])
+    ids = [F.col(source_id).alias("source_id"), *more] + ([part] if part else [])
     return texts.select(*ids, F.posexplode(kept).alias("pos", "sentence")).select(
-        "source_id", index.alias("sentence_idx"), "sentence"
+        "source_id", index.alias("sentence_idx"), "sentence", *more
     )
 
 

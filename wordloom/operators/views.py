@@ -142,12 +142,20 @@ def upsert_words(rows: DataFrame, order: list[str]) -> DataFrame:
     return merged.select(text_id(*[F.col(k) for k in keys]).alias("word_id"), *keys, *values)
 
 
+SOURCE_KEY = ("url", "title", "author")
+
+
+def dedup_keys(rows: DataFrame) -> DataFrame:
+    """Add ``source_key``, the same for rows of one source."""
+    return rows.withColumn("source_key", text_id(*[F.col(k) for k in SOURCE_KEY]))
+
+
 def dedup_sources(rows: DataFrame, order: list[str]) -> DataFrame:
     """One row per (url, title, author), NULL and ``''`` being the same; the first row's rest wins.
 
     Rows with a blank ``source_type`` are left out; ``validate`` reports them.
     """
-    keys = ["url", "title", "author"]
+    keys = list(SOURCE_KEY)
     kept = F.struct(
         unicode_trim(F.col("source_type")).alias("source_type"),
         empty_if_null(F.col("website")).alias("website"),
@@ -162,7 +170,8 @@ def dedup_sources(rows: DataFrame, order: list[str]) -> DataFrame:
         )
         .groupBy(*keys)
         .agg(F.min_by("kept", "ord").alias("kept"))
-        .select(text_id(*[F.col(k) for k in keys]).alias("source_key"), *keys, "kept.*")
+        .select(*keys, "kept.*")
+        .transform(dedup_keys)
     )
 
 

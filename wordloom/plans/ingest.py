@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.operators.articles import main_text, page_blocks
+from wordloom.functions.text import text_id
+from wordloom.operators.articles import main_text, page_blocks, page_metadata
 from wordloom.operators.facts import sentence_words, vocabulary_tokens
-from wordloom.operators.layout import broadcast_if_small, spread
+from wordloom.operators.layout import broadcast_if, broadcast_if_small, is_small, spread
 from wordloom.operators.sentences import after_progress, split_sentences, with_sentence_id
 from wordloom.operators.tokens import tokenize_spaced
-from wordloom.operators.views import source_progress
-from wordloom.plans.store import VocabularyStore
-from wordloom.schemas import SENTENCES
+from wordloom.operators.views import dedup_keys, source_progress
+from wordloom.plans.store import SOURCE_ROWS, VocabularyStore
+from wordloom.schemas import SENTENCES, SOURCES
+from wordloom.session import work_folder
 from wordloom.sources.readers import accepted_pages
 
 Tokenizer = Callable[[DataFrame], DataFrame]
@@ -39,10 +41,43 @@ def fact_rows(
     return sentence_words(vocabulary_tokens(tokenizer(sentences), drop_ascii), readings)
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """``(source_id, text)`` of the article text of all pages within the size limit."""
-    good = spread(accepted_pages(pages), "page_id")
-    return main_text(page_blocks(good)).select(F.col("page_id").alias("source_id"), "text")
+def page_texts(pages: DataFrame, stage: str | None = None) -> DataFrame:
+    """``(source_id, text)`` of the article text of all pages within the size limit.
+
+    The blocks are written to ``stage``, by default a folder of their own in the shared
+    work folder, so that the markup is parsed once and text is read only where needed.
+    """
+    spark = pages.sparkSession
+    stage = stage or work_folder(spark, "blocks")
+    blocks = page_blocks(spread(accepted_pages(pages), "page_id"))
+    blocks.write.mode("overwrite").parquet(stage)
+    return main_text(spark.read.schema(blocks.schema).parquet(stage)).select(
+        F.col("page_id").alias("source_id"), "text"
+    )
+
+
+def fresh_sentences(texts: DataFrame) -> DataFrame:
+    """Sentences of texts, each index of a source once.
+
+    A source that comes several times in a batch is read as if the texts came one after
+    the other, by ``arrival`` if there is such a column: a later text only adds the
+    sentences beyond the end of the earlier ones. Only such sources pay for the shuffle.
+    """
+    repeated = texts.groupBy("source_id").count().where("count > 1").select("source_id")
+    small = is_small(repeated)
+    once = texts.join(broadcast_if(small, repeated), "source_id", "left_anti")
+    again = texts.join(broadcast_if(small, repeated), "source_id", "left_semi")
+    arrival = F.col("arrival") if "arrival" in texts.columns else F.lit(0)
+    order = F.struct(arrival.alias("arrival"), text_id(F.col("text")).alias("text_id"))
+    pieces = split_sentences(
+        spread(again.select("source_id", order.alias("ord"), "text"), "source_id", "ord"),
+        part=None,
+        keep=["ord"],
+    )
+    first = pieces.groupBy("source_id", "sentence_idx").agg(
+        F.min_by("sentence", "ord").alias("sentence")
+    )
+    return sentence_rows(once).unionByName(with_sentence_id(first))
 
 
 def ingest_batch(
@@ -54,6 +89,7 @@ def ingest_batch(
     resume: bool = True,
     on_batch: Callable[[int, int, int], None] | None = None,
     extra_write: Callable[[DataFrame, int], None] | None = None,
+    new_sources: DataFrame | None = None,
 ) -> int:
     """Add the sentences of ``texts`` that the store has not seen; return the links made.
 
@@ -63,7 +99,7 @@ def ingest_batch(
     """
     if batch_id is None:
         batch_id = store.next_batch_id()
-    fresh = sentence_rows(texts)
+    fresh = fresh_sentences(texts)
     if resume:
         incoming = texts.select("source_id").distinct()
         known = store.progress().join(incoming, "source_id", "left_semi")
@@ -73,9 +109,39 @@ def ingest_batch(
     )
     facts = store.write_part("facts", batch_id, fact_rows(sentences, tokenizer, drop_ascii))
     store.write_part("progress", batch_id, source_progress(sentences))
+    if new_sources is not None:
+        store.write_part("sources", batch_id, new_sources.select(*SOURCE_ROWS.fieldNames()))
     if extra_write is not None:
         extra_write(facts, batch_id)
     summary = store.commit(batch_id, sentences, facts).first()
     if on_batch is not None:
         on_batch(batch_id, summary["sentences"], summary["links"])
     return summary["links"]
+
+
+def ingest_pages(store: VocabularyStore, pages: DataFrame, **options) -> int:
+    """Add pages: metadata to sources, article text to sentences and facts; return the links.
+
+    A source is known by (url, title, author). A page of a known source goes on where that
+    source ended; the others make new sources, with the lowest of their page ids.
+    """
+    described = dedup_keys(page_metadata(accepted_pages(pages)))
+    created = (
+        described.groupBy("source_key")
+        .agg(F.min_by(F.struct(*SOURCES.fieldNames()), "source_id").alias("row"))
+        .join(store.sources().select("source_key"), "source_key", "left_anti")
+        .select("source_key", "row.*")
+    )
+    every = store.sources().select("source_key", F.col("source_id").alias("known_id")).unionByName(
+        created.select("source_key", F.col("source_id").alias("known_id"))
+    )
+    ids = described.select("source_key", F.col("source_id").alias("page_id")).join(
+        every, "source_key"
+    )
+    texts = (
+        page_texts(pages)
+        .withColumnRenamed("source_id", "page_id")
+        .join(ids, "page_id")
+        .select(F.col("known_id").alias("source_id"), F.col("page_id").alias("arrival"), "text")
+    )
+    return ingest_batch(store, texts, new_sources=created, **options)

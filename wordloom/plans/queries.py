@@ -120,7 +120,8 @@ def dict_load(spark, folder):
 def sink_roundtrip(spark, folder):
     store = VocabularyStore(spark, work_folder(spark, "store"))
     ingest_batch(store, read_documents(spark, f"{folder}/documents.parquet"))
-    return store.write_view("word_sources", store.view("word_sources")).select(
+    links = store.write_view("word_sources", store.view("word_sources"), ["source_id", "word"])
+    return links.select(
         "word_id", "source_id", "word", "occurrence_count",
         "context_sentence_id", "example_sentence_id",
     )
@@ -138,7 +139,9 @@ def strip_ruby_html(spark, folder):
 @_query
 def main_text_blocks(spark, folder):
     pages = spread(accepted_pages(corpus.table(spark, folder, "pages")), "page_id")
-    return articles.main_text(articles.page_blocks(pages))
+    path = work_folder(spark, "blocks")
+    articles.page_blocks(pages).write.parquet(path)
+    return articles.main_text(spark.read.parquet(path))
 
 
 @_query

@@ -5,12 +5,13 @@
     <root>/sentences/batch_id=N    every non-blank sentence of batch N
     <root>/facts/batch_id=N        one row per sentence and word
     <root>/progress/batch_id=N     last sentence index per source
+    <root>/sources/batch_id=N      sources first met in batch N, where pages were taken in
     <root>/batches/batch_id=N      written last; a batch without it does not exist
-    <root>/views/<name>            words, word_sources, word_contexts, sentences
+    <root>/views/<name>            words, sources, sentences, word_sources, word_contexts
 
 A batch is written by overwriting its own folders, so a retry after a lost driver
 replaces what the first try left. Readers only see batches that have their row in
-``batches``: the four tables of a batch appear together or not at all.
+``batches``: the tables of a batch appear together or not at all.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from wordloom.operators import dictionary as lookups
 from wordloom.operators import integrity, views
 from wordloom.operators.layout import broadcast_if_small
 from wordloom.operators.sentences import distinct_sentences
-from wordloom.schemas import FACTS, SENTENCES
+from wordloom.schemas import FACTS, SENTENCES, SOURCES
 
 BATCH = T.StructField("batch_id", T.LongType())
 PROGRESS = T.StructType(
     [T.StructField("source_id", T.LongType()), T.StructField("last_processed", T.LongType())]
 )
+SOURCE_ROWS = T.StructType([T.StructField("source_key", T.StringType()), *SOURCES.fields])
 BATCHES = T.StructType(
     [
         T.StructField("sentences", T.LongType()),
@@ -97,6 +99,14 @@ class VocabularyStore:
             .agg(F.max("last_processed").alias("last_processed"))
         )
 
+    def sources(self) -> DataFrame:
+        """Known sources with their ``last_processed_sentence``, -1 where nothing was read."""
+        known = self._committed("sources", SOURCE_ROWS).drop("batch_id")
+        return known.join(self.progress(), "source_id", "left").select(
+            *SOURCE_ROWS.fieldNames(),
+            F.coalesce("last_processed", F.lit(-1)).alias("last_processed_sentence"),
+        )
+
     def next_batch_id(self) -> int:
         row = self.batches().agg(F.max("batch_id").alias("last")).first()
         return 0 if row["last"] is None else row["last"] + 1
@@ -167,10 +177,35 @@ class VocabularyStore:
             "definitions",
         )
 
-    def write_view(self, name: str, rows: DataFrame) -> DataFrame:
+    def write_view(self, name: str, rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+        """Write a view, laid out in ``order`` where given.
+
+        Range partitions sorted by (source_id, word) let a reader that wants one source
+        skip all other files and row groups; a source too large for one range is split
+        by word.
+        """
         path = f"{self.root}/views/{name}"
+        if order:
+            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def write_views(
+        self,
+        matches: DataFrame | None = None,
+        language: str = "ja",
+        retracted: DataFrame | None = None,
+    ) -> None:
+        """Write all views."""
+        orders = {
+            "sentences": None,
+            "words": ["word"],
+            "word_sources": ["source_id", "word"],
+            "word_contexts": ["source_id", "word"],
+        }
+        for name, order in orders.items():
+            self.write_view(name, self.view(name, matches, language, retracted), order)
+        self.write_view("sources", self.sources())
+
     def read_view(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/views/{name}")

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording a Python call site for every column takes a third of the planning time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
