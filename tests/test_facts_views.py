@@ -1,9 +1,18 @@
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wordloom.operators import integrity, views
-from wordloom.operators.facts import sentence_words, validate, vocabulary_tokens
+from wordloom.operators.facts import (
+    analysed_facts,
+    sentence_words,
+    spaced_facts,
+    validate,
+    vocabulary_tokens,
+)
+from wordloom.operators.sentences import with_sentence_id
+from wordloom.operators.tokens import tokenize_spaced, tokenize_with
 from wordloom.operators.sentences import after_progress
 
 CAT, DOG, BIRD = ("猫", "猫", "ネコ", "名詞"), ("犬", "犬", "イヌ", "名詞"), ("鳥", "鳥", "トリ", "名詞")
@@ -177,3 +186,28 @@ def test_a_hot_pair_gives_the_same_answer(spark):
     counts = views.occurrence_counts(facts)
     assert counts.where("word = 'hot'").first()["occurrence_count"] == 30000
     assert counts.agg(F.sum("occurrence_count")).first()[0] == 90000
+
+
+def analyser():
+    """Characters as tokens; upper case is the base form of lower case, digits are particles."""
+
+    def analyse(batch: pd.Series) -> pd.Series:
+        def features(c):
+            return ["助詞" if c.isdigit() else "名詞", "一般", "*", "*", "*", "*",
+                    "*" if c == "x" else c.upper(), "ネ" if c in "aC" else "*"]
+
+        return batch.map(lambda t: [{"surface": c, "features": features(c)} for c in t])
+
+    return analyse
+
+
+def test_counting_in_the_row_equals_grouping(spark, rows):
+    texts = ["b a a! b 12 é a", "!!", "é É é x", "cabCA bcx1 2aé é", "z" * 3 + " " + "z" * 3]
+    df = with_sentence_id(spark.createDataFrame(
+        [(1, i, t) for i, t in enumerate(texts)], "source_id long, sentence_idx long, sentence string"))
+    for drop_ascii in (True, False):
+        grouped = sentence_words(vocabulary_tokens(tokenize_spaced(df), drop_ascii), readings=False)
+        assert rows(spaced_facts(df, drop_ascii), *grouped.columns) == rows(grouped)
+        grouped = sentence_words(vocabulary_tokens(tokenize_with(df, analyser()), drop_ascii))
+        assert rows(analysed_facts(df, analyser(), drop_ascii), *grouped.columns) == rows(grouped)
+    assert "ね" in [r[0] for r in rows(grouped, "reading")]

@@ -6,9 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.operators import dictionary, layout, views
-from wordloom.operators.facts import sentence_words, vocabulary_tokens
+from wordloom.operators.facts import spaced_facts
 from wordloom.operators.sentences import split_sentences, with_sentence_id
-from wordloom.operators.tokens import tokenize_spaced
 from wordloom.plans import corpus, queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,8 +26,12 @@ def as_laid_out(monkeypatch):
 
 def facts(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    sentences = with_sentence_id(split_sentences(docs, "doc_id"))
-    return sentence_words(vocabulary_tokens(tokenize_spaced(sentences)), readings=False)
+    return spaced_facts(with_sentence_id(split_sentences(docs, "doc_id")))
+
+
+def test_facts_need_no_shuffle(spark):
+    text = plan(facts(spark))
+    assert "Exchange" not in text and "Aggregate" not in text
 
 
 def test_scan_reads_two_columns_and_no_shuffle_precedes_the_tokens(spark, as_laid_out):
@@ -96,7 +99,7 @@ def test_no_query_crosses_or_leaves_the_jvm(spark, name):
     text = plan(queries.queries()[name](spark, FOLDER))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "FlatMapGroupsInPandas"):
         assert node not in text
-    assert ("ArrowEvalPython" in text) == (name == "tokenize_plugged")
+    assert ("ArrowEvalPython" in text) == (name in {"tokenize_plugged", "analysed_word_counts"})
     assert "SinglePartition" not in text or name in {"total_links", "backfill_count"}
 
 

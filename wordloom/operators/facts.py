@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions import morph
-from wordloom.functions.text import is_blank, to_hiragana, unicode_trim
+from wordloom.functions.counting import count_words
+from wordloom.functions.text import is_ascii, is_blank, to_hiragana, unicode_trim
+from wordloom.operators.tokens import SPACED_TOKEN, STARTS_AS_WORD
+from wordloom.schemas import MORPHEME
 
 
 def vocabulary_tokens(tokens: DataFrame, drop_ascii: bool = True) -> DataFrame:
@@ -40,6 +47,70 @@ def sentence_words(words: DataFrame, readings: bool = True) -> DataFrame:
     )
 
 
+def counted_facts(sentences: DataFrame, words: Column, readings: bool = True) -> DataFrame:
+    """Facts of sentences whose vocabulary tokens are an array of structs in the same row.
+
+    A sentence is one row, so its words are counted inside it and nothing is shuffled:
+    grouping token rows would move some ten times the volume of the text. ``words`` is
+    as in ``count_words``.
+    """
+    rest = [c for c in sentences.columns if c != "sentence"]
+    return sentences.select(*rest, F.explode(count_words(words, readings)).alias("f")).select(
+        *rest, "f.word", "f.n", "f.first_token_idx", "f.reading"
+    )
+
+
+def spaced_facts(sentences: DataFrame, drop_ascii: bool = True) -> DataFrame:
+    """What ``sentence_words`` gives for the tokens of ``tokenize_spaced``, without a shuffle."""
+    found = F.regexp_extract_all(F.col("sentence"), F.lit(SPACED_TOKEN), F.lit(0))
+    placed = F.transform(
+        found, lambda s, i: F.struct(s.alias("surface"), i.alias("token_idx"))
+    )
+
+    def keep(token: Column) -> Column:
+        is_word = token["surface"].rlike(STARTS_AS_WORD)
+        return is_word & ~is_ascii(token["surface"]) if drop_ascii else is_word
+
+    words = F.transform(
+        F.filter(placed, keep),
+        lambda t: F.struct(F.lower(t["surface"]).alias("word"), t["token_idx"]),
+    )
+    return counted_facts(sentences, words, readings=False)
+
+
+def analysed_facts(
+    sentences: DataFrame,
+    analyse: Callable[[pd.Series], pd.Series],
+    drop_ascii: bool = True,
+) -> DataFrame:
+    """What ``sentence_words`` gives for the tokens of an analyser, without a shuffle.
+
+    ``analyse`` is as in ``tokenize_with``.
+    """
+    found = sentences.withColumn("found", F.pandas_udf(analyse, T.ArrayType(MORPHEME))("sentence"))
+    placed = F.transform(
+        F.col("found"), lambda m, i: F.struct(m.alias("m"), i.alias("token_idx"))
+    )
+
+    def keep(token: Column) -> Column:
+        surface, features = token["m"]["surface"], token["m"]["features"]
+        return ~is_blank(surface) & morph.is_vocabulary(
+            surface, features, morph.primary_pos(features), drop_ascii
+        )
+
+    def word(token: Column) -> Column:
+        surface, features = token["m"]["surface"], token["m"]["features"]
+        base = morph.base_form(surface, features)
+        return F.struct(
+            unicode_trim(morph.canonical_word(surface, base)).alias("word"),
+            token["token_idx"].alias("token_idx"),
+            to_hiragana(morph.reading(features)).alias("reading"),
+        )
+
+    words = F.transform(F.filter(placed, keep), word)
+    return counted_facts(found, words).drop("found")
+
+
 #: Checks in the order in which they are made.
 def _problem(df: DataFrame) -> Column:
     checks = {

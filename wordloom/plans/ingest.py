@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import text_id
 from wordloom.operators.articles import main_text, page_blocks, page_metadata
-from wordloom.operators.facts import sentence_words, vocabulary_tokens
+from wordloom.operators.facts import sentence_words, spaced_facts, vocabulary_tokens
 from wordloom.operators.layout import broadcast_if, broadcast_if_small, is_small, spread
 from wordloom.operators.sentences import after_progress, split_sentences, with_sentence_id
-from wordloom.operators.tokens import tokenize_spaced
 from wordloom.operators.views import dedup_keys, source_progress
 from wordloom.plans.store import SOURCE_ROWS, VocabularyStore
-from wordloom.schemas import SENTENCES, SOURCES
+from wordloom.schemas import FACTS, SENTENCES, SOURCES
 from wordloom.session import work_folder
 from wordloom.sources.readers import accepted_pages
 
@@ -30,15 +29,15 @@ def sentence_rows(texts: DataFrame, part: str | None = None) -> DataFrame:
 
 
 def fact_rows(
-    sentences: DataFrame,
-    tokenizer: Tokenizer = tokenize_spaced,
-    drop_ascii: bool = True,
-    readings: bool | None = None,
+    sentences: DataFrame, tokenizer: Tokenizer | None = None, drop_ascii: bool = True
 ) -> DataFrame:
-    """Facts of sentences. ``readings`` defaults to what the tokeniser can give."""
-    if readings is None:
-        readings = tokenizer is not tokenize_spaced
-    return sentence_words(vocabulary_tokens(tokenizer(sentences), drop_ascii), readings)
+    """Facts of sentences: of spaced text, or of what another tokeniser makes of them.
+
+    Spaced text is counted inside the row. A tokeniser returns token rows, which are grouped.
+    """
+    if tokenizer is None:
+        return spaced_facts(sentences, drop_ascii)
+    return sentence_words(vocabulary_tokens(tokenizer(sentences), drop_ascii))
 
 
 def page_texts(pages: DataFrame, stage: str | None = None) -> DataFrame:
@@ -84,7 +83,7 @@ def ingest_batch(
     store: VocabularyStore,
     texts: DataFrame,
     batch_id: int | None = None,
-    tokenizer: Tokenizer = tokenize_spaced,
+    tokenizer: Tokenizer | None = None,
     drop_ascii: bool = True,
     resume: bool = True,
     on_batch: Callable[[int, int, int], None] | None = None,
@@ -107,7 +106,8 @@ def ingest_batch(
     sentences = store.write_part(
         "sentences", batch_id, fresh.select(*SENTENCES.fieldNames())
     )
-    facts = store.write_part("facts", batch_id, fact_rows(sentences, tokenizer, drop_ascii))
+    facts = fact_rows(sentences, tokenizer, drop_ascii).select(*FACTS.fieldNames())
+    facts = store.write_part("facts", batch_id, facts)
     store.write_part("progress", batch_id, source_progress(sentences))
     if new_sources is not None:
         store.write_part("sources", batch_id, new_sources.select(*SOURCE_ROWS.fieldNames()))

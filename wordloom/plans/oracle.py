@@ -376,6 +376,15 @@ def oracle_sql() -> dict[str, str]:
                FROM (SELECT source_id, unnest(regexp_extract_all(sentence, '[^{SPACE_CLASS}]+')) AS t
                      FROM ts) GROUP BY ALL""",
         ),
+        "analysed_word_counts": _with(
+            TURN_SENTENCES,
+            f"""SELECT source_id, sentence_idx, lower(t) AS word, count(*) AS n,
+                 min(i) AS first_token_idx, '' AS reading
+               FROM (SELECT source_id, sentence_idx, unnest(xs) AS t,
+                       unnest(range(len(xs)))::BIGINT AS i
+                     FROM (SELECT *, regexp_extract_all(sentence, '[^{SPACE_CLASS}]+') AS xs FROM ts))
+               GROUP BY ALL""",
+        ),
         "token_features": _with(
             TAGGED,
             """SELECT source_id, sentence_idx, token_idx, surface, base_form, reading, primary_pos,

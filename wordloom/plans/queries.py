@@ -20,7 +20,12 @@ from wordloom.functions.text import (
     unicode_trim,
 )
 from wordloom.operators import articles, dictionary, integrity, views
-from wordloom.operators.facts import sentence_words, validate, vocabulary_tokens
+from wordloom.operators.facts import (
+    analysed_facts,
+    sentence_words,
+    validate,
+    vocabulary_tokens,
+)
 from wordloom.operators.layout import broadcast_if_small, spread
 from wordloom.operators.sentences import after_progress, distinct_sentences, split_sentences
 from wordloom.operators.tokens import (
@@ -57,7 +62,7 @@ def queries() -> dict[str, Query]:
 
 
 def _facts(spark, folder, drop_ascii=True):
-    return sentence_words(corpus.document_words(spark, folder, drop_ascii), readings=False)
+    return fact_rows(corpus.document_sentences(spark, folder), drop_ascii=drop_ascii)
 
 
 def _tagged(spark, folder):
@@ -208,19 +213,24 @@ def tokenize_lexicon_text(spark, folder):
     )
 
 
-def _white_space_analyser(sentences: pd.Series) -> pd.Series:
-    return sentences.map(
-        lambda text: [
-            {"surface": t, "features": ["名詞", "一般", "*", "*", "*", "*", t.lower()]}
-            for t in text.split()
-        ]
-    )
+def _white_space_analyser() -> Callable[[pd.Series], pd.Series]:
+    """An analyser made here travels to the workers by value; they need not import this package."""
+
+    def analyse(sentences: pd.Series) -> pd.Series:
+        return sentences.map(
+            lambda text: [
+                {"surface": t, "features": ["名詞", "一般", "*", "*", "*", "*", t.lower()]}
+                for t in text.split()
+            ]
+        )
+
+    return analyse
 
 
 @_query
 def tokenize_plugged(spark, folder):
     sentences = split_sentences(corpus.turns(spark, folder), part="turn")
-    tokens = tokenize_with(sentences, _white_space_analyser)
+    tokens = tokenize_with(sentences, _white_space_analyser())
     return views.occurrence_counts(vocabulary_tokens(tokens, drop_ascii=False))
 
 
@@ -261,19 +271,30 @@ def ascii_filter(spark, folder):
 
 @_query
 def sentence_word_counts(spark, folder):
-    return _facts(spark, folder).select(
+    """Token rows, grouped."""
+    words = corpus.document_words(spark, folder)
+    return sentence_words(words, readings=False).select(
         "source_id", "sentence_idx", "word", "n", "first_token_idx"
     )
 
 
 @_query
 def sentence_word_counts_all(spark, folder):
-    """The same with words in ASCII."""
+    """Words in ASCII too, counted inside the row."""
     return _facts(spark, folder, drop_ascii=False).select(
         "source_id", "sentence_idx", "word", "n", "first_token_idx"
     )
 
 
+@_query
+def analysed_word_counts(spark, folder):
+    """An analyser's tokens, counted inside the row."""
+    facts = analysed_facts(
+        corpus.turn_sentences(spark, folder), _white_space_analyser(), drop_ascii=False
+    )
+    return facts.select("source_id", "sentence_idx", "word", "n", "first_token_idx", "reading")
+
+
 @_query
 def first_reading(spark, folder):
     return _tagged_facts(spark, folder).select(

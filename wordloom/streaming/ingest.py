@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wordloom.plans.ingest import Tokenizer, ingest_batch
-from wordloom.operators.tokens import tokenize_spaced
 from wordloom.plans.store import VocabularyStore
 from wordloom.schemas import DOCUMENTS
 
@@ -33,7 +32,7 @@ def start_ingest(
     store: VocabularyStore,
     texts: DataFrame,
     checkpoint: str,
-    tokenizer: Tokenizer = tokenize_spaced,
+    tokenizer: Tokenizer | None = None,
     drop_ascii: bool = True,
     resume: bool = True,
     trigger: dict | None = None,
