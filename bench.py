@@ -18,11 +18,11 @@ from wordloom.plans.queries import queries  # noqa: E402
 from wordloom.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "strip_ruby_html",
+    "strip_ruby",
     "main_text_blocks",
-    "split_sentences_trimmed",
-    "tokenize_spaced_text",
-    "tokenize_lexicon_text",
+    "split_sentences",
+    "tokenize_spaced",
+    "tokenize_lexicon",
     "pos_filter",
     "sentence_word_counts_all",
     "first_reading",

@@ -335,7 +335,7 @@ def oracle_sql() -> dict[str, str]:
                  arg_max(sentence_id, sentence_idx) AS example_sentence_id
                FROM df GROUP BY source_id, word""",
         ),
-        "strip_ruby_html": r"""
+        "strip_ruby": r"""
             SELECT doc_id AS source_id, {0} AS html FROM (
               SELECT doc_id, regexp_replace(text, '(\p{{L}}{{5,}})',
                 '<ruby>\1<rp>(</rp><rt class="r">\1</rt><rp>)</rp></ruby>', 'g') AS html
@@ -348,22 +348,22 @@ def oracle_sql() -> dict[str, str]:
                 lambda p: {_trim('p')} <> '') AS ps FROM documents)
             SELECT source_id, unnest(range(len(ps)))::BIGINT AS sentence_idx,
               unnest(ps) AS sentence FROM kept""",
-        "split_sentences_trimmed": _with(
+        "split_sentences": _with(
             DOC_SENTENCES, "SELECT source_id, sentence_idx, sentence FROM ds"
         ),
-        "hiragana": f"SELECT doc_id AS source_id, {_hira(_kana('text'))} AS text FROM documents",
-        "unicode_trimmed": f"""
+        "to_hiragana": f"SELECT doc_id AS source_id, {_hira(_kana('text'))} AS text FROM documents",
+        "unicode_trim": f"""
             SELECT source_id, piece_no, {_trim('piece')} AS text, length(piece) + 7 AS padded_chars
             FROM (SELECT doc_id AS source_id, unnest(ps) AS piece,
                     unnest(range(len(ps)))::BIGINT AS piece_no
                   FROM (SELECT doc_id, regexp_extract_all(text, {PIECE}) AS ps FROM documents))""",
-        "tokenize_spaced_text": _with(
+        "tokenize_spaced": _with(
             DOC_TOKENS,
             f"""SELECT source_id, sentence_idx, token_idx, surface, lower(surface) AS base_form,
                  CASE WHEN {IS_WORD} OR {IS_NUMBER} THEN '名詞' ELSE '記号' END AS primary_pos
                FROM dt""",
         ),
-        "tokenize_lexicon_text": "WITH RECURSIVE "
+        "tokenize_lexicon": "WITH RECURSIVE "
         + (TURN_SENTENCES + "," + DICTIONARY + "," + LONGEST_MATCH).strip()
         + """
             SELECT source_id, sentence_idx,

@@ -53,7 +53,8 @@ _QUERIES: dict[str, Query] = {}
 
 
 def _query(run: Query) -> Query:
-    _QUERIES[run.__name__] = run
+    """Register a query under its name; a trailing underscore keeps it apart from its operator."""
+    _QUERIES[run.__name__.rstrip("_")] = run
     return run
 
 
@@ -136,7 +137,7 @@ def sink_roundtrip(spark, folder):
 
 
 @_query
-def strip_ruby_html(spark, folder):
+def strip_ruby_(spark, folder):
     docs = corpus.documents(spark, folder)
     return docs.select("source_id", strip_ruby(corpus.ruby_html(F.col("text"))).alias("html"))
 
@@ -161,18 +162,18 @@ def split_sentences_raw(spark, folder):
 
 
 @_query
-def split_sentences_trimmed(spark, folder):
+def split_sentences_(spark, folder):
     return split_sentences(corpus.documents(spark, folder))
 
 
 @_query
-def hiragana(spark, folder):
+def to_hiragana_(spark, folder):
     docs = corpus.documents(spark, folder)
     return docs.select("source_id", to_hiragana(corpus.kana(F.col("text"))).alias("text"))
 
 
 @_query
-def unicode_trimmed(spark, folder):
+def unicode_trim_(spark, folder):
     """Pieces of text wrapped in white space of several kinds, trimmed again."""
     pieces = corpus.documents(spark, folder).select(
         "source_id", F.posexplode(sentence_pieces(F.col("text"))).alias("piece_no", "piece")
@@ -190,14 +191,14 @@ def unicode_trimmed(spark, folder):
 
 
 @_query
-def tokenize_spaced_text(spark, folder):
+def tokenize_spaced_(spark, folder):
     return tokenize_spaced(split_sentences(corpus.documents(spark, folder))).select(
         "source_id", "sentence_idx", "token_idx", "surface", "base_form", "primary_pos"
     )
 
 
 @_query
-def tokenize_lexicon_text(spark, folder):
+def tokenize_lexicon_(spark, folder):
     """Conversations with the spaces taken out, cut by the words of the dictionary."""
     lexicon = dictionary.dictionary_terms(corpus.entries(spark, folder)).select(
         "term",
