@@ -188,6 +188,32 @@ def test_a_hot_pair_gives_the_same_answer(spark):
     assert counts.agg(F.sum("occurrence_count")).first()[0] == 90000
 
 
+def test_a_hot_word_is_split_when_links_are_joined(spark):
+    """AQE cuts the partition of a word that a third of all links share."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    for key, val in small.items():
+        spark.conf.set(key, val)
+    try:
+        hot = spark.range(20000).selectExpr("id source_id", "'hot' word")
+        cold = spark.range(40000).selectExpr("id source_id", "concat('w', id % 997) word")
+        links = hot.unionByName(cold).repartition(8, "source_id")
+        words = links.select("word").distinct().withColumn("pronunciation", F.lit("x"))
+        joined = views.words_by_source(words, links)
+        assert joined.collect() and joined.count() == 60000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, val in before.items():
+            spark.conf.unset(key) if val is None else spark.conf.set(key, val)
+
+
 def analyser():
     """Characters as tokens; upper case is the base form of lower case, digits are particles."""
 

@@ -125,23 +125,32 @@ def ingest_pages(store: VocabularyStore, pages: DataFrame, **options) -> int:
     A source is known by (url, title, author). A page of a known source goes on where that
     source ended; the others make new sources, with the lowest of their page ids.
     """
-    described = dedup_keys(page_metadata(accepted_pages(pages)))
+    spark, stage = pages.sparkSession, work_folder(pages.sparkSession, "pages")
+
+    def staged(rows: DataFrame, name: str) -> DataFrame:
+        """Both inputs are used several times; as tables they are computed once."""
+        rows.write.parquet(f"{stage}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{stage}/{name}")
+
+    good = spread(accepted_pages(pages), "page_id")
+    described = staged(dedup_keys(page_metadata(good)), "described")
+    known = store.known_sources()
     created = (
         described.groupBy("source_key")
         .agg(F.min_by(F.struct(*SOURCES.fieldNames()), "source_id").alias("row"))
-        .join(store.sources().select("source_key"), "source_key", "left_anti")
+        .join(known.select("source_key"), "source_key", "left_anti")
         .select("source_key", "row.*")
     )
-    every = store.sources().select("source_key", F.col("source_id").alias("known_id")).unionByName(
+    every = known.select("source_key", F.col("source_id").alias("known_id")).unionByName(
         created.select("source_key", F.col("source_id").alias("known_id"))
     )
     ids = described.select("source_key", F.col("source_id").alias("page_id")).join(
         every, "source_key"
     )
     texts = (
-        page_texts(pages)
+        page_texts(pages, f"{stage}/blocks")
         .withColumnRenamed("source_id", "page_id")
         .join(ids, "page_id")
         .select(F.col("known_id").alias("source_id"), F.col("page_id").alias("arrival"), "text")
     )
-    return ingest_batch(store, texts, new_sources=created, **options)
+    return ingest_batch(store, staged(texts, "texts"), new_sources=created, **options)

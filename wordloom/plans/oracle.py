@@ -461,7 +461,7 @@ def oracle_sql() -> dict[str, str]:
               'document' AS source_type, 'https://' || title AS website,
               first(n_chars ORDER BY doc_id)::VARCHAR AS meta
             FROM (SELECT doc_id, '' AS url, source AS title, lang AS author, n_chars
-                  FROM documents WHERE n_chars % 10 <> 0)
+                  FROM documents WHERE lang <> 'es')
             GROUP BY url, title, author""",
         "page_sources": f"""
             SELECT {_key('url', 'title', 'author')} AS source_key, url, title, author,

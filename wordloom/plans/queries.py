@@ -432,7 +432,7 @@ def sources_dedup(spark, folder):
         F.when(F.col("n_chars") <= 1000, "").alias("url"),
         F.col("source").alias("title"),
         F.col("lang").alias("author"),
-        F.when(F.col("n_chars") % 10 == 0, "　").otherwise(" document ").alias("source_type"),
+        F.when(F.col("lang") == "es", "　").otherwise(" document ").alias("source_type"),
         F.concat(F.lit("https://"), "source").alias("website"),
         F.col("n_chars").cast("string").alias("meta"),
     )

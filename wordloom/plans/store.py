@@ -99,10 +99,12 @@ class VocabularyStore:
             .agg(F.max("last_processed").alias("last_processed"))
         )
 
+    def known_sources(self) -> DataFrame:
+        return self._committed("sources", SOURCE_ROWS).drop("batch_id")
+
     def sources(self) -> DataFrame:
         """Known sources with their ``last_processed_sentence``, -1 where nothing was read."""
-        known = self._committed("sources", SOURCE_ROWS).drop("batch_id")
-        return known.join(self.progress(), "source_id", "left").select(
+        return self.known_sources().join(self.progress(), "source_id", "left").select(
             *SOURCE_ROWS.fieldNames(),
             F.coalesce("last_processed", F.lit(-1)).alias("last_processed_sentence"),
         )

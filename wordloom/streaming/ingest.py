@@ -20,11 +20,17 @@ def stream_documents(
     pattern: str = "*.parquet",
     schema: T.StructType = DOCUMENTS,
     files_per_batch: int | None = None,
+    bytes_per_batch: str | None = None,
 ) -> DataFrame:
-    """``(source_id, text)`` of the document files in a folder, present and future."""
+    """``(source_id, text)`` of the document files in a folder, present and future.
+
+    The two limits say how much one batch, and so one commit, may hold.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path).select(F.col("doc_id").alias("source_id"), "text")
 
 
