@@ -111,3 +111,10 @@ def test_the_layout_does_not_change_answers(spark, as_laid_out):
         spread = digest(queries.queries()[name](spark, FOLDER))
         layout.SPREAD_BYTES_PER_CORE = 0
         assert laid_out == spread
+
+
+def test_numbering_shares_its_shuffle(spark, as_laid_out):
+    df = views.words_in_order(facts(spark))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final

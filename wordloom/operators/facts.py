@@ -55,8 +55,13 @@ def counted_facts(sentences: DataFrame, words: Column, readings: bool = True) ->
     as in ``count_words``.
     """
     rest = [c for c in sentences.columns if c != "sentence"]
+    reading = F.coalesce("f.reading", F.lit("")) if readings else F.lit("")
     return sentences.select(*rest, F.explode(count_words(words, readings)).alias("f")).select(
-        *rest, "f.word", "f.n", "f.first_token_idx", "f.reading"
+        *rest,
+        "f.first.word",
+        "f.n",
+        F.col("f.first.token_idx").cast("bigint").alias("first_token_idx"),
+        reading.alias("reading"),
     )
 
 

@@ -97,24 +97,30 @@ def words_in_order(facts: DataFrame) -> DataFrame:
             F.min_by("first_token_idx", "sentence_idx").alias("token_idx"),
         )
         .withColumn("bucket", F.expr(f"first_idx div {ORDER_BUCKET}"))
+        .where("source_id IS NOT NULL AND bucket IS NOT NULL")
     )
-    before = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    # Both uses below read the same columns and rows of this layout, so Spark shuffles it once:
+    # the NULL checks are those the join would otherwise add to one side only.
+    within = Window.partitionBy("source_id", "bucket").orderBy("first_idx", "token_idx", "word")
+    numbered = placed.repartition("source_id", "bucket").withColumn(
+        "no", F.row_number().over(within)
+    )
+    before = (
+        Window.partitionBy("source_id")
+        .orderBy("bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        placed.groupBy("source_id", "bucket")
-        .agg(F.count(F.lit(1)).alias("words"))
+        numbered.groupBy("source_id", "bucket")
+        .agg(F.max("no").alias("words"))
         .select(
             "source_id",
             "bucket",
             F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"),
         )
     )
-    within = Window.partitionBy("source_id", "bucket").orderBy("first_idx", "token_idx")
-    return (
-        placed.withColumn("no", F.row_number().over(within))
-        .join(offsets, ["source_id", "bucket"])
-        .select("source_id", "word", (F.col("no") + F.col("offset")).alias("word_no"))
+    return numbered.join(offsets, ["source_id", "bucket"]).select(
+        "source_id", "word", (F.col("no") + F.col("offset")).alias("word_no")
     )
 
 
