@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,12 +29,23 @@ def value(spark, text, expression):
         ("<rtc>kept</rtc>", "<rtc>kept</rtc>"),
         ("<rt>open <b>x</b> <rt>y</rt>z", "z"),
         ("<rt>never closed", "<rt>never closed"),
+        ("a<rt>b</RT>c<rt>d<rp>e</rp>f<rp>g", "ac<rt>df<rp>g"),
+        ("İ<rt>b</rt>İ", "İİ"),
+        ("", ""),
+        (None, None),
     ],
 )
 def test_strip_ruby(spark, html, expected):
     assert value(spark, html, X.strip_ruby) == expected
 
 
+def test_strip_ruby_without_end_tags_takes_linear_time(spark):
+    page = "漢<rt>かん" * 500_000
+    start = time.perf_counter()
+    assert value(spark, "<rt>x</rt>" + page, X.strip_ruby) == page
+    assert time.perf_counter() - start < 30
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [(t, e) for t, e in zip("アイカガパンー", "あいかがぱんー")]

@@ -32,7 +32,20 @@ AFTER_SENTENCE_END = f"(?<=[{SENTENCE_ENDS}])"
 
 def strip_ruby(html: Column) -> Column:
     """Drop ``<rt>`` and ``<rp>`` elements, keeping the base text they annotate."""
-    return F.regexp_replace(F.regexp_replace(html, RUBY_READING, ""), RUBY_PARENTHESIS, "")
+    html = _drop_elements(html, RUBY_READING, "</rt>")
+    return _drop_elements(html, RUBY_PARENTHESIS, "</rp>")
+
+
+def _drop_elements(html: Column, element: str, end_tag: str) -> Column:
+    """Delete elements, looking no further than the last end tag.
+
+    HTML allows to leave the end tag out. Every start tag after the last end tag would
+    otherwise be searched to the end of the page, in quadratic time.
+    """
+    closed = F.regexp_extract(html, rf"(?si)\A.*{end_tag}", 0)
+    return F.concat(
+        F.regexp_replace(closed, element, ""), F.substr(html, F.length(closed) + F.lit(1))
+    )
 
 
 def sentence_pieces(text: Column) -> Column:
