@@ -1,9 +1,11 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import morph
+from wordloom.operators import layout, tokens
 from wordloom.operators.facts import vocabulary_tokens
 from wordloom.operators.tokens import (
     project_features,
@@ -129,7 +131,10 @@ def brute_force(text, terms):
     return out + ([unknown] if unknown else [])
 
 
-def test_lexicon_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [64 << 20, 300, 0])
+def test_lexicon_against_brute_force(spark, monkeypatch, limit):
+    """With everything broadcast, with only some sides, and with joins by shuffle alone."""
+    monkeypatch.setattr(tokens, "is_small", lambda df: layout.is_small(df, limit))
     rng = random.Random(5)
     terms = {"".join(rng.choice("あいう") for _ in range(rng.randint(1, 5))) for _ in range(12)}
     terms -= {"あ"}

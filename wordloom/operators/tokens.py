@@ -106,7 +106,11 @@ def tokenize_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
         .groupBy("term")
         .agg(F.min("features").alias("features"))
     )
-    small = is_small(terms)  # the tables below are made from it and no larger
+    # The lengths by head are never more than the terms, and far fewer for a large lexicon,
+    # so each side is broadcast on its own merits; terms travel without their features.
+    small = is_small(terms)
+    known = terms.select("term", F.lit(True).alias("known"))
+    small_known = small or is_small(known)
     sized = terms.withColumn("len", F.length("term"))
     longer = (
         sized.where("len > 1")
@@ -124,8 +128,8 @@ def tokenize_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
         runs.select("*", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
         .withColumn("head1", F.substring(F.col("run"), F.col("start"), F.lit(1)))
         .withColumn("head2", F.substring(F.col("run"), F.col("start"), F.lit(2)))
-        .join(broadcast_if(small, longer), "head2", "left")
-        .join(broadcast_if(small, single), "head1", "left")
+        .join(broadcast_if(small_known or is_small(longer), longer), "head2", "left")
+        .join(broadcast_if(small_known or is_small(single), single), "head1", "left")
         .withColumn(
             "lens", F.concat(F.coalesce("lens1", no_lens), F.coalesce("lens2", no_lens))
         )
@@ -141,7 +145,7 @@ def tokenize_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     ).select("*", F.explode_outer("lens").alias("len"))
     found = spans.withColumn(
         "term", F.substring(F.col("ahead"), F.lit(1), F.col("len"))
-    ).join(broadcast_if(small, terms.select("term", F.lit(True).alias("known"))), "term", "left")
+    ).join(broadcast_if(small_known, known), "term", "left")
     hit = F.when(
         F.col("known") & (F.length("term") == F.col("len")),
         F.struct("start", (-F.col("len")).alias("neg_len")),
