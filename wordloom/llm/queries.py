@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import chat_format, decontamination, line_dedup, quality_rules, url_filters
+from wordloom.llm import (
+    chat_format,
+    decontamination,
+    language_id,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    url_filters,
+)
 from wordloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +30,8 @@ URL_RULES = [
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 ]
+#: Shares of all tokens that each language's documents are to have.
+MIX_TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 
 def _query(run: Query) -> Query:
@@ -69,3 +81,37 @@ def op6_chat_formatting(spark, folder):
 def op9_url_filters(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge(table(spark, folder, "pages"), rules)
+
+
+@_query
+def op5_source_mixing(spark, folder):
+    """The domain of a document is its language, learned from the rows that name one."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    mixed = mixing.mix_documents(docs, docs, MIX_TARGETS, domain="lang")
+    return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
+
+
+@_query
+def op7_language_id(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.learn(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    own = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language_id.predict(own, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query
+def op8_quality_classifier(spark, folder):
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality_classifier.learn(docs, labels.where(~held_out))
+    own = docs.select("doc_id", held_out.alias("held_out"), "text")
+    scored = quality_classifier.score(own, model).select("doc_id", "held_out", "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@_query
+def op10_simhash_near_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
