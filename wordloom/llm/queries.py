@@ -16,6 +16,7 @@ from wordloom.llm import (
     quality_classifier,
     quality_rules,
     simhash,
+    suffix_dedup,
     url_filters,
 )
 from wordloom.llm.tables import table
@@ -83,6 +84,11 @@ def op9_url_filters(spark, folder):
     return url_filters.judge(table(spark, folder, "pages"), rules)
 
 
+@_query
+def op4_suffix_array_dedup(spark, folder):
+    return suffix_dedup.dedup_strings(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @_query
 def op5_source_mixing(spark, folder):
     """The domain of a document is its language, learned from the rows that name one."""
