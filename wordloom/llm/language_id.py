@@ -134,17 +134,15 @@ def learn(
     held = F.struct("lang", (F.col("docs") / F.get(size, F.col("lang"))).alias("share"))
     per_gram = counts.groupBy("gram").agg(F.collect_list(held).alias("held"), F.max(held["share"]).alias("most"))
     kept = F.filter("held", lambda x: (x["share"] >= min_share) & (x["share"] >= relative * F.col("most")))
-    masks = [
-        F.struct(
-            F.lit(w).alias("word"),
-            F.aggregate(
-                F.filter(kept, lambda x, w=w: F.floor(x["lang"] / WORD) == w),
-                F.lit(0).cast("bigint"),
-                lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["lang"] % WORD)),
-            ).alias("mask"),
-        )
-        for w in range(len(slots))
-    ]
+
+    def mask(w: int):
+        own = F.filter(kept, lambda x: F.floor(x["lang"] / WORD) == w)
+        one = F.lit(1).cast("bigint")
+        bits = F.transform(own, lambda x: F.call_function("shiftleft", one, x["lang"] % WORD))
+        both = F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+        return F.struct(F.lit(w).alias("word"), both.alias("mask"))
+
+    masks = [mask(w) for w in range(len(slots))]
     contained = per_gram.select("gram", F.explode(F.array(*masks)).alias("m")).select("gram", "m.word", "m.mask")
     found = _filter_slots(contained.where("mask <> 0")).toArrow()
     at, word, mask = (found[k].to_numpy() for k in ("slot", "word", "mask"))
