@@ -150,7 +150,7 @@ def base_failed() -> Column:
 
 def rate(name: str) -> Column:
     scale, of, per, _, _ = RATES[name]
-    return F.coalesce(F.expr(f"({scale}L * {of}) div {per}"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.expr(f"({scale}L * {of}) div nullif({per}, 0)"), F.lit(0).cast("bigint"))
 
 
 def bucket(value: Column) -> Column:
