@@ -68,7 +68,8 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     passage = before[text] + (np.arange(len(starts)) - firsts[text]) // PASSAGE
     lengths = ends - starts
     words = np.bincount(passage, minlength=total)
-    size = np.maximum(np.bincount(passage, lengths, minlength=total), 1)
+    letters = np.bincount(passage, lengths, minlength=total)
+    size = np.maximum(letters, 1)
     # Passage of every byte of a word.
     of = np.repeat(passage, lengths)
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(of))
@@ -89,7 +90,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     firsts_of = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
     longest = np.zeros(total)
     longest[passage[firsts_of]] = np.maximum.reduceat(lengths, firsts_of)
-    extra = [size / many / 10, repeated / many, distinct / many, words / PASSAGE, np.minimum(longest, 40) / 40]
+    extra = [letters / many / 10, repeated / many, distinct / many, words / PASSAGE, np.minimum(longest, 40) / 40]
     for k, x in enumerate(extra):
         out[:, PAIRS + KINDS + k] = x
     return out, before
