@@ -9,10 +9,11 @@ projected gradient. With ``E_d = sum(rate * tokens * posterior_d)`` the steps ar
     rate <- max(0, rate - sum_d posterior_d * g_d),   g = W (E - target)
 
 which is the gradient in the metric that weighs a document by its tokens, with the residual weighted by
-W, the inverse of ``sum(tokens * posterior posterior')``, so that a step of length one is safe.
-One pass over a table of a few numbers per document sums up E; only E and W, a number and a row per domain,
-reach the driver, and rates are recomputed from the steps taken, so a lost task costs
-nothing but itself.
+W, the inverse of ``sum(tokens * posterior posterior')`` over documents with a rate above zero; a
+step that would make the residual larger is halved.
+One pass over a table of a few numbers per document sums up E and W; only they, a number and a row
+per domain, reach the driver, and rates are recomputed from the steps taken, so a lost task
+costs nothing but itself.
 
 Defined results: null and empty texts have no tokens, the prior as posterior, and a rate like
 others; rows without a label are not learned from; without any labelled row there are no domains and each rate is
@@ -157,23 +158,29 @@ def fit_rates(
     if not d:
         return _rate(budget, []), np.zeros(0), np.zeros(0)
     p = [F.col("posterior")[k] for k in range(d)]
-    products = [F.sum(n * p[i] * p[j]) for i in range(d) for j in range(i, d)]
-    total, *gram = (float(x or 0) for x in members.agg(F.sum(n), *products).first())
-    metric = np.zeros((d, d))
-    metric[np.triu_indices(d)] = gram
-    metric += np.triu(metric, 1).T
-    ridge = 1e-9 * max(np.trace(metric), 1.0)
-    weight = np.linalg.inv(metric + ridge * np.eye(d))
+    on = F.when(F.col("rate") > 0, n)
+    products = [F.sum(on * p[i] * p[j]) for i in range(d) for j in range(i, d)]
+    total = float(members.agg(F.sum(n)).first()[0] or 0)
     target = np.array([targets.get(k, 0.0) for k in domains]) * budget * total
     taken: list[np.ndarray] = []
+    before, count = np.inf, 0
     while True:
-        rate = _rate(budget, taken)
-        rated = members.select((rate * n).alias("mass"), "posterior")
-        sums = rated.agg(*[F.sum(F.col("mass") * F.col("posterior")[k]) for k in range(d)]).first()
-        expected = np.array([float(x or 0) for x in sums])
-        if np.abs(expected - target).sum() <= tolerance * max(total, 1) or len(taken) == steps:
-            return rate, expected, target
-        taken.append(weight @ (expected - target))
+        rated = members.withColumn("rate", _rate(budget, taken))
+        sums = rated.agg(*[F.sum(F.col("rate") * n * x) for x in p], *products).first()
+        expected, gram = np.split(np.array([float(x or 0) for x in sums]), [d])
+        residual = np.abs(expected - target).sum()
+        if residual <= tolerance * max(total, 1) or count == steps:
+            return _rate(budget, taken), expected, target
+        count += 1
+        if residual > before:  # too long a step: half of it
+            taken[-1] = taken[-1] / 2
+            continue
+        before = residual
+        metric = np.zeros((d, d))
+        metric[np.triu_indices(d)] = gram
+        metric += np.triu(metric, 1).T
+        ridge = 1e-9 * max(np.trace(metric), 1.0)
+        taken.append(np.linalg.solve(metric + ridge * np.eye(d), expected - target))
 
 
 def mix_documents(
