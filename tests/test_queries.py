@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from wordloom.plans import oracle, queries
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,12 +24,12 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(queries.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_equals_sql(spark, db, name):
-    got = entry.queries()[name](spark, FOLDER)
+    got = queries.queries()[name](spark, FOLDER)
     result = db.execute(SQL[name])
     names = [d[0] for d in result.description]
     columns = sorted(names)
@@ -44,7 +45,7 @@ def test_query_equals_sql(spark, db, name):
     [("sf0.001", 1829, 8696, 7641, 8323, 88437), ("sf0.01", 9344, 50067, 43330, 47744, 466013)],
 )
 def test_anchors(spark, folder, sentences, links, pairs, contexts, index_sum):
-    path, run = f"/root/testdata/{folder}", entry.queries()
+    path, run = f"/root/testdata/{folder}", queries.queries()
     assert run["split_sentences"](spark, path).count() == sentences
     assert run["total_links"](spark, path).first()["links"] == links
     assert run["occurrence_counts"](spark, path).count() == pairs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions import definitions as D
 from wordloom.functions.text import empty_if_null, to_hiragana
@@ -130,13 +131,16 @@ def enrich_words(words: DataFrame, matches: DataFrame | None) -> DataFrame:
 
 
 def backfill_definitions(words: DataFrame, matches: DataFrame) -> DataFrame:
-    """Fill ``definitions`` (JSON text) where they are NULL or ``''``; add ``updated``.
+    """Fill ``definitions`` (JSON text, or an array as the store has it) where absent; add ``updated``.
 
     The lookup goes by word or lemma and demands the reading. Words that have definitions
     take no part in the join: with a broadcast dictionary they pass it by in the same
     scan, else they are kept out of its shuffle, where they would all meet under NULL.
     """
-    missing = F.coalesce(F.col("definitions"), F.lit("")) == ""
+    if isinstance(words.schema["definitions"].dataType, T.ArrayType):
+        missing = F.coalesce(F.size("definitions"), F.lit(0)) <= 0
+    else:
+        missing = F.coalesce(F.col("definitions"), F.lit("")) == ""
     if is_small(matches):
         return _filled(lookup(words, matches, True, where=missing, small=True), missing)
     filled = _filled(lookup(words.where(missing), matches, True, small=False), F.lit(True))
@@ -144,7 +148,9 @@ def backfill_definitions(words: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def _filled(found: DataFrame, missing: Column) -> DataFrame:
-    text = D.definitions_json(D.definitions_of(F.col("matches")))
+    text = D.definitions_of(F.col("matches"))
+    if not isinstance(found.schema["definitions"].dataType, T.ArrayType):
+        text = D.definitions_json(text)
     return (
         found.withColumn("updated", missing & (F.size("matches") > 0))
         .withColumn("definitions", F.when(missing, text).otherwise(F.col("definitions")))

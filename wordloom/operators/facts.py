@@ -34,7 +34,7 @@ def sentence_words(words: DataFrame, readings: bool = True) -> DataFrame:
     sort; pass ``readings=False`` where the tokeniser gives none, and the
     aggregation stays a hash aggregation.
     """
-    keys = [c for c in ("source_id", "sentence_idx", "sentence_id", "word") if c in words.columns]
+    keys = [c for c in ("source_id", "sentence_idx", "sentence_id", "language", "word") if c in words.columns]
     measures = [F.count(F.lit(1)).alias("n"), F.min("token_idx").alias("first_token_idx")]
     if not readings:
         return words.groupBy(*keys).agg(*measures).withColumn("reading", F.lit(""))

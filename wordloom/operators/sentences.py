@@ -12,6 +12,11 @@ from wordloom.functions.text import sentence_pieces, text_id, unicode_trim
 PART_STRIDE = 1 << 32
 
 
+def sentence_list(text: Column) -> Column:
+    """The trimmed, non-blank sentences of a text."""
+    return F.filter(F.transform(sentence_pieces(text), unicode_trim), lambda s: s != "")
+
+
 def split_sentences(
     texts: DataFrame,
     source_id: str = "source_id",
@@ -27,11 +32,10 @@ def split_sentences(
     column as ``part``. With ``trimmed=False`` a sentence keeps the white space
     around it. ``keep`` names further columns to carry along.
     """
-    pieces = sentence_pieces(F.col(text))
     if trimmed:
-        kept = F.filter(F.transform(pieces, unicode_trim), lambda s: s != "")
+        kept = sentence_list(F.col(text))
     else:
-        kept = F.filter(pieces, lambda s: unicode_trim(s) != "")
+        kept = F.filter(sentence_pieces(F.col(text)), lambda s: unicode_trim(s) != "")
     index: Column = F.col("pos").cast("bigint")
     if part is not None:
         index = index + F.col(part).cast("bigint") * F.lit(PART_STRIDE)

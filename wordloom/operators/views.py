@@ -57,7 +57,8 @@ def word_sources(facts: DataFrame, contexts: bool = False) -> DataFrame:
         measures.append(latest.alias("context_sentence_id"))
     if "ingested_at" in facts.columns:
         measures.append(F.min("ingested_at").alias("first_seen_at"))
-    return facts.groupBy("source_id", "word").agg(*measures)
+    keys = [c for c in ("source_id", "word", "language") if c in facts.columns]
+    return facts.groupBy(*keys).agg(*measures)
 
 
 def latest_context(facts: DataFrame) -> DataFrame:
@@ -184,9 +185,11 @@ def dedup_sources(rows: DataFrame, order: list[str]) -> DataFrame:
 def words_by_source(
     words: DataFrame, links: DataFrame, source_id: int | None = None
 ) -> DataFrame:
-    """Words linked to a source (or, without one, to every source); NULL text reads as ``''``."""
+    """Words linked to a source (or, without one, to every source); NULL text reads as ``''``.
+
+    A link names the word by ``word_id``: two words may be written alike.
+    """
     wanted = links if source_id is None else links.where(F.col("source_id") == source_id)
     text = [f.name for f in words.schema.fields if f.dataType.simpleString() == "string"]
-    rest = [c for c in words.columns if c not in text]
-    shaped = words.select(*rest, *[empty_if_null(F.col(c)).alias(c) for c in text])
-    return shaped.join(wanted.select("source_id", "word"), "word")
+    shaped = words.select(*[empty_if_null(F.col(c)).alias(c) if c in text else c for c in words.columns])
+    return shaped.join(wanted.select("source_id", "word_id"), "word_id")

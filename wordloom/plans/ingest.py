@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import text_id
 from wordloom.operators.articles import main_text, page_blocks, page_metadata
-from wordloom.operators.facts import sentence_words, spaced_facts, vocabulary_tokens
-from wordloom.operators.layout import broadcast_if, broadcast_if_small, is_small, spread
-from wordloom.operators.sentences import after_progress, split_sentences, with_sentence_id
-from wordloom.operators.views import dedup_keys, source_progress
-from wordloom.plans.store import SOURCE_ROWS, VocabularyStore
+from wordloom.operators.facts import analysed_facts, sentence_words, spaced_facts, vocabulary_tokens
+from wordloom.operators.layout import broadcast_if_small, spread
+from wordloom.operators.sentences import sentence_list, split_sentences, with_sentence_id
+from wordloom.operators.views import dedup_keys
+from wordloom.plans.store import JOBS, VocabularyStore
 from wordloom.schemas import FACTS, SENTENCES, SOURCES
 from wordloom.session import work_folder
-from wordloom.sources.readers import accepted_pages
+from wordloom.sources.readers import accepted_pages, rejected_pages
 
 Tokenizer = Callable[[DataFrame], DataFrame]
 
@@ -55,76 +56,166 @@ def page_texts(pages: DataFrame, stage: str | None = None) -> DataFrame:
     )
 
 
-def fresh_sentences(texts: DataFrame) -> DataFrame:
-    """Sentences of texts, each index of a source once.
+def _continued(texts: DataFrame) -> DataFrame:
+    """Sentences of texts that are new, given what is known of each source.
 
-    A source that comes several times in a batch is read as if the texts came one after
-    the other, by ``arrival`` if there is such a column: a later text only adds the
-    sentences beyond the end of the earlier ones. Only such sources pay for the shuffle.
+    ``texts`` has the list ``found`` of a text's sentences, and ``last_processed``, ``text_sentences`` and
+    ``known_id`` of its source's latest text. A text that begins with all sentences of the latest goes on
+    behind them; any other one was edited and is taken in whole. Indexes go on in either case.
     """
-    repeated = texts.groupBy("source_id").count().where("count > 1").select("source_id")
-    small = is_small(repeated)
-    once = texts.join(broadcast_if(small, repeated), "source_id", "left_anti")
-    again = texts.join(broadcast_if(small, repeated), "source_id", "left_semi")
-    arrival = F.col("arrival") if "arrival" in texts.columns else F.lit(0)
-    order = F.struct(arrival.alias("arrival"), text_id(F.col("text")).alias("text_id"))
-    pieces = split_sentences(
-        spread(again.select("source_id", order.alias("ord"), "text"), "source_id", "ord"),
-        part=None,
-        keep=["ord"],
-    )
-    first = pieces.groupBy("source_id", "sentence_idx").agg(
-        F.min_by("sentence", "ord").alias("sentence")
+    begins = F.slice("found", 1, F.col("text_sentences").cast("int"))
+    same = (F.size(begins) == F.col("text_sentences")) & (_content_id(begins) == F.col("known_id"))
+    start = F.when(same, F.col("text_sentences")).otherwise(0).cast("bigint")
+    base = F.coalesce("last_processed", F.lit(-1)) + 1
+    return texts.withColumn("start", start).withColumn("base", base)
+
+
+def _content_id(sentences: Column) -> Column:
+    return text_id(F.array_join(sentences, "\n"))
+
+
+def _exploded(texts: DataFrame) -> DataFrame:
+    rows = texts.select(
+        "source_id", "language", "start", "base",
+        F.size("found").cast("bigint").alias("text_sentences"),
+        _content_id(F.col("found")).alias("content_id"),
+        F.posexplode("found").alias("at", "sentence"),
+    )
+    index = F.col("base") + F.col("at") - F.col("start")
+    new = rows.where("at >= start").withColumn("sentence_idx", index)
+    return with_sentence_id(new).select(*SENTENCES.fieldNames())
+
+
+def fresh_sentences(texts: DataFrame, progress: DataFrame | None = None) -> DataFrame:
+    """Sentences of ``(source_id, language, arrival, text)`` beyond the progress of their source.
+
+    One pass over the ids finds the sources that need care: known ones, and those that come more than once.
+    They are few or many; either way the others, which are most, go straight
+    through. Texts of one source follow each other by ``arrival``.
+    """
+    counted = texts.groupBy("source_id").agg(F.count(F.lit(1)).alias("times"))
+    known = counted.select("source_id").limit(0) if progress is None else progress
+    if progress is None:
+        for c, kind in (("last_processed", "bigint"), ("text_sentences", "bigint"), ("content_id", "string")):
+            known = known.withColumn(c, F.lit(None).cast(kind))
+    special = counted.join(known.withColumnRenamed("content_id", "known_id"), "source_id", "left")
+    special = special.where("times > 1 OR last_processed IS NOT NULL")
+    path = work_folder(texts.sparkSession, "special")
+    special.write.parquet(path)
+    special = broadcast_if_small(texts.sparkSession.read.schema(special.schema).parquet(path))
+    split = spread(texts, "source_id", "arrival").withColumn("found", sentence_list(F.col("text"))).drop("text")
+    joined = split.join(special, "source_id", "left")
+    single = _continued(joined.where("times IS NULL OR times = 1"))
+    # Several texts of a source: each is compared with the one before it.
+    order = Window.partitionBy("source_id").orderBy("arrival", "own_id")
+    several = joined.where("times > 1").withColumn("own_id", _content_id(F.col("found")))
+    before, size = F.lag("own_id").over(order), F.lag(F.size("found").cast("bigint")).over(order)
+    several = _continued(
+        several.withColumn("known_id", F.coalesce(before, "known_id")).withColumn(
+            "text_sentences", F.coalesce(size, "text_sentences"))
     )
-    return sentence_rows(once).unionByName(with_sentence_id(first))
+    added = F.sum(F.size("found") - F.col("start")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    several = several.withColumn("base", F.col("base") + F.coalesce(added, F.lit(0)))
+    return _exploded(single).unionByName(_exploded(several))
 
 
 def ingest_batch(
     store: VocabularyStore,
     texts: DataFrame,
     batch_id: int | None = None,
+    stream: str = JOBS,
     tokenizer: Tokenizer | None = None,
+    analyse: Callable[[pd.Series], pd.Series] | None = None,
     drop_ascii: bool = True,
     resume: bool = True,
+    language: str = "und",
     on_batch: Callable[[int, int, int], None] | None = None,
+    on_progress: Callable[[str, int, int], None] | None = None,
+    on_error: Callable[[int, Exception], None] | None = None,
     extra_write: Callable[[DataFrame, int], None] | None = None,
     new_sources: DataFrame | None = None,
+    rejected: DataFrame | None = None,
 ) -> int:
     """Add the sentences of ``texts`` that the store has not seen; return the links made.
 
-    Sentences up to a source's progress are dropped before anything is tokenised. The
-    sentences are written once and read back, so text is split and tokenised once. An
-    error at any point leaves the batch uncommitted and is raised.
+    ``texts`` has ``source_id`` and ``text``, and may have ``language`` (else it is ``language``)
+    and ``arrival``, the order of several texts of one source. Texts without a source are rejected.
+
+    A committed batch is not written again: its links are returned. Known sentences are dropped before
+    anything is tokenised; sentences are written once and read back, so text is split and
+    tokenised once. An error at any point leaves the batch uncommitted, is told to
+    ``on_error`` and raised. ``on_progress`` hears the step, sentences done and sentences of
+    the batch. ``extra_write`` runs before the commit and again if the batch is retried: it
+    must be idempotent, with the batch id as its key.
     """
     if batch_id is None:
-        batch_id = store.next_batch_id()
-    fresh = fresh_sentences(texts)
-    if resume:
-        incoming = texts.select("source_id").distinct()
-        known = store.progress().join(incoming, "source_id", "left_semi")
-        fresh = after_progress(fresh, broadcast_if_small(known))
-    sentences = store.write_part(
-        "sentences", batch_id, fresh.select(*SENTENCES.fieldNames())
+        batch_id = store.next_batch_id(stream)
+    if (done := store.committed(batch_id, stream)) is not None:
+        return done["links"]
+    try:
+        return _write_batch(
+            store, texts, batch_id, stream, tokenizer, analyse, drop_ascii, resume, language, on_batch,
+            on_progress, extra_write, new_sources, rejected,
+        )
+    except Exception as error:
+        if on_error is not None:
+            on_error(batch_id, error)
+        raise
+
+
+def _write_batch(
+    store, texts, batch_id, stream, tokenizer, analyse, drop_ascii, resume, language, on_batch,
+    on_progress, extra_write, new_sources, rejected,
+):
+    def put(table: str, rows: DataFrame) -> DataFrame:
+        return store.write_part(table, batch_id, rows, stream)
+
+    named = texts.select(
+        F.col("source_id").cast("string").alias("source_id"),
+        (F.col("language") if "language" in texts.columns else F.lit(language)).alias("language"),
+        (F.col("arrival") if "arrival" in texts.columns else F.lit(0)).cast("bigint").alias("arrival"),
+        "text",
     )
-    facts = fact_rows(sentences, tokenizer, drop_ascii).select(*FACTS.fieldNames())
-    facts = store.write_part("facts", batch_id, facts)
-    store.write_part("progress", batch_id, source_progress(sentences))
+    nameless = named.where("source_id IS NULL").select("source_id", F.lit("no source").alias("reason"))
+    put("rejected", nameless if rejected is None else nameless.unionByName(rejected))
+    good = named.where("source_id IS NOT NULL")
+    sentences = put("sentences", fresh_sentences(good, store.progress() if resume else None))
+    total = sentences.count()
+    tell = on_progress or (lambda *_: None)
+    tell("sentences", 0, total)
+    if analyse is not None:
+        facts = analysed_facts(sentences, analyse, drop_ascii)
+    else:
+        facts = fact_rows(sentences, tokenizer, drop_ascii)
+    facts = put("facts", facts.select(*FACTS.fieldNames()))
+    tell("facts", total, total)
+    latest = F.max_by(F.struct("text_sentences", "content_id"), "sentence_idx").alias("p")
+    progress = sentences.groupBy("source_id").agg(F.max("sentence_idx").alias("last_processed"), latest)
+    put("progress", progress.select("source_id", "last_processed", "p.*"))
     if new_sources is not None:
-        store.write_part("sources", batch_id, new_sources.select(*SOURCE_ROWS.fieldNames()))
+        put("sources", new_sources.select(*SOURCES.fieldNames()))
     if extra_write is not None:
         extra_write(facts, batch_id)
-    summary = store.commit(batch_id, sentences, facts).first()
+    summary = store.commit(batch_id, sentences, facts, stream)
+    tell("committed", total, total)
     if on_batch is not None:
         on_batch(batch_id, summary["sentences"], summary["links"])
     return summary["links"]
 
 
-def ingest_pages(store: VocabularyStore, pages: DataFrame, **options) -> int:
+def ingest_pages(
+    store: VocabularyStore, pages: DataFrame, batch_id: int | None = None, stream: str = JOBS, **options
+) -> int:
     """Add pages: metadata to sources, article text to sentences and facts; return the links.
 
-    A source is known by (url, title, author). A page of a known source goes on where that
-    source ended; the others make new sources, with the lowest of their page ids.
+    A source is known by (url, title, author), whose hash is its id, so page ids may be used again
+    by the next crawl. A page of a known source goes on where that source ended, or is
+    taken in whole if it was edited. Pages over the size limit are kept in ``rejected``.
     """
+    if batch_id is None:
+        batch_id = store.next_batch_id(stream)
+    if (done := store.committed(batch_id, stream)) is not None:
+        return done["links"]
     spark, stage = pages.sparkSession, work_folder(pages.sparkSession, "pages")
 
     def staged(rows: DataFrame, name: str) -> DataFrame:
@@ -132,25 +223,30 @@ def ingest_pages(store: VocabularyStore, pages: DataFrame, **options) -> int:
         rows.write.parquet(f"{stage}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{stage}/{name}")
 
+    # Page ids name rows of this batch only; a repeated one would mix the blocks of two pages.
+    own = text_id(F.col("url"), F.col("html"))
+    pages = staged(pages.select(F.col("page_id").alias("arrival"), own.alias("page_id"), "url", "html"), "rows")
+    pages = pages.groupBy("page_id").agg(F.min("arrival").alias("arrival"), F.first("url").alias("url"),
+                                         F.first("html").alias("html"))
     good = spread(accepted_pages(pages), "page_id")
-    described = staged(dedup_keys(page_metadata(good)), "described")
-    known = store.known_sources()
+    described = staged(
+        dedup_keys(page_metadata(good)).join(pages.select(F.col("page_id").alias("source_id"), "arrival"), "source_id"),
+        "described",
+    )
+    row = F.struct(*SOURCES.fieldNames()[1:])
     created = (
         described.groupBy("source_key")
-        .agg(F.min_by(F.struct(*SOURCES.fieldNames()), "source_id").alias("row"))
-        .join(known.select("source_key"), "source_key", "left_anti")
-        .select("source_key", "row.*")
-    )
-    every = known.select("source_key", F.col("source_id").alias("known_id")).unionByName(
-        created.select("source_key", F.col("source_id").alias("known_id"))
-    )
-    ids = described.select("source_key", F.col("source_id").alias("page_id")).join(
-        every, "source_key"
+        .agg(F.min_by(row, F.struct("arrival", "source_id")).alias("row"))
+        .select(F.col("source_key").alias("source_id"), "row.*")
+        .join(store.known_sources().select("source_id"), "source_id", "left_anti")
     )
+    ids = described.select("source_key", "arrival", F.col("source_id").alias("page_id"))
     texts = (
         page_texts(pages, f"{stage}/blocks")
         .withColumnRenamed("source_id", "page_id")
         .join(ids, "page_id")
-        .select(F.col("known_id").alias("source_id"), F.col("page_id").alias("arrival"), "text")
+        .select(F.col("source_key").alias("source_id"), "arrival", "text")
     )
-    return ingest_batch(store, staged(texts, "texts"), new_sources=created, **options)
+    too_large = rejected_pages(pages).select(F.col("url").alias("source_id"), F.lit("too large").alias("reason"))
+    return ingest_batch(
+        store, staged(texts, "texts"), batch_id, stream, new_sources=created, rejected=too_large, **options)

@@ -282,6 +282,15 @@ articles AS (
     coalesce(string_agg(k.block, chr(10) ORDER BY k.i), '') AS text
   FROM marked m LEFT JOIN kept_blocks k USING (page_id) GROUP BY m.page_id)"""
 
+PAGE_FACTS = ",".join(
+    [
+        _sentences("ps", "articles", "page_id"),
+        _tokens("pt", "ps"),
+        _words("pw", "pt", "true"),
+        _facts("page_facts", "pw"),
+    ]
+)
+
 _PAGE_SOURCES = f"""
   SELECT page_id AS source_id, 'website_article' AS source_type,
     {_plain(f"regexp_extract(html, {_q(H.TITLE)}, 1)")} AS title,
@@ -291,6 +300,14 @@ _PAGE_SOURCES = f"""
     url, '' AS meta
   FROM pages"""
 
+_WORD_SOURCES = """
+  SELECT source_id, word, sum(n)::BIGINT AS occurrence_count,
+    min(sentence_idx) AS first_sentence_idx, max(sentence_idx) AS last_sentence_idx
+  FROM df GROUP BY ALL"""
+_LATEST = """
+  SELECT source_id, word, arg_max(sentence_id, sentence_idx) AS context_sentence_id
+  FROM df GROUP BY ALL"""
+_LIVE = """(source_id % 2 = 0 OR source_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
 _COUNTS = "SELECT source_id, word, sum(n)::BIGINT AS occurrence_count FROM {0} GROUP BY ALL"
 _FIRST_FIVE = """
   SELECT * FROM (
@@ -328,12 +345,53 @@ def oracle_sql() -> dict[str, str]:
                FROM items i""",
         ),
         "sink_roundtrip": _with(
-            DOC_FACTS,
-            f"""SELECT {_key('word', 'word', "'ja'")} AS word_id, source_id, word,
+            DOC_FACTS_ALL,
+            f"""SELECT {_key('word', 'word', 'lang')} AS word_id, source_id, word,
                  sum(n)::BIGINT AS occurrence_count,
                  arg_max(sentence_id, sentence_idx) AS context_sentence_id,
                  arg_max(sentence_id, sentence_idx) AS example_sentence_id
-               FROM df GROUP BY source_id, word""",
+               FROM df JOIN documents ON doc_id = source_id GROUP BY source_id, word, lang""",
+        ),
+        "view_words": _with(
+            DOC_FACTS_ALL,
+            f"""SELECT DISTINCT {_key('word', 'word', 'lang')} AS word_id, word, word AS lemma,
+                 lang AS language, '' AS pronunciation FROM df JOIN documents ON doc_id = source_id""",
+        ),
+        "view_contexts": _with(DOC_FACTS_ALL, _FIRST_FIVE.format("df")),
+        "view_sentences": _with(DOC_SENTENCES, "SELECT DISTINCT sentence_id, sentence FROM ds"),
+        "view_sources": f"""
+            SELECT {_key('url', 'title', 'author')} AS source_id, source_type, title, author, website, url, meta
+            FROM ({_PAGE_SOURCES}) GROUP BY ALL""",
+        "pages_ingest": _with(
+            ARTICLES + "," + PAGE_FACTS,
+            """SELECT word, 2 * sum(n)::BIGINT AS occurrences, 2 * count(DISTINCT url) AS sources
+               FROM page_facts JOIN pages ON page_id = source_id GROUP BY word""",
+        ),
+        "stream_replay": _with(DOC_FACTS_ALL, _COUNTS.format("df")),
+        "resume_edited": _with(
+            DOC_FACTS_ALL,
+            """SELECT source_id, word, sum(n)::BIGINT AS occurrence_count FROM (
+                 SELECT source_id, word, n FROM df
+                 UNION ALL SELECT source_id, word, n FROM df JOIN documents ON doc_id = source_id WHERE lang = 'de'
+                 UNION ALL SELECT doc_id, unnest(['étrange', 'ajout']), 1 FROM documents WHERE lang = 'fr'
+                 UNION ALL SELECT doc_id, 'ünd', 1 FROM documents WHERE lang = 'de') GROUP BY ALL""",
+        ),
+        "retract_store": _with(
+            DOC_FACTS_ALL,
+            """SELECT 'words' AS view, count(DISTINCT (word, lang)) AS n, count(DISTINCT (word, lang))::BIGINT AS total
+               FROM live_facts JOIN documents ON doc_id = source_id
+               UNION ALL SELECT 'word_sources', count(DISTINCT (source_id, word)), sum(n)::BIGINT FROM live_facts
+               UNION ALL SELECT 'word_contexts', sum(least(c, 5))::BIGINT, sum(least(c, 5))::BIGINT FROM (
+                 SELECT source_id, word, count(DISTINCT sentence_id) AS c FROM live_facts GROUP BY ALL)
+               UNION ALL SELECT 'sentences', count(DISTINCT sentence), count(DISTINCT sentence)::BIGINT FROM live_ds
+               UNION ALL SELECT 'sources', 0, 0""".replace("live_facts", f"(SELECT * FROM df WHERE {_LIVE}) x")
+            .replace("live_ds", f"(SELECT * FROM ds WHERE {_LIVE}) x"),
+        ),
+        "store_backfill": _with(
+            DOC_WORDS_ALL + "," + DICTIONARY,
+            f"""SELECT {_key('word', 'word', 'lang')} AS word_id, word, {_DEFS} AS definitions
+               FROM (SELECT DISTINCT word, lang, t.id FROM dw JOIN documents ON doc_id = source_id
+                     JOIN terms t ON term = word) f JOIN items i ON i.id = f.id GROUP BY word, lang""",
         ),
         "strip_ruby": r"""
             SELECT doc_id AS source_id, {0} AS html FROM (
@@ -418,15 +476,20 @@ def oracle_sql() -> dict[str, str]:
                WHERE sentence_idx > CASE WHEN lang IN ('de', 'fr') THEN -1 ELSE last // 2 END""",
         ),
         "validate_facts": r"""
-            SELECT conv_id AS source_id, turn AS n, word,
+            SELECT conv_id AS source_id, turn AS n, word, count(*) AS times,
               CASE WHEN role = 'system' THEN 'source_type must be non-empty'
                 WHEN word = '' THEN 'word must be non-empty'
                 WHEN conv_id <= 0 THEN 'source_id must be positive'
                 WHEN turn < 1 THEN 'increment must be positive' ELSE '' END AS reason
-            FROM (SELECT *, regexp_extract(text, '\A(\p{L}{1,6})\P{L}', 1) AS word
-                  FROM conversations)""",
+            FROM (SELECT *, unnest(regexp_split_to_array(text, '[^\p{L}]')) AS word
+                  FROM conversations) GROUP BY ALL""",
         "occurrence_counts": doc_counts,
         "occurrence_counts_all": _with(DOC_FACTS_ALL, _COUNTS.format("df")),
+        "total_links_all": _with(DOC_FACTS_ALL, "SELECT sum(n)::BIGINT AS links FROM df"),
+        "word_sources_all": _with(DOC_FACTS_ALL, _WORD_SOURCES),
+        "latest_context_all": _with(DOC_FACTS_ALL, _LATEST),
+        "top_contexts_all": _with(DOC_FACTS_ALL, _FIRST_FIVE.format("df")),
+        "words_in_order_all": _with(DOC_FACTS_ALL, _IN_ORDER.format("df")),
         "total_links": _with(DOC_FACTS, "SELECT sum(n)::BIGINT AS links FROM df"),
         "source_progress": _with(
             DOC_SENTENCES + "," + TURN_SENTENCES,
@@ -435,17 +498,8 @@ def oracle_sql() -> dict[str, str]:
                UNION ALL
                SELECT source_id, max(sentence_idx), 'conversation' FROM ts GROUP BY source_id""",
         ),
-        "word_sources": _with(
-            DOC_FACTS,
-            """SELECT source_id, word, sum(n)::BIGINT AS occurrence_count,
-                 min(sentence_idx) AS first_sentence_idx, max(sentence_idx) AS last_sentence_idx
-               FROM df GROUP BY ALL""",
-        ),
-        "latest_context": _with(
-            DOC_FACTS,
-            """SELECT source_id, word, arg_max(sentence_id, sentence_idx) AS context_sentence_id
-               FROM df GROUP BY ALL""",
-        ),
+        "word_sources": _with(DOC_FACTS, _WORD_SOURCES),
+        "latest_context": _with(DOC_FACTS, _LATEST),
         "top_contexts": _with(DOC_FACTS, _FIRST_FIVE.format("df")),
         "top_contexts_turns": _with(TURN_FACTS, _FIRST_FIVE.format("tf")),
         "words_in_order": _with(DOC_FACTS, _IN_ORDER.format("df")),

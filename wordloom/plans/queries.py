@@ -35,7 +35,7 @@ from wordloom.operators.tokens import (
     tokenize_with,
 )
 from wordloom.plans import corpus
-from wordloom.plans.ingest import fact_rows, ingest_batch, page_texts, sentence_rows
+from wordloom.plans.ingest import fact_rows, ingest_batch, ingest_pages, page_texts, sentence_rows
 from wordloom.plans.store import VocabularyStore
 from wordloom.session import work_folder
 from wordloom.sources.readers import (
@@ -45,7 +45,7 @@ from wordloom.sources.readers import (
     read_documents,
     rejected_pages,
 )
-from wordloom.streaming.ingest import start_ingest, stream_documents
+from wordloom.streaming.ingest import start_ingest, stream_documents, stream_name
 from wordloom.streaming.running import latest_counts, running_counts, start_running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,17 +122,140 @@ def dict_load(spark, folder):
     )
 
 
+def _texts(spark, folder):
+    return corpus.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("source_id"), "text", F.col("lang").alias("language")
+    )
+
+
+def _two_batches(spark, folder):
+    """A store that took the documents in two batches, with all words."""
+    store = VocabularyStore(spark, work_folder(spark, "store"))
+    for part in (0, 1):
+        ingest_batch(store, _texts(spark, folder).where(F.col("source_id") % 2 == part), drop_ascii=False)
+    return store
+
+
+def _by_document(rows):
+    return rows.withColumn("source_id", F.col("source_id").cast("bigint"))
+
+
 @_query
 def sink_roundtrip(spark, folder):
     store = VocabularyStore(spark, work_folder(spark, "store"))
-    ingest_batch(store, read_documents(spark, f"{folder}/documents.parquet"))
+    ingest_batch(store, _texts(spark, folder), drop_ascii=False)
     links = store.write_view("word_sources", store.view("word_sources"), ["source_id", "word"])
-    return links.select(
+    return _by_document(links).select(
         "word_id", "source_id", "word", "occurrence_count",
         "context_sentence_id", "example_sentence_id",
     )
 
 
+@_query
+def view_words(spark, folder):
+    store = _two_batches(spark, folder)
+    return store.write_view("words", store.view("words"), ["word"]).select(
+        "word_id", "word", "lemma", "language", "pronunciation"
+    )
+
+
+@_query
+def view_contexts(spark, folder):
+    store = _two_batches(spark, folder)
+    return _by_document(store.write_view("word_contexts", store.view("word_contexts")))
+
+
+@_query
+def view_sentences(spark, folder):
+    store = _two_batches(spark, folder)
+    return store.write_view("sentences", store.view("sentences"))
+
+
+@_query
+def view_sources(spark, folder):
+    """Sources of pages taken in twice, beside documents whose ids are those of pages."""
+    store = VocabularyStore(spark, work_folder(spark, "store"))
+    pages = corpus.table(spark, folder, "pages")
+    for _ in range(2):
+        ingest_pages(store, pages, drop_ascii=False)
+    ingest_batch(store, _texts(spark, folder))
+    return store.write_view("sources", store.view("sources")).drop("last_processed_sentence")
+
+
+@_query
+def pages_ingest(spark, folder):
+    """Words of pages in a store that also holds documents, and saw all page ids twice."""
+    store = VocabularyStore(spark, work_folder(spark, "store"))
+    pages = corpus.table(spark, folder, "pages")
+    ingest_batch(store, _texts(spark, folder))
+    ingest_pages(store, pages, drop_ascii=False)
+    moved = pages.withColumn("url", F.concat("url", F.lit("#again")))
+    ingest_pages(store, moved, drop_ascii=False)
+    sources = store.known_sources().select("source_id")
+    words = store.facts().join(sources, "source_id", "left_semi")
+    return words.groupBy("word").agg(
+        F.sum("n").alias("occurrences"), F.count_distinct("source_id").alias("sources")
+    )
+
+
+@_query
+def stream_replay(spark, folder):
+    """Counts after a committed batch came again, by its key, by a new stream and by a batch job."""
+    store = VocabularyStore(spark, work_folder(spark, "store"))
+    first, second = (work_folder(spark, "checkpoint") for _ in range(2))
+    for checkpoint in (first, second):
+        texts = stream_documents(spark, folder, "documents.parquet")
+        start_ingest(store, texts, checkpoint, drop_ascii=False).awaitTermination()
+    ingest_batch(store, _texts(spark, folder), 0, stream_name(spark, first), drop_ascii=False)
+    ingest_batch(store, _texts(spark, folder), drop_ascii=False)
+    return _by_document(views.occurrence_counts(store.facts()))
+
+
+@_query
+def resume_edited(spark, folder):
+    """French texts grew by a sentence, German ones got a new beginning: those are taken in whole."""
+    store = VocabularyStore(spark, work_folder(spark, "store"))
+    texts = _texts(spark, folder)
+    ingest_batch(store, texts, drop_ascii=False)
+    text = F.when(F.col("language") == "fr", F.concat("text", F.lit("\nétrange ajout")))
+    text = text.when(F.col("language") == "de", F.concat(F.lit("Ünd.\n"), "text")).otherwise(F.col("text"))
+    ingest_batch(store, texts.withColumn("text", text), drop_ascii=False)
+    return _by_document(views.occurrence_counts(store.facts()))
+
+
+@_query
+def retract_store(spark, folder):
+    """Rows of all five views after toxic documents were taken back, and some of them taken in again."""
+    store = _two_batches(spark, folder)
+    toxic = corpus.table(spark, folder, "labels").where("toxic = 1").select(F.col("doc_id").alias("source_id"))
+    store.retract(toxic)
+    again = toxic.where("source_id % 2 = 0").select("source_id")
+    ingest_batch(store, _texts(spark, folder).join(again, "source_id", "left_semi"), drop_ascii=False)
+    store.write_views()
+
+    def size(name, *columns):
+        rows = store.read_view(name)
+        total = F.sum("occurrence_count") if name == "word_sources" else F.count(F.lit(1))
+        return rows.agg(F.lit(name).alias("view"), F.count(F.lit(1)).alias("n"), total.alias("total"))
+
+    out = size("words")
+    for name in ("word_sources", "word_contexts", "sentences", "sources"):
+        out = out.unionAll(size(name))
+    return out
+
+
+@_query
+def store_backfill(spark, folder):
+    """Definitions found for stored words; they outlive the next writing of the views."""
+    store = _two_batches(spark, folder)
+    store.backfill(_matches(spark, folder))
+    for _ in range(2):
+        words = store.write_view("words", store.view("words"), ["word"])
+    return words.where("definitions IS NOT NULL").select(
+        "word_id", "word", D.definitions_json(F.col("definitions")).alias("definitions")
+    )
+
+
 # -- text ------------------------------------------------------------------------
 
 
@@ -330,11 +453,11 @@ def validate_facts(spark, folder):
         "source_id",
         F.col("turn").alias("n"),
         F.when(F.col("role") == "system", " 　").otherwise(F.col("role")).alias("source_type"),
-        F.regexp_extract("text", r"\A(\p{L}{1,6})\P{L}", 1).alias("word"),
+        F.explode(F.split("text", r"[^\p{L}]")).alias("word"),
     )
-    return validate(rows).select(
+    return validate(rows).groupBy(
         "source_id", "n", "word", empty_if_null(F.col("reason")).alias("reason")
-    )
+    ).agg(F.count(F.lit(1)).alias("times"))
 
 
 # -- views -----------------------------------------------------------------------
@@ -355,6 +478,11 @@ def total_links(spark, folder):
     return views.total_links(_facts(spark, folder))
 
 
+@_query
+def total_links_all(spark, folder):
+    return views.total_links(_facts(spark, folder, drop_ascii=False))
+
+
 @_query
 def source_progress(spark, folder):
     docs = views.source_progress(split_sentences(corpus.documents(spark, folder)))
@@ -369,16 +497,31 @@ def word_sources(spark, folder):
     return views.word_sources(_facts(spark, folder))
 
 
+@_query
+def word_sources_all(spark, folder):
+    return views.word_sources(_facts(spark, folder, drop_ascii=False))
+
+
 @_query
 def latest_context(spark, folder):
     return views.latest_context(_facts(spark, folder))
 
 
+@_query
+def latest_context_all(spark, folder):
+    return views.latest_context(_facts(spark, folder, drop_ascii=False))
+
+
 @_query
 def top_contexts(spark, folder):
     return views.top_contexts(_facts(spark, folder))
 
 
+@_query
+def top_contexts_all(spark, folder):
+    return views.top_contexts(_facts(spark, folder, drop_ascii=False))
+
+
 @_query
 def top_contexts_turns(spark, folder):
     """Contexts in sources that span many rows, with all words."""
@@ -392,6 +535,11 @@ def words_in_order(spark, folder):
     return views.words_in_order(_facts(spark, folder))
 
 
+@_query
+def words_in_order_all(spark, folder):
+    return views.words_in_order(_facts(spark, folder, drop_ascii=False))
+
+
 @_query
 def words_in_order_turns(spark, folder):
     return views.words_in_order(
@@ -421,7 +569,8 @@ def words_upsert(spark, folder):
 @_query
 def words_by_source(spark, folder):
     words = _upserts(spark, folder).withColumn("image_url", F.lit(None).cast("string"))
-    links = views.occurrence_counts(_tagged_facts(spark, folder))
+    word_id = text_id(F.col("word"), F.col("word"), F.lit("ja"))
+    links = views.occurrence_counts(_tagged_facts(spark, folder)).withColumn("word_id", word_id)
     return views.words_by_source(words, links)
 
 
@@ -592,7 +741,7 @@ def stream_ingest(spark, folder):
     store = VocabularyStore(spark, work_folder(spark, "store"))
     texts = stream_documents(spark, folder, "documents.parquet")
     start_ingest(store, texts, work_folder(spark, "checkpoint")).awaitTermination()
-    return views.occurrence_counts(store.facts())
+    return _by_document(views.occurrence_counts(store.facts()))
 
 
 @_query

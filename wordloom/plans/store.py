@@ -2,44 +2,77 @@
 
 ::
 
-    <root>/sentences/batch_id=N    every non-blank sentence of batch N
-    <root>/facts/batch_id=N        one row per sentence and word
-    <root>/progress/batch_id=N     last sentence index per source
-    <root>/sources/batch_id=N      sources first met in batch N, where pages were taken in
-    <root>/batches/batch_id=N      written last; a batch without it does not exist
-    <root>/views/<name>            words, sources, sentences, word_sources, word_contexts
-
-A batch is written by overwriting its own folders, so a retry after a lost driver
-replaces what the first try left. Readers only see batches that have their row in
-``batches``: the tables of a batch appear together or not at all.
+    <root>/sentences/stream=S/batch_id=N   every non-blank sentence of the batch
+    <root>/facts/…                         one row per sentence and word
+    <root>/progress/…                      per source: last sentence index, size and hash of its text
+    <root>/sources/…                       sources first met in the batch, where pages were taken in
+    <root>/rejected/…                      what the batch did not take, and why
+    <root>/retracted/…                     sources taken back, and up to which commit
+    <root>/definitions/…                   definitions found for words by a back-fill
+    <root>/batches/…                       written last; a batch without it does not exist
+    <root>/views/<name>/version=K          words, sources, sentences, word_sources, word_contexts
+    <root>/view_versions                   written after the view; readers take the latest
+
+A batch is known by its stream and its number there: batch jobs are one stream, every
+streaming query is another, named by its checkpoint. A committed batch is final: asked to write it
+again (a driver was lost between the commit and the query's own), the store returns what it
+has. A batch that failed has no row in ``batches``, so its folders are overwritten by the retry and
+read by nobody before. ``seq`` numbers the commits; whatever is to be first or last goes by it.
+One writer at a time; any number of readers.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.functions.text import text_id
 from wordloom.operators import dictionary as lookups
-from wordloom.operators import integrity, views
+from wordloom.operators import views
 from wordloom.operators.layout import broadcast_if_small
 from wordloom.operators.sentences import distinct_sentences
-from wordloom.schemas import FACTS, SENTENCES, SOURCES
+from wordloom.schemas import DEFINITIONS, FACTS, SENTENCES, SOURCES
 
-BATCH = T.StructField("batch_id", T.LongType())
+#: The stream of batch jobs.
+JOBS = "jobs"
+KEY = ["stream", "batch_id"]
+KEY_FIELDS = [T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())]
 PROGRESS = T.StructType(
-    [T.StructField("source_id", T.LongType()), T.StructField("last_processed", T.LongType())]
+    [
+        T.StructField("source_id", T.StringType()),
+        T.StructField("last_processed", T.LongType()),
+        T.StructField("text_sentences", T.LongType()),
+        T.StructField("content_id", T.StringType()),
+    ]
+)
+REJECTED = T.StructType(
+    [T.StructField("source_id", T.StringType()), T.StructField("reason", T.StringType())]
+)
+RETRACTED = T.StructType(
+    [T.StructField("source_id", T.StringType()), T.StructField("up_to", T.LongType())]
+)
+FOUND_DEFINITIONS = T.StructType(
+    [T.StructField("word_id", T.StringType()), T.StructField("definitions", DEFINITIONS)]
 )
-SOURCE_ROWS = T.StructType([T.StructField("source_key", T.StringType()), *SOURCES.fields])
 BATCHES = T.StructType(
     [
+        T.StructField("seq", T.LongType()),
         T.StructField("sentences", T.LongType()),
         T.StructField("links", T.LongType()),
         T.StructField("committed_at", T.TimestampType()),
     ]
 )
+VERSIONS = T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.LongType())])
+#: View -> the columns it is laid out by.
+VIEWS = {
+    "sentences": None,
+    "sources": None,
+    "words": ["word"],
+    "word_sources": ["source_id", "word"],
+    "word_contexts": ["source_id", "word"],
+}
 
 
 class VocabularyStore:
@@ -49,94 +82,117 @@ class VocabularyStore:
 
     # -- log ---------------------------------------------------------------------
 
-    def write_part(self, table: str, batch_id: int, rows: DataFrame) -> DataFrame:
+    def write_part(self, table: str, batch_id: int, rows: DataFrame, stream: str = JOBS) -> DataFrame:
         """Write one table of a batch and return the rows as read back."""
-        path = f"{self.root}/{table}/batch_id={batch_id}"
+        path = f"{self.root}/{table}/stream={stream}/batch_id={batch_id}"
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def commit(self, batch_id: int, sentences: DataFrame, facts: DataFrame) -> DataFrame:
+    def commit(
+        self, batch_id: int, sentences: DataFrame | None, facts: DataFrame | None, stream: str = JOBS
+    ) -> Row:
         """Make a batch visible. Call it after all other tables of the batch are written."""
-        counted = sentences.agg(
-            F.count(F.lit(1)).alias("sentences"), F.lit(0).cast("bigint").alias("links")
-        ).unionByName(
-            views.total_links(facts).withColumn("sentences", F.lit(0).cast("bigint"))
-        )
-        summary = counted.agg(
-            F.sum("sentences").alias("sentences"),
-            F.sum("links").alias("links"),
-            F.current_timestamp().alias("committed_at"),
-        )
-        return self.write_part("batches", batch_id, summary.select(*BATCHES.fieldNames()))
+        if (done := self.committed(batch_id, stream)) is not None:
+            return done
+        seq = self.last_seq() + 1
+        n = 0 if sentences is None else sentences.count()
+        links = 0 if facts is None else views.total_links(facts).first()["links"]
+        rows = self.spark.createDataFrame([(seq, n, links, None)], BATCHES)
+        rows = rows.withColumn("committed_at", F.current_timestamp())
+        self.write_part("batches", batch_id, rows.coalesce(1), stream)
+        return self.committed(batch_id, stream)
 
-    def _table(self, name: str, schema: T.StructType) -> DataFrame:
-        full = T.StructType([*schema.fields, BATCH])
+    def committed(self, batch_id: int, stream: str = JOBS) -> Row | None:
+        """The row of a committed batch, else nothing."""
+        return self.batches().where((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).first()
+
+    def _read(self, path: str, schema: T.StructType) -> DataFrame:
         try:
-            return self.spark.read.schema(full).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{path}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], full)
+            return self.spark.createDataFrame([], schema)
+
+    def _table(self, name: str, schema: T.StructType) -> DataFrame:
+        return self._read(name, T.StructType([*schema.fields, *KEY_FIELDS]))
 
     def batches(self) -> DataFrame:
         return self._table("batches", BATCHES)
 
-    def _committed(self, name: str, schema: T.StructType) -> DataFrame:
-        known = broadcast_if_small(self.batches().select("batch_id"))
-        return self._table(name, schema).join(known, "batch_id", "left_semi")
+    def last_seq(self) -> int:
+        """Number of the last commit, -1 before the first."""
+        last = self.batches().agg(F.max("seq")).first()[0]
+        return -1 if last is None else last
+
+    def next_batch_id(self, stream: str = JOBS) -> int:
+        last = self.batches().where(F.col("stream") == stream).agg(F.max("batch_id")).first()[0]
+        return 0 if last is None else last + 1
+
+    def log(self, name: str, schema: T.StructType) -> DataFrame:
+        """Rows of committed batches with the ``seq`` and the time of their commit."""
+        known = self.batches().select(*KEY, "seq", F.col("committed_at").alias("ingested_at"))
+        return self._table(name, schema).join(broadcast_if_small(known), KEY).drop(*KEY)
+
+    def _live(self, name: str, schema: T.StructType) -> DataFrame:
+        """The log without what was taken back after it was committed."""
+        taken = self.log("retracted", RETRACTED).groupBy("source_id").agg(F.max("up_to").alias("up_to"))
+        if taken.isEmpty():
+            return self.log(name, schema)
+        taken = taken.withColumnRenamed("source_id", "gone_id")
+        gone = (F.col("source_id") == F.col("gone_id")) & (F.col("seq") <= F.col("up_to"))
+        return self.log(name, schema).join(broadcast_if_small(taken), gone, "left_anti")
 
     def sentences(self) -> DataFrame:
-        return self._committed("sentences", SENTENCES)
+        return self._live("sentences", SENTENCES)
 
     def facts(self) -> DataFrame:
-        return self._committed("facts", FACTS)
+        return self._live("facts", FACTS)
 
     def progress(self) -> DataFrame:
-        """Last processed sentence index per source, over all committed batches."""
-        return (
-            self._committed("progress", PROGRESS)
-            .groupBy("source_id")
-            .agg(F.max("last_processed").alias("last_processed"))
-        )
+        """Per source: last sentence index, number of sentences and hash of its latest text."""
+        last = F.max_by(F.struct("last_processed", "text_sentences", "content_id"), "last_processed")
+        return self._live("progress", PROGRESS).groupBy("source_id").agg(last.alias("p")).select("source_id", "p.*")
 
     def known_sources(self) -> DataFrame:
-        return self._committed("sources", SOURCE_ROWS).drop("batch_id")
+        """Each source once, as it was first met."""
+        row = F.struct(*SOURCES.fieldNames()[1:])
+        first = self._live("sources", SOURCES).groupBy("source_id").agg(F.min_by(row, "seq").alias("row"))
+        return first.select("source_id", "row.*")
 
-    def sources(self) -> DataFrame:
-        """Known sources with their ``last_processed_sentence``, -1 where nothing was read."""
-        return self.known_sources().join(self.progress(), "source_id", "left").select(
-            *SOURCE_ROWS.fieldNames(),
-            F.coalesce("last_processed", F.lit(-1)).alias("last_processed_sentence"),
-        )
+    def rejected(self) -> DataFrame:
+        return self.log("rejected", REJECTED).select(*REJECTED.fieldNames())
 
-    def next_batch_id(self) -> int:
-        row = self.batches().agg(F.max("batch_id").alias("last")).first()
-        return 0 if row["last"] is None else row["last"] + 1
+    def retract(self, sources: DataFrame) -> None:
+        """Take sources back: all views, progress and known sources lose what was committed of them so far.
+
+        They may be taken in again afterwards.
+        """
+        batch_id = self.next_batch_id("retractions")
+        ids = sources.select(F.col("source_id").cast("string").alias("source_id")).distinct()
+        rows = ids.withColumn("up_to", F.lit(self.last_seq()).cast("bigint"))
+        self.write_part("retracted", batch_id, rows, "retractions")
+        self.commit(batch_id, None, None, "retractions")
+
+    def backfill(self, matches: DataFrame) -> int:
+        """Look up the words that have no definitions yet and keep what is found; return how many."""
+        todo = self.view("words").where("definitions IS NULL")  # read back from the log
+        found = lookups.backfill_definitions(todo, matches).where("updated")
+        batch_id = self.next_batch_id("definitions")
+        rows = self.write_part(
+            "definitions", batch_id, found.select(*FOUND_DEFINITIONS.fieldNames()), "definitions")
+        self.commit(batch_id, None, None, "definitions")
+        return rows.count()
 
     # -- views -------------------------------------------------------------------
 
-    def live_facts(self, retracted: DataFrame | None = None) -> DataFrame:
-        """Facts with their time of ingest, without retracted sources."""
-        known = broadcast_if_small(
-            self.batches().select("batch_id", F.col("committed_at").alias("ingested_at"))
-        )
-        facts = self._table("facts", FACTS).join(known, "batch_id")
-        return facts if retracted is None else integrity.retract(facts, retracted)
-
-    def view(
-        self,
-        name: str,
-        matches: DataFrame | None = None,
-        language: str = "ja",
-        retracted: DataFrame | None = None,
-    ) -> DataFrame:
-        """A view computed from the log: words, word_sources, word_contexts or sentences."""
-        facts = self.live_facts(retracted)
+    def view(self, name: str, matches: DataFrame | None = None) -> DataFrame:
+        """A view computed from the log: one of ``VIEWS``."""
         if name == "words":
-            return self._words(facts, matches, language)
+            return self._words(matches)
         if name == "word_sources":
-            return views.word_sources(facts, contexts=True).select(
-                text_id(F.col("word"), F.col("word"), F.lit(language)).alias("word_id"),
+            return views.word_sources(self.facts(), contexts=True).select(
+                text_id(F.col("word"), F.col("word"), F.col("language")).alias("word_id"),
                 "source_id",
                 "word",
                 "context_sentence_id",
@@ -146,29 +202,35 @@ class VocabularyStore:
                 F.lit(0).alias("is_primary"),
             )
         if name == "word_contexts":
-            return views.top_contexts(facts)
+            return views.top_contexts(self.facts())
         if name == "sentences":
-            rows = self.sentences()
-            return distinct_sentences(
-                rows if retracted is None else integrity.retract(rows, retracted)
+            return distinct_sentences(self.sentences())
+        if name == "sources":
+            progress = self.progress().select("source_id", "last_processed")
+            return self.known_sources().join(progress, "source_id", "left").select(
+                *SOURCES.fieldNames(),
+                F.coalesce("last_processed", F.lit(-1)).alias("last_processed_sentence"),
             )
         raise ValueError(f"no view {name!r}")
 
-    def _words(self, facts: DataFrame, matches: DataFrame | None, language: str) -> DataFrame:
-        occurrences = facts.select(
+    def _words(self, matches: DataFrame | None) -> DataFrame:
+        occurrences = self.facts().select(
             "word",
             F.col("word").alias("lemma"),
-            F.lit(language).alias("language"),
+            "language",
             F.col("reading").alias("pronunciation"),
+            "seq",
             "source_id",
             "sentence_idx",
             "first_token_idx",
         )
-        merged = views.upsert_words(occurrences, ["source_id", "sentence_idx", "first_token_idx"])
-        enriched = lookups.enrich_words(
-            merged.withColumnRenamed("pronunciation", "reading"), matches
-        )
-        return enriched.select(
+        # A later commit wins, whatever its sources are called.
+        order = ["seq", "source_id", "sentence_idx", "first_token_idx"]
+        merged = views.upsert_words(occurrences, order)
+        enriched = lookups.enrich_words(merged.withColumnRenamed("pronunciation", "reading"), matches)
+        kept = self.log("definitions", FOUND_DEFINITIONS)
+        kept = kept.groupBy("word_id").agg(F.max_by("definitions", "seq").alias("kept"))
+        return enriched.join(kept, "word_id", "left").select(
             "word_id",
             "word",
             "lemma",
@@ -176,38 +238,38 @@ class VocabularyStore:
             "pronunciation",
             F.lit(None).cast("string").alias("image_url"),
             F.lit(None).cast("string").alias("mnemonic_text"),
-            "definitions",
+            F.coalesce(F.when(F.size("definitions") > 0, F.col("definitions")), "kept").alias("definitions"),
         )
 
+    def _versions(self) -> DataFrame:
+        return self._read("view_versions", VERSIONS)
+
+    def _version(self, name: str) -> int | None:
+        return self._versions().where(F.col("name") == name).agg(F.max("version")).first()[0]
+
     def write_view(self, name: str, rows: DataFrame, order: list[str] | None = None) -> DataFrame:
-        """Write a view, laid out in ``order`` where given.
+        """Write a new version of a view, laid out in ``order`` where given, and make it the one that is read.
 
         Range partitions sorted by (source_id, word) let a reader that wants one source
         skip all other files and row groups; a source too large for one range is split
-        by word.
+        by word. Readers of the version before are not disturbed.
         """
-        path = f"{self.root}/views/{name}"
+        last = self._version(name)
+        version = 0 if last is None else last + 1
         if order:
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
-
-    def write_views(
-        self,
-        matches: DataFrame | None = None,
-        language: str = "ja",
-        retracted: DataFrame | None = None,
-    ) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/views/{name}/version={version}")
+        pointer = self.spark.createDataFrame([(name, version)], VERSIONS)
+        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/view_versions")
+        return self.read_view(name)
+
+    def write_views(self, matches: DataFrame | None = None) -> None:
         """Write all views."""
-        orders = {
-            "sentences": None,
-            "words": ["word"],
-            "word_sources": ["source_id", "word"],
-            "word_contexts": ["source_id", "word"],
-        }
-        for name, order in orders.items():
-            self.write_view(name, self.view(name, matches, language, retracted), order)
-        self.write_view("sources", self.sources())
+        for name, order in VIEWS.items():
+            self.write_view(name, self.view(name, matches), order)
 
     def read_view(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/views/{name}")
+        version = self._version(name)
+        if version is None:
+            raise ValueError(f"view {name!r} was never written")
+        return self.spark.read.parquet(f"{self.root}/views/{name}/version={version}")

@@ -54,9 +54,10 @@ DOCUMENTS = T.StructType(
     ]
 )
 
+#: A source's id is the hash of its url, title and author, or the name its text came under.
 SOURCES = T.StructType(
     [
-        T.StructField("source_id", T.LongType()),
+        T.StructField("source_id", T.StringType()),
         T.StructField("source_type", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField("author", T.StringType()),
@@ -65,49 +66,28 @@ SOURCES = T.StructType(
         T.StructField("meta", T.StringType()),
     ]
 )
-#: Every non-blank sentence of a source; the highest index is the source's progress.
+#: Every non-blank sentence of a source, with the size and the hash of the text it came in.
 SENTENCES = T.StructType(
     [
-        T.StructField("source_id", T.LongType()),
+        T.StructField("source_id", T.StringType()),
         T.StructField("sentence_idx", T.LongType()),
         T.StructField("sentence", T.StringType()),
         T.StructField("sentence_id", T.StringType()),
-    ]
-)
-TOKENS = T.StructType(
-    [
-        T.StructField("source_id", T.LongType()),
-        T.StructField("sentence_idx", T.LongType()),
-        T.StructField("token_idx", T.LongType()),
-        T.StructField("surface", T.StringType()),
-        T.StructField("base_form", T.StringType()),
-        T.StructField("reading", T.StringType()),
-        T.StructField("pos", STRINGS),
-        T.StructField("primary_pos", T.StringType()),
+        T.StructField("language", T.StringType()),
+        T.StructField("text_sentences", T.LongType()),
+        T.StructField("content_id", T.StringType()),
     ]
 )
 #: One row per sentence and word.
 FACTS = T.StructType(
     [
-        T.StructField("source_id", T.LongType()),
+        T.StructField("source_id", T.StringType()),
         T.StructField("sentence_idx", T.LongType()),
         T.StructField("sentence_id", T.StringType()),
         T.StructField("word", T.StringType()),
+        T.StructField("language", T.StringType()),
         T.StructField("n", T.LongType()),
         T.StructField("first_token_idx", T.LongType()),
         T.StructField("reading", T.StringType()),
     ]
 )
-#: Columns no job fills are kept so that readers find the full shape.
-WORDS = T.StructType(
-    [
-        T.StructField("word_id", T.StringType()),
-        T.StructField("word", T.StringType()),
-        T.StructField("lemma", T.StringType()),
-        T.StructField("language", T.StringType()),
-        T.StructField("pronunciation", T.StringType()),
-        T.StructField("image_url", T.StringType()),
-        T.StructField("mnemonic_text", T.StringType()),
-        T.StructField("definitions", DEFINITIONS),
-    ]
-)
