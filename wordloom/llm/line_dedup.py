@@ -7,9 +7,9 @@ spaces around them; blank lines are neither counted nor dropped.
 
 Lines are counted under 128 bits of hash, so no line travels; a hot host or line is folded in each
 task before the shuffle. The lines of one host above the ratio are at most
-(distinct lines per page / ratio), however many pages it has, so each host's list fits a row,
-and texts meet these lists in one join on the host: a broadcast where the
-lists are small, else a shuffle join whose hot hosts AQE splits. Only DataFrame functions.
+(distinct lines per page / ratio), however many pages it has, so each host's list fits a row.
+The lists are stored and measured: small ones are broadcast and texts stay where they lie; else
+texts meet them in a shuffle join on the host, whose hot hosts AQE splits. Only DataFrame functions.
 
 Defined results: null text stays null and is a page without lines; null hosts are one host; an
 empty text stays empty; a text all of whose lines go becomes ''; repeated rows are pages
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.tables import without
+from wordloom.llm.tables import broadcast_if_small, shared, without
 
 RATIO, MIN_PAGES = 0.1, 5
 
@@ -61,6 +61,7 @@ def drop_boilerplate(
     found = boilerplate(docs, host, text, ratio, min_pages).select(
         F.col("host").alias("host__"), F.col("lines").alias("boilerplate__")
     )
+    found = broadcast_if_small(shared(found, "boilerplate"))
     joined = docs.join(found, docs[host].eqNullSafe(found["host__"]), "left")
     flagged = F.col("boilerplate__")
     kept = F.when(

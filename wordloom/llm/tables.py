@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wordloom.session import work_folder
 
+#: Largest table, as JSON text, that is sent to every executor.
+BROADCAST_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -18,6 +22,13 @@ def shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(stored: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, hinted for broadcast if it was measured to be small; else joined by shuffle."""
+    size = F.octet_length(F.to_json(F.struct(*stored.columns))).cast("bigint")
+    small = (stored.agg(F.sum(size)).first()[0] or 0) <= limit
+    return F.broadcast(stored) if small else stored
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame without columns that an operator is about to add, whatever their case."""
     lowered = {n.lower() for n in names}
