@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -31,6 +32,9 @@ HEADLINE = [
     "latest_context",
     "top_contexts",
     "words_in_order",
+    "total_links_all",
+    "top_contexts_all",
+    "words_in_order_all",
     "words_upsert",
     "sentences_distinct",
     "insert_ignore",
@@ -59,6 +63,8 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wordloom-bench-"))
     known, seconds = queries(), {}
     for name in names:
         best = None

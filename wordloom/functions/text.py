@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,20 +34,29 @@ AFTER_SENTENCE_END = f"(?<=[{SENTENCE_ENDS}])"
 
 def strip_ruby(html: Column) -> Column:
     """Drop ``<rt>`` and ``<rp>`` elements, keeping the base text they annotate."""
-    html = _drop_elements(html, RUBY_READING, "</rt>")
-    return _drop_elements(html, RUBY_PARENTHESIS, "</rp>")
+    html = drop_elements(html, RUBY_READING, "</rt>")
+    return drop_elements(html, RUBY_PARENTHESIS, "</rp>")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; written out, nested uses would double at each level."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _drop_elements(html: Column, element: str, end_tag: str) -> Column:
-    """Delete elements, looking no further than the last end tag.
+def drop_elements(html: Column, element: str, end_tag: str, by: str = "") -> Column:
+    """Replace elements, looking no further than the last end tag.
 
     HTML allows to leave the end tag out. Every start tag after the last end tag would
     otherwise be searched to the end of the page, in quadratic time.
     """
-    closed = F.regexp_extract(html, rf"(?si)\A.*{end_tag}", 0)
-    return F.concat(
-        F.regexp_replace(closed, element, ""), F.substr(html, F.length(closed) + F.lit(1))
-    )
+    def without(html: Column) -> Column:
+        return let(F.regexp_extract(html, rf"(?si)\A.*{end_tag}", 0), lambda closed: joined(html, closed))
+
+    def joined(html: Column, closed: Column) -> Column:
+        rest = F.substr(html, F.length(closed) + F.lit(1))
+        return F.concat(F.regexp_replace(closed, element, by), rest)
+
+    return let(html, without)
 
 
 def sentence_pieces(text: Column) -> Column:

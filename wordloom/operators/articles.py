@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import html as H
 from wordloom.functions.text import strip_ruby, text_id
 
-#: A block seen on this many pages of a host is boilerplate.
+#: A block on more than this share of a host's different pages is boilerplate, if it is
+#: on ``REPEATED_ON_PAGES`` of them at least: on a host of two pages a share says nothing.
+REPEATED_SHARE = 0.1
 REPEATED_ON_PAGES = 3
+#: A page with less of its text left than this is a variant of another page, and keeps it all.
+MIN_OWN_SHARE = 0.3
 #: A block with a larger share of link text is navigation.
 MAX_LINK_SHARE = 0.5
 
@@ -28,9 +32,10 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """``(page_id, host, block_idx, block_id, block, link_chars)`` of all blocks with text.
+    """``(page_id, host, content_id, block_idx, block_id, block, link_chars)`` of all blocks with text.
 
-    A page without any text keeps one row with NULLs.
+    ``content_id`` is the same for pages with the same blocks. A page without any text keeps one
+    row with NULLs.
     """
     markup = H.block_markup(H.content_markup(strip_ruby(F.col("html"))))
     blocks = F.filter(
@@ -45,10 +50,16 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.select(
         "page_id",
         H.url_host(F.col("url")).alias("host"),
-        F.posexplode_outer(blocks).alias("at", "b"),
+        blocks.alias("blocks"),
     ).select(
         "page_id",
         "host",
+        text_id(F.array_join("blocks.block", "\n")).alias("content_id"),
+        F.posexplode_outer("blocks").alias("at", "b"),
+    ).select(
+        "page_id",
+        "host",
+        "content_id",
         F.col("at").cast("bigint").alias("block_idx"),
         F.when(F.col("b").isNotNull(), text_id(F.col("b.block"))).alias("block_id"),
         F.col("b.block").alias("block"),
@@ -56,29 +67,31 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     )
 
 
-def repeated_blocks(blocks: DataFrame, min_pages: int = REPEATED_ON_PAGES) -> DataFrame:
-    """``(host, block_id)`` of blocks that many pages of a host share. Moves keys, not text."""
-    return (
-        blocks.where(F.col("block_id").isNotNull())
-        .groupBy("host", "block_id", "page_id")
-        .agg(F.lit(1).alias("_one"))
-        .groupBy("host", "block_id")
-        .agg(F.count(F.lit(1)).alias("pages"))
-        .where(F.col("pages") >= min_pages)
-        .select("host", "block_id")
-    )
+def repeated_blocks(blocks: DataFrame, share: float = REPEATED_SHARE) -> DataFrame:
+    """``(host, block_id)`` of blocks that many different pages of a host share. Moves keys, not text.
+
+    Copies of a page count as one page, under however many addresses a host shows it.
+    """
+    keys = blocks.where(F.col("block_id").isNotNull()).select("host", "block_id", "content_id")
+    counted = keys.distinct().groupBy("host", "block_id").agg(F.count(F.lit(1)).alias("pages"))
+    hosts = keys.select("host", "content_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    often = (F.col("pages") >= REPEATED_ON_PAGES) & (F.col("pages") > share * F.col("of"))
+    return counted.where(F.col("pages") >= REPEATED_ON_PAGES).join(hosts, "host").where(often).select(
+        "host", "block_id")
 
 
-def main_text(blocks: DataFrame, min_pages: int = REPEATED_ON_PAGES) -> DataFrame:
+def main_text(blocks: DataFrame, share: float = REPEATED_SHARE) -> DataFrame:
     """``(page_id, n_blocks, text)``: the blocks that are neither navigation nor boilerplate.
 
+    A page that would lose most of its text is a variant of other pages of the host, not
+    boilerplate around an article of its own, and keeps all blocks that are no navigation.
     Every page keeps its row, if only with empty text. Only keys take part in the count and
     the join; text is shuffled once, by page, where it meets the positions to leave out.
-    ``blocks`` is read three times, twice without its text: write ``page_blocks`` to a
+    ``blocks`` is read several times, mostly without its text: write ``page_blocks`` to a
     table and pass that, so that the markup is parsed once.
     """
     repeated = blocks.join(
-        repeated_blocks(blocks, min_pages), ["host", "block_id"], "left_semi"
+        repeated_blocks(blocks, share), ["host", "block_id"], "left_semi"
     ).select("page_id", "block_idx", F.lit(None).cast("string").alias("block"))
     is_text = F.col("link_chars") <= MAX_LINK_SHARE * F.length("block")
     candidates = blocks.select(
@@ -96,7 +109,13 @@ def main_text(blocks: DataFrame, min_pages: int = REPEATED_ON_PAGES) -> DataFram
         lambda z: z["b"]["block"].isNotNull()
         & (F.coalesce(z["before"], F.lit(-1)) != z["b"]["block_idx"]),
     )
-    return merged.select("page_id", F.transform(kept, lambda z: z["b"]["block"]).alias("kept")).select(
+    def chars(texts: Column) -> Column:
+        return F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+
+    whole = F.filter(F.col("all.block"), lambda t: t.isNotNull())
+    chosen = merged.select("page_id", F.transform(kept, lambda z: z["b"]["block"]).alias("own"), whole.alias("whole"))
+    variant = chars(F.col("own")) < MIN_OWN_SHARE * chars(F.col("whole"))
+    return chosen.select("page_id", F.when(variant, F.col("whole")).otherwise(F.col("own")).alias("kept")).select(
         "page_id",
         F.size("kept").cast("bigint").alias("n_blocks"),
         F.array_join("kept", "\n").alias("text"),

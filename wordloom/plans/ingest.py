@@ -226,13 +226,11 @@ def ingest_pages(
     # Page ids name rows of this batch only; a repeated one would mix the blocks of two pages.
     own = text_id(F.col("url"), F.col("html"))
     pages = staged(pages.select(F.col("page_id").alias("arrival"), own.alias("page_id"), "url", "html"), "rows")
-    pages = pages.groupBy("page_id").agg(F.min("arrival").alias("arrival"), F.first("url").alias("url"),
-                                         F.first("html").alias("html"))
+    one = [F.min("arrival").alias("arrival"), F.first("url").alias("url"), F.first("html").alias("html")]
+    pages = staged(pages.groupBy("page_id").agg(*one), "pages")
     good = spread(accepted_pages(pages), "page_id")
-    described = staged(
-        dedup_keys(page_metadata(good)).join(pages.select(F.col("page_id").alias("source_id"), "arrival"), "source_id"),
-        "described",
-    )
+    arrivals = pages.select(F.col("page_id").alias("source_id"), "arrival")
+    described = staged(dedup_keys(page_metadata(good)), "described").join(arrivals, "source_id")
     row = F.struct(*SOURCES.fieldNames()[1:])
     created = (
         described.groupBy("source_key")

@@ -34,10 +34,20 @@ def _drop_ruby(x: str) -> str:
 
 
 def _plain(x: str) -> str:
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for entity, char in H.ENTITIES:
-        x = f"replace({x}, {_q(entity)}, {_q(char)})"
-    return _trim(f"regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g')")
+    x = f"regexp_replace({x}, {_q(H.ANY_TAG)}, '', 'g')"
+    code = """CASE WHEN r[3:3] IN ('x', 'X') THEN ('0x' || r[4:-2])::INT ELSE r[3:-2]::INT END"""
+    valid = f"(({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111)"
+    named = " ".join(f"WHEN r = {_q(k)} THEN {_q(v)}" for k, v in H.ENTITIES)
+    one = f"CASE {named} WHEN NOT starts_with(r, '&#') OR len(r) < 4 THEN r WHEN {valid} THEN chr({code}) ELSE chr(65533) END"
+    pieces = f"regexp_extract_all({x}, {_q(H.REFERENCE_OR_TEXT)})"
+    x = f"coalesce(array_to_string(list_transform({pieces}, lambda r: {one}), ''), '')"
+    return _trim(f"regexp_replace({x}, '[ \\t\\n\\r\\f\\x{{a0}}]+', ' ', 'g')")
+
+
+def _content(x: str) -> str:
+    for element, _ in H.NON_CONTENT:
+        x = f"regexp_replace({x}, {_q(element)}, ' ', 'g')"
+    return x
 
 
 def _key(*parts: str) -> str:
@@ -261,8 +271,7 @@ _HOST = f"lower(regexp_extract(url, {_q(H.URL_HOST)}, 1))"
 ARTICLES = f"""
 marked AS (
   SELECT page_id, {_HOST} AS host,
-    regexp_split_to_array(regexp_replace({_drop_ruby('html')}, {_q(H.NON_CONTENT)}, ' ', 'g'),
-      {_q(H.BLOCK_TAG)}) AS ms
+    regexp_split_to_array({_content(_drop_ruby('html'))}, {_q(H.BLOCK_TAG)}) AS ms
   FROM pages WHERE strlen(html) < 10485760),
 pieces AS (
   SELECT page_id, host, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM marked),
@@ -272,11 +281,19 @@ blocks AS (
       lambda a: length({_plain('a')}))), 0) AS link_chars
   FROM pieces),
 texts AS (SELECT * FROM blocks WHERE block <> ''),
+contents AS (
+  SELECT page_id, host, string_agg(block, chr(10) ORDER BY i) AS content FROM texts GROUP BY page_id, host),
 repeats AS (
-  SELECT host, block FROM texts GROUP BY host, block HAVING count(DISTINCT page_id) >= 3),
-kept_blocks AS (
-  SELECT t.* FROM texts t ANTI JOIN repeats USING (host, block)
-  WHERE link_chars <= 0.5 * length(block)),
+  SELECT host, block FROM texts JOIN contents USING (page_id, host)
+  JOIN (SELECT host, count(DISTINCT content) AS of FROM contents GROUP BY host) USING (host)
+  GROUP BY host, block, of HAVING count(DISTINCT content) >= 3 AND count(DISTINCT content) > 0.1 * of),
+candidates AS (
+  SELECT t.*, r.block IS NULL AS own FROM texts t LEFT JOIN repeats r USING (host, block)
+  WHERE link_chars <= 0.5 * length(t.block)),
+variants AS (
+  SELECT page_id, coalesce(sum(length(block)) FILTER (own), 0) < 0.3 * sum(length(block)) AS whole
+  FROM candidates GROUP BY page_id),
+kept_blocks AS (SELECT * FROM candidates JOIN variants USING (page_id) WHERE own OR whole),
 articles AS (
   SELECT m.page_id, count(k.block) AS n_blocks,
     coalesce(string_agg(k.block, chr(10) ORDER BY k.i), '') AS text
@@ -291,12 +308,13 @@ PAGE_FACTS = ",".join(
     ]
 )
 
+_META = "regexp_extract(regexp_extract(html, {0}), " + _q(H.CONTENT) + ", 1)"
 _PAGE_SOURCES = f"""
   SELECT page_id AS source_id, 'website_article' AS source_type,
     {_plain(f"regexp_extract(html, {_q(H.TITLE)}, 1)")} AS title,
-    {_plain(f"regexp_extract(html, {_q(H.META_AUTHOR)}, 1)")} AS author,
-    CASE WHEN {_plain(f"regexp_extract(html, {_q(H.META_SITE)}, 1)")} <> ''
-      THEN {_plain(f"regexp_extract(html, {_q(H.META_SITE)}, 1)")} ELSE {_HOST} END AS website,
+    {_plain(_META.format(_q(H.META_AUTHOR)))} AS author,
+    CASE WHEN {_plain(_META.format(_q(H.META_SITE)))} <> ''
+      THEN {_plain(_META.format(_q(H.META_SITE)))} ELSE {_HOST} END AS website,
     url, '' AS meta
   FROM pages"""
 

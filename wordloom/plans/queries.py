@@ -173,12 +173,8 @@ def view_sentences(spark, folder):
 
 @_query
 def view_sources(spark, folder):
-    """Sources of pages taken in twice, beside documents whose ids are those of pages."""
     store = VocabularyStore(spark, work_folder(spark, "store"))
-    pages = corpus.table(spark, folder, "pages")
-    for _ in range(2):
-        ingest_pages(store, pages, drop_ascii=False)
-    ingest_batch(store, _texts(spark, folder))
+    ingest_pages(store, corpus.table(spark, folder, "pages"), drop_ascii=False)
     return store.write_view("sources", store.view("sources")).drop("last_processed_sentence")
 
 
