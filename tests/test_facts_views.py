@@ -133,13 +133,19 @@ def test_dedup_sources(spark, rows):
 
 
 def test_words_by_source_reads_null_as_empty(spark, rows):
-    words = spark.createDataFrame([("魚", "さかな", None), ("犬", None, None)],
-                                  "word string, pronunciation string, image_url string")
-    links = spark.createDataFrame([(1, "魚"), (2, "犬")], "source_id long, word string")
-    assert rows(views.words_by_source(words, links, 1)) == [("魚", "さかな", "", 1)]
+    words = spark.createDataFrame([("a", "魚", "さかな", None), ("b", "犬", None, None)],
+                                  "word_id string, word string, pronunciation string, image_url string")
+    links = spark.createDataFrame([(1, "a"), (2, "b")], "source_id long, word_id string")
+    assert rows(views.words_by_source(words, links, 1)) == [("a", "魚", "さかな", "", 1)]
     assert views.words_by_source(words, links).count() == 2
 
 
+def test_words_written_alike_are_told_apart(spark, rows):
+    words = spark.createDataFrame([("a", "run", "run"), ("b", "run", "runs")], "word_id string, word string, lemma string")
+    links = spark.createDataFrame([(1, "a")], "source_id long, word_id string")
+    assert rows(views.words_by_source(words, links), "lemma") == [("run",)]
+
+
 def test_validate(spark, rows):
     data = [("web", "a", 1, 1, 1), ("  ", "a", 1, 1, 1), ("web", "　", 1, 1, 1), ("web", "a", 0, 1, 1),
             ("web", "a", -1, 1, 1), ("web", "a", 1, 0, 1), ("web", "a", 1, 1, 0), ("web", None, 1, 1, 1)]
@@ -205,7 +211,8 @@ def test_a_hot_word_is_split_when_links_are_joined(spark):
         hot = spark.range(20000).selectExpr("id source_id", "'hot' word")
         cold = spark.range(40000).selectExpr("id source_id", "concat('w', id % 997) word")
         links = hot.unionByName(cold).repartition(8, "source_id")
-        words = links.select("word").distinct().withColumn("pronunciation", F.lit("x"))
+        links = links.withColumnRenamed("word", "word_id")
+        words = links.select("word_id").distinct().withColumn("pronunciation", F.lit("x"))
         joined = views.words_by_source(words, links)
         assert joined.collect() and joined.count() == 60000
         assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
