@@ -1,4 +1,5 @@
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -134,13 +135,44 @@ def brute_force(text, terms):
 @pytest.mark.parametrize("limit", [64 << 20, 300, 0])
 def test_lexicon_against_brute_force(spark, monkeypatch, limit):
     """With everything broadcast, with only some sides, and with joins by shuffle alone."""
-    monkeypatch.setattr(tokens, "is_small", lambda df: layout.is_small(df, limit))
+    monkeypatch.setattr(tokens, "is_small", lambda df, own: layout.is_small(df, min(own, limit)))
+    monkeypatch.setattr(layout, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(tokens, "CHUNK", 7)
     rng = random.Random(5)
     terms = {"".join(rng.choice("あいう") for _ in range(rng.randint(1, 5))) for _ in range(12)}
     terms -= {"あ"}
-    texts = ["".join(rng.choice("あいうえ") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    terms |= {"い・う", "あ。い・", "𠮷野", "𠮷"}
+    texts = ["".join(rng.choice("あいうえ・。𠮷野") for _ in range(rng.randint(1, 40))) for _ in range(60)]
     df = tokenize_lexicon(sentences(spark, *texts), lexicon(spark, terms))
     got = {}
     for r in df.orderBy("sentence_idx", "token_idx").collect():
         got.setdefault(r["sentence_idx"], []).append(r["surface"])
-    assert got == {i: brute_force(t, terms) for i, t in enumerate(texts)}
+    expected = {i: brute_force(t, terms) for i, t in enumerate(texts)}
+    assert got == {i: [x for p in ps for x in cut_at_scripts(p, terms)] for i, ps in expected.items()}
+
+
+def cut_at_scripts(piece, terms):
+    return [piece] if piece in terms else re.findall("[あ-え]+|[𠮷野]+|.", piece)
+
+
+def test_lexicon_terms_may_hold_punctuation_and_spaces(spark, rows):
+    words = lexicon(spark, ["アイス・クリーム", "アイス", "New York", " ", ""])
+    df = tokenize_lexicon(sentences(spark, "アイス・クリーム、アイス・New York 市", "", None), words)
+    got = [r[1:] for r in sorted(rows(df, "token_idx", "surface", "in_lexicon"))]
+    assert got == [
+        ("アイス・クリーム", True), ("、", False), ("アイス", True), ("・", False),
+        ("New York", True), ("市", False),
+    ]
+    assert sorted(rows(df, "token_idx"))[-1] == (5,)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_lexicon_is_linear_in_a_long_run(spark, monkeypatch, small):
+    """A run of a million characters by the small lexicon, of 50,000 by joins."""
+    monkeypatch.setattr(tokens, "is_small", lambda df, limit: small)
+    times = 250_000 if small else 12_500
+    df = tokenize_lexicon(sentences(spark, "手紙は犬" * times), lexicon(spark, ["手紙", "犬"]))
+    got = df.groupBy("surface", "in_lexicon").count().collect()
+    assert {tuple(r) for r in got} == {
+        ("手紙", True, times), ("は", False, times), ("犬", True, times),
+    }

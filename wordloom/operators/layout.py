@@ -37,12 +37,13 @@ def measured_bytes(df: DataFrame) -> int:
     return df.select(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
     """Whether the rows may be sent to every executor.
 
     The optimizer's estimate is too low after an explode, so it may rule a broadcast
     out but not in: a side it finds small enough is measured.
     """
+    limit = BROADCAST_BYTES if limit is None else limit
     return estimated_bytes(df) <= limit and measured_bytes(df) <= limit
 
 
@@ -51,6 +52,6 @@ def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Hint a broadcast only for a side that was measured to be small."""
     return broadcast_if(is_small(df, limit), df)

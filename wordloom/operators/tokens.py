@@ -11,21 +11,23 @@ from pyspark.sql import types as T
 
 from wordloom.functions import morph
 from wordloom.functions.text import WHITE_SPACE, is_blank
-from wordloom.operators.layout import broadcast_if, is_small
+from wordloom.operators.layout import broadcast_if_small, is_small
 from wordloom.schemas import MORPHEME
 
 #: A word, a number, or one other character that is not white space.
 SPACED_TOKEN = rf"[\p{{L}}\p{{M}}]+|\p{{N}}+|[^\p{{L}}\p{{M}}\p{{N}}{WHITE_SPACE}]"
 STARTS_AS_WORD = r"\A[\p{L}\p{M}]"
 STARTS_AS_NUMBER = r"\A\p{N}"
-#: Stretches a lexicon term may lie in; terms hold letters, marks and digits only.
-LEXICON_RUN = rf"[\p{{L}}\p{{M}}\p{{N}}]+|[^\p{{L}}\p{{M}}\p{{N}}{WHITE_SPACE}]"
-LEXICON_TERM = r"\A[\p{L}\p{M}\p{N}]+\z"
-#: Text that is in no lexicon is cut where the script changes.
+#: Text that is in no lexicon is cut where the script changes; white space is left out.
 SCRIPT_RUN = (
     r"[\p{IsHan}々]+|\p{IsHiragana}+|[\p{IsKatakana}ー]+|\p{N}+"
-    r"|[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}々ー]]+|."
+    r"|[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}々ー]]+"
+    rf"|[^{WHITE_SPACE}]"
 )
+#: Largest lexicon, as JSON text, that each Python worker keeps; a larger one is joined.
+LEXICON_BYTES = 16 << 20
+#: Characters of a sentence that one row stands for before they meet a large lexicon.
+CHUNK = 512
 #: Parts of speech given by script alone.
 WORD_POS, NUMBER_POS, SYMBOL_POS = ("名詞", "一般"), ("名詞", "数"), ("記号", "一般")
 
@@ -91,116 +93,148 @@ def tokenize_with(
 
 
 def tokenize_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Longest-match tokens of unspaced text: the spans of the text joined to a lexicon.
+    """Longest-match tokens of unspaced text, whatever characters the terms hold.
 
     ``lexicon`` has ``term`` and ``features`` (array of strings, may be NULL). From
     left to right the longest term that starts at a position is taken; text between
     terms becomes tokens of its own, cut where the script changes, with
-    ``in_lexicon`` false.
+    ``in_lexicon`` false. Blank terms are left out. Sentences must differ in their
+    other columns.
 
     A position only tries the lengths of the terms that begin with its two characters,
-    and one character if that is a term, so there is no cap on the length of terms.
+    and one character if that is a term, so there is no cap on the length of terms. A
+    lexicon measured to be small goes to the tasks and texts stay where they lie; else the
+    spans of the text are joined to it. Time is linear in the length of a sentence.
     """
     terms = (
-        lexicon.where(F.col("term").rlike(LEXICON_TERM))
+        lexicon.where(~is_blank(F.col("term")))
         .groupBy("term")
         .agg(F.min("features").alias("features"))
     )
-    # The lengths by head are never more than the terms, and far fewer for a large lexicon,
-    # so each side is broadcast on its own merits; terms travel without their features.
-    small = is_small(terms)
-    known = terms.select("term", F.lit(True).alias("known"))
-    small_known = small or is_small(known)
-    sized = terms.withColumn("len", F.length("term"))
-    longer = (
-        sized.where("len > 1")
-        .groupBy(F.substring("term", 1, 2).alias("head2"))
-        .agg(F.collect_set("len").alias("lens2"))
-    )
-    single = sized.where("len = 1").select(
-        F.col("term").alias("head1"), F.array("len").alias("lens1")
-    )
-    keys = [c for c in sentences.columns if c != "sentence"]
-    found = F.regexp_extract_all(F.col("sentence"), F.lit(LEXICON_RUN), F.lit(0))
-    runs = sentences.select(*keys, F.posexplode(found).alias("run_idx", "run"))
-    no_lens = F.array().cast("array<int>")
-    starts = (
-        runs.select("*", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
-        .withColumn("head1", F.substring(F.col("run"), F.col("start"), F.lit(1)))
-        .withColumn("head2", F.substring(F.col("run"), F.col("start"), F.lit(2)))
-        .join(broadcast_if(small_known or is_small(longer), longer), "head2", "left")
-        .join(broadcast_if(small_known or is_small(single), single), "head1", "left")
-        .withColumn(
-            "lens", F.concat(F.coalesce("lens1", no_lens), F.coalesce("lens2", no_lens))
+    known = terms.select("term")
+    if is_small(known, LEXICON_BYTES):
+        cut = sentences.withColumn("pieces", _matcher(known)(F.col("sentence")))
+    else:
+        cut = _with_hits(sentences, known)
+        cut = cut.withColumn("pieces", _hit_taker()(F.col("sentence"), F.col("hits")))
+
+    def piece(text: Column, in_lexicon: bool) -> Column:
+        return F.struct(text.alias("surface"), F.lit(in_lexicon).alias("in_lexicon"))
+
+    def own(text: Column, at: Column) -> Column:
+        unknown = F.regexp_extract_all(text, F.lit(SCRIPT_RUN), F.lit(0))
+        return F.when(at % 2 == 1, F.array(piece(text, True))).otherwise(
+            F.transform(unknown, lambda x: piece(x, False))
         )
+
+    keys = [c for c in sentences.columns if c != "sentence"]
+    tokens = cut.select(
+        *keys, F.posexplode(F.flatten(F.transform("pieces", own))).alias("at", "t")
+    ).select(*keys, F.col("at").cast("bigint").alias("token_idx"), "t.surface", "t.in_lexicon")
+    # No term starts within unknown text, so a token that is no term finds no features.
+    features = broadcast_if_small(terms.where(F.col("features").isNotNull()))
+    found = tokens.join(features, F.col("surface") == F.col("term"), "left").drop("term")
+    return project_features(found)
+
+
+def _walker() -> Callable[[str, Callable[[int], int]], list[str]]:
+    """Made here, like the analysers of ``tokenize_with``, so that it travels by value."""
+
+    def walk(text: str, length_at: Callable[[int], int]) -> list[str]:
+        """Unknown text and terms by turns, beginning and ending with unknown text."""
+        out, done, at = [], 0, 0
+        while at < len(text):
+            length = length_at(at)
+            if length:
+                out += [text[done:at], text[at : at + length]]
+                done = at = at + length
+            else:
+                at += 1
+        return [*out, text[done:]]
+
+    return walk
+
+
+def _matcher(known: DataFrame) -> Callable[[Column], Column]:
+    """Pieces of a sentence by a small lexicon, which every worker holds."""
+    terms = set(known.toArrow().column(0).to_pylist())
+    lengths: dict[str, set[int]] = {}
+    for term in terms:
+        lengths.setdefault(term[:2], set()).add(len(term))
+    longest_first = {head: sorted(own, reverse=True) for head, own in lengths.items()}
+    shared = known.sparkSession.sparkContext.broadcast((longest_first, terms))
+    walk = _walker()
+
+    def match(texts: pd.Series) -> pd.Series:
+        by_head, terms = shared.value
+
+        def pieces(text: str) -> list[str]:
+            def length_at(at: int) -> int:
+                for length in by_head.get(text[at : at + 2], ()):
+                    if text[at : at + length] in terms:
+                        return length
+                return int(text[at] in terms)
+
+            return walk(text, length_at)
+
+        return texts.map(lambda text: pieces(text or ""))
+
+    return F.pandas_udf(match, T.ArrayType(T.StringType()))
+
+
+def _hit_taker() -> Callable[[Column, Column], Column]:
+    """Pieces of a sentence by its hits: position times 2^32 plus length."""
+    walk = _walker()
+
+    def take(texts: pd.Series, hits: pd.Series) -> pd.Series:
+        def pieces(text: str, own: list[int]) -> list[str]:
+            longest = {hit >> 32: hit & 0xFFFFFFFF for hit in sorted(own)}
+            return walk(text, lambda at: longest.get(at, 0))
+
+        both = zip(texts, hits, strict=True)
+        return pd.Series([pieces(t or "", h.tolist()) for t, h in both], dtype=object)
+
+    return F.pandas_udf(take, T.ArrayType(T.StringType()))
+
+
+def _with_hits(sentences: DataFrame, known: DataFrame) -> DataFrame:
+    """Add ``hits`` by joining the spans of the text that a term could cover.
+
+    A sentence is cut into chunks, each with the text that a term may reach into, so that
+    finding a span costs no more than its chunk however long the sentence is.
+    """
+    keys = [c for c in sentences.columns if c != "sentence"]
+    longest = known.agg(F.max(F.length("term"))).first()[0] or 1
+    heads = known.groupBy(F.substring("term", 1, 2).alias("head")).agg(
+        F.collect_set(F.length("term")).alias("lens")
     )
-    # Only the first position carries the run, the others the text that a term could cover.
-    spans = starts.select(
+    chunk = rf"(?s)(?=(.{{1,{CHUNK + longest - 1}}})).{{1,{CHUNK}}}"
+    chunks = sentences.select(
         *keys,
-        "run_idx",
-        "start",
-        F.when(F.col("start") == 1, F.col("run")).alias("run"),
-        F.substring(F.col("run"), F.col("start"), F.array_max("lens")).alias("ahead"),
-        "lens",
-    ).select("*", F.explode_outer("lens").alias("len"))
-    found = spans.withColumn(
-        "term", F.substring(F.col("ahead"), F.lit(1), F.col("len"))
-    ).join(broadcast_if(small_known, known), "term", "left")
-    hit = F.when(
-        F.col("known") & (F.length("term") == F.col("len")),
-        F.struct("start", (-F.col("len")).alias("neg_len")),
+        F.posexplode(F.regexp_extract_all("sentence", F.lit(chunk), F.lit(1))).alias("no", "chunk"),
     )
-    # Misses go before the shuffle; the first position stays, so no run is lost.
-    per_run = (
-        found.select(*keys, "run_idx", "start", "run", hit.alias("hit"))
-        .where(F.col("hit").isNotNull() | (F.col("start") == 1))
-        .groupBy(*keys, "run_idx")
-        .agg(F.max("run").alias("run"), F.array_sort(F.collect_list("hit")).alias("hits"))
+    start = F.explode(F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK))))
+    ahead = F.substring(F.col("chunk"), F.col("start"), F.lit(longest))
+    spots = chunks.select(*keys, "no", "chunk", start.alias("start")).select(
+        *keys,
+        (F.col("no").cast("bigint") * CHUNK + F.col("start") - 1).alias("spot"),
+        ahead.alias("ahead"),
+    )
+    begins = F.array_distinct(F.array(F.substring("ahead", 1, 1), F.substring("ahead", 1, 2)))
+    spans = (
+        spots.select(*keys, "spot", "ahead", F.explode(begins).alias("head"))
+        .join(broadcast_if_small(heads), "head")
+        .select(*keys, "spot", "ahead", F.explode("lens").alias("len"))
+        .where(F.length("ahead") >= F.col("len"))
+        .withColumn("term", F.substring(F.col("ahead"), F.lit(1), F.col("len")))
+        .join(broadcast_if_small(known), "term", "left_semi")
     )
-    pieces = F.flatten(_longest_from_left(F.col("run"), F.col("hits")))
-    tokens = per_run.select(*keys, "run_idx", F.posexplode(pieces).alias("at", "t")).select(
+    hits = spans.select(
         *keys,
-        (F.col("run_idx").cast("bigint") * F.lit(1 << 32) + F.col("at")).alias("token_idx"),
-        "t.surface",
-        "t.in_lexicon",
+        F.lit(None).cast("string").alias("sentence"),
+        (F.shiftleft("spot", 32) + F.col("len")).alias("hit"),
     )
-    # Features join the tokens that were chosen, so candidates stay two numbers each.
-    features = broadcast_if(small, terms.where(F.col("features").isNotNull()))
-    term = F.when(F.col("in_lexicon"), F.col("surface"))
-    return project_features(tokens.join(features, term == F.col("term"), "left").drop("term"))
-
-
-def _longest_from_left(run: Column, hits: Column) -> Column:
-    """Groups of tokens: for every term taken, the unknown text before it and the term."""
-    token_type = "array<array<struct<surface:string,in_lexicon:boolean>>>"
-
-    def unknown(first: Column, end: Column) -> Column:
-        text = F.substring(run, first, end - first)
-        return F.transform(
-            F.regexp_extract_all(text, F.lit(SCRIPT_RUN), F.lit(0)),
-            lambda s: F.struct(s.alias("surface"), F.lit(False).alias("in_lexicon")),
-        )
-
-    def take(acc: Column, hit: Column) -> Column:
-        term = F.struct(
-            F.substring(run, hit["start"], -hit["neg_len"]).alias("surface"),
-            F.lit(True).alias("in_lexicon"),
-        )
-        group = F.concat(unknown(acc["next"], hit["start"]), F.array(term))
-        return F.when(
-            hit["start"] >= acc["next"],
-            F.struct(
-                (hit["start"] - hit["neg_len"]).alias("next"),
-                F.concat(acc["groups"], F.array(group)).alias("groups"),
-            ),
-        ).otherwise(acc)
-
-    start = F.struct(F.lit(1).alias("next"), F.array().cast(token_type).alias("groups"))
-    return F.aggregate(
-        hits,
-        start,
-        take,
-        lambda acc: F.concat(
-            acc["groups"], F.array(unknown(acc["next"], F.length(run) + F.lit(1)))
-        ),
+    whole = sentences.select(*keys, "sentence", F.lit(None).cast("bigint").alias("hit"))
+    return whole.unionAll(hits).groupBy(*keys).agg(
+        F.max("sentence").alias("sentence"), F.collect_list("hit").alias("hits")
     )

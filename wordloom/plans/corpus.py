@@ -18,6 +18,8 @@ from wordloom.operators.tokens import tokenize_spaced
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 KANA_OF_LETTERS = "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
+#: Two words with punctuation between them.
+WORD_PAIR = r"\p{L}+[.,;:] \p{L}+"
 RUBY_WORD = r"(\p{L}{5,})"
 WITH_RUBY = '<ruby>{0}<rp>(</rp><rt class="r">{0}</rt><rp>)</rp></ruby>'
 
@@ -128,6 +130,13 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def word_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """``term``: neighbours in ``benchmark`` with the punctuation between them, without space."""
+    pairs = F.regexp_extract_all(F.lower("text"), F.lit(WORD_PAIR), F.lit(0))
+    found = table(spark, folder, "benchmark").select(F.explode(pairs).alias("pair"))
+    return found.select(F.regexp_replace("pair", r"\s+", "").alias("term"))
+
+
 def corpus_words(spark: SparkSession, folder: str) -> DataFrame:
     """Each word of the documents once, some in kana, with lemma, pronunciation and reading."""
     plain = document_words(spark, folder, drop_ascii=False).select("word").distinct()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from wordloom.functions import html as H
 from wordloom.functions.text import HIRAGANA, KATAKANA, WHITE_SPACE
-from wordloom.plans.corpus import KANA_OF_LETTERS, LETTERS
+from wordloom.plans.corpus import KANA_OF_LETTERS, LETTERS, WORD_PAIR
 
 
 def _q(text: str) -> str:
@@ -232,40 +232,40 @@ backfilled AS (
 # From each position the longest term, else one character; a step leads to the next position.
 LONGEST_MATCH = rf"""
 runs AS (
-  SELECT source_id, sentence_idx, unnest(rs) AS run, unnest(range(len(rs)))::BIGINT AS run_no
-  FROM (SELECT source_id, sentence_idx, regexp_extract_all(
-          regexp_replace(lower(sentence), '\s+', '', 'g'),
-          '[\p{{L}}\p{{M}}\p{{N}}]+|[^\p{{L}}\p{{M}}\p{{N}}{SPACE_CLASS}]') AS rs FROM ts)),
-lexicon AS (SELECT DISTINCT term, length(term) AS size FROM terms WHERE term <> ''),
+  SELECT source_id, sentence_idx, regexp_replace(lower(sentence), '\s+', '', 'g') AS run FROM ts),
+lexicon AS (
+  SELECT DISTINCT term, length(term) AS size FROM terms WHERE term <> ''
+  UNION SELECT regexp_replace(pair, '\s+', '', 'g'), length(regexp_replace(pair, '\s+', '', 'g'))
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD_PAIR}')) AS pair FROM benchmark)),
 sizes AS (SELECT DISTINCT size FROM lexicon),
 starts AS (SELECT *, unnest(range(1, length(run) + 1)) AS spot FROM runs),
 longest AS (
-  SELECT source_id, sentence_idx, run_no, spot, max(l.size) AS size
+  SELECT source_id, sentence_idx, spot, max(l.size) AS size
   FROM (SELECT *, substring(run, spot, size) AS span FROM starts, sizes) s
   JOIN lexicon l ON l.term = s.span AND l.size = s.size GROUP BY ALL),
 walk AS (
-  SELECT source_id, sentence_idx, run_no, run, 1::BIGINT AS spot FROM runs
+  SELECT source_id, sentence_idx, run, 1::BIGINT AS spot FROM runs WHERE run <> ''
   UNION ALL
-  SELECT w.source_id, w.sentence_idx, w.run_no, w.run, w.spot + coalesce(l.size, 1)
-  FROM walk w LEFT JOIN longest l USING (source_id, sentence_idx, run_no, spot)
+  SELECT w.source_id, w.sentence_idx, w.run, w.spot + coalesce(l.size, 1)
+  FROM walk w LEFT JOIN longest l USING (source_id, sentence_idx, spot)
   WHERE w.spot + coalesce(l.size, 1) <= length(w.run)),
 steps AS (
-  SELECT w.*, l.size FROM walk w LEFT JOIN longest l USING (source_id, sentence_idx, run_no, spot)),
+  SELECT w.*, l.size FROM walk w LEFT JOIN longest l USING (source_id, sentence_idx, spot)),
 grouped AS (
   SELECT *, count(size) OVER (
-    PARTITION BY source_id, sentence_idx, run_no ORDER BY spot) AS terms_before FROM steps),
+    PARTITION BY source_id, sentence_idx ORDER BY spot) AS terms_before FROM steps),
 cut AS (
-  SELECT source_id, sentence_idx, run_no, spot, 0::BIGINT AS piece_no,
+  SELECT source_id, sentence_idx, spot, 0::BIGINT AS piece_no,
     substring(run, spot, size) AS surface, true AS in_lexicon,
     {_kana("substring(run, spot, size)")} AS reading
   FROM grouped WHERE size IS NOT NULL
   UNION ALL
-  SELECT source_id, sentence_idx, run_no, spot, unnest(range(len(ps)))::BIGINT, unnest(ps), false, ''
-  FROM (SELECT source_id, sentence_idx, run_no, min(spot) AS spot,
+  SELECT source_id, sentence_idx, spot, unnest(range(len(ps)))::BIGINT, unnest(ps), false, ''
+  FROM (SELECT source_id, sentence_idx, min(spot) AS spot,
           regexp_extract_all(string_agg(substring(run, spot, 1), '' ORDER BY spot),
-            '[\p{{L}}\p{{M}}]+|\p{{N}}+|.') AS ps
+            '[\p{{L}}\p{{M}}]+|\p{{N}}+|[^{SPACE_CLASS}]') AS ps
         FROM grouped WHERE size IS NULL
-        GROUP BY source_id, sentence_idx, run_no, terms_before))"""
+        GROUP BY source_id, sentence_idx, terms_before))"""
 
 _HOST = f"lower(regexp_extract(url, {_q(H.URL_HOST)}, 1))"
 ARTICLES = f"""
@@ -443,8 +443,8 @@ def oracle_sql() -> dict[str, str]:
         + (TURN_SENTENCES + "," + DICTIONARY + "," + LONGEST_MATCH).strip()
         + """
             SELECT source_id, sentence_idx,
-              run_no * 4294967296 + row_number() OVER (
-                PARTITION BY source_id, sentence_idx, run_no ORDER BY spot, piece_no) - 1 AS token_idx,
+              row_number() OVER (
+                PARTITION BY source_id, sentence_idx ORDER BY spot, piece_no) - 1 AS token_idx,
               surface, in_lexicon, reading FROM cut""",
         "tokenize_plugged": _with(
             TURN_SENTENCES,

@@ -318,8 +318,9 @@ def tokenize_spaced_(spark, folder):
 
 @_query
 def tokenize_lexicon_(spark, folder):
-    """Conversations with the spaces taken out, cut by the words of the dictionary."""
-    lexicon = dictionary.dictionary_terms(corpus.entries(spark, folder)).select(
+    """Conversations without spaces, cut by the dictionary's words and pairs with punctuation."""
+    words = dictionary.dictionary_terms(corpus.entries(spark, folder)).select("term")
+    lexicon = words.unionAll(corpus.word_pairs(spark, folder)).select(
         "term",
         F.array(*[F.lit("名詞")] + [F.lit("*")] * 5, F.col("term"), corpus.kana(F.col("term")))
         .alias("features"),
