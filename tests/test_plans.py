@@ -72,6 +72,18 @@ def test_lookup_is_two_equi_joins(spark, as_laid_out):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_words_that_are_their_own_lemma_do_not_meet_under_null(spark, as_laid_out, monkeypatch):
+    monkeypatch.setattr(dictionary, "is_small", lambda df: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = spark.createDataFrame([("a", "a"), ("b", None)], "word string, lemma string")
+        matches = dictionary.term_matches(corpus.entries(spark, FOLDER))
+        text = plan(dictionary.lookup(words, matches))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(coalesce\(lemma#\d+, word#\d+\)", text)
+
+
 def test_a_large_dictionary_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(dictionary, "is_small", lambda df: layout.is_small(df, 10))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -99,7 +111,9 @@ def test_no_query_crosses_or_leaves_the_jvm(spark, name):
     text = plan(queries.queries()[name](spark, FOLDER))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "FlatMapGroupsInPandas"):
         assert node not in text
-    assert ("ArrowEvalPython" in text) == (name in {"tokenize_plugged", "analysed_word_counts"})
+    assert ("ArrowEvalPython" in text) == (
+        name in {"tokenize_plugged", "analysed_word_counts", "tokenize_lexicon"}
+    )
     assert "SinglePartition" not in text or name in {"total_links", "backfill_count"}
 
 

@@ -57,13 +57,13 @@ def lookup(
     row, so words are neither multiplied nor grouped again. With ``match_reading``
     an entry must also have the pronunciation among its kana, unless the
     pronunciation is empty. ``words`` needs ``word``, may have ``lemma`` and, for
-    ``match_reading``, ``pronunciation``. Rows that fail ``where`` are not looked up.
+    ``match_reading``, ``pronunciation``. Rows that fail ``where`` get no entries.
     ``small`` says whether to broadcast the dictionary where that is known.
     """
     side = broadcast_if(is_small(matches) if small is None else small, matches)
-    word, lemma = F.col("word"), F.when(F.col("lemma") != F.col("word"), F.col("lemma"))
-    if where is not None:
-        word, lemma = F.when(where, word), F.when(where, lemma)
+    word = F.col("word")
+    # Never NULL: in a shuffle, all words that are their own lemma would meet there.
+    lemma = F.coalesce(F.col("lemma"), word)
     found = words.join(
         side.select(F.col("term").alias("_term"), F.col("matches").alias("_by_word")),
         word == F.col("_term"),
@@ -78,6 +78,8 @@ def lookup(
         ).drop("_term")
         by_lemma = F.coalesce(F.col("_by_lemma"), F.array().cast(_MATCH))
         hits = F.array_sort(F.array_union(hits, by_lemma))
+    if where is not None:
+        hits = F.when(where, hits).otherwise(F.array().cast(_MATCH))
     if match_reading:
         spoken = to_hiragana(empty_if_null(F.col("pronunciation")))
         hits = F.when(spoken == "", hits).otherwise(
@@ -135,7 +137,7 @@ def backfill_definitions(words: DataFrame, matches: DataFrame) -> DataFrame:
 
     The lookup goes by word or lemma and demands the reading. Words that have definitions
     take no part in the join: with a broadcast dictionary they pass it by in the same
-    scan, else they are kept out of its shuffle, where they would all meet under NULL.
+    scan, else they are kept out of its shuffle.
     """
     if isinstance(words.schema["definitions"].dataType, T.ArrayType):
         missing = F.coalesce(F.size("definitions"), F.lit(0)) <= 0
