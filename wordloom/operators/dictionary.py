@@ -61,25 +61,23 @@ def lookup(
     ``small`` says whether to broadcast the dictionary where that is known.
     """
     side = broadcast_if(is_small(matches) if small is None else small, matches)
-    word = F.col("word")
-    # Never NULL: in a shuffle, all words that are their own lemma would meet there.
-    lemma = F.coalesce(F.col("lemma"), word)
+    word, wanted = F.col("word"), F.lit(True) if where is None else where
+    # Rows that need no lookup are spread by their word: under NULL they would all meet in a shuffle.
+    lemma, other = F.coalesce(F.col("lemma"), word), F.col("lemma") != word
     found = words.join(
         side.select(F.col("term").alias("_term"), F.col("matches").alias("_by_word")),
-        word == F.col("_term"),
+        (word == F.col("_term")) & wanted,
         "left",
     ).drop("_term")
     hits: Column = F.coalesce(F.col("_by_word"), F.array().cast(_MATCH))
     if "lemma" in words.columns:
         found = found.join(
             side.select(F.col("term").alias("_term"), F.col("matches").alias("_by_lemma")),
-            lemma == F.col("_term"),
+            (lemma == F.col("_term")) & other & wanted,
             "left",
         ).drop("_term")
         by_lemma = F.coalesce(F.col("_by_lemma"), F.array().cast(_MATCH))
         hits = F.array_sort(F.array_union(hits, by_lemma))
-    if where is not None:
-        hits = F.when(where, hits).otherwise(F.array().cast(_MATCH))
     if match_reading:
         spoken = to_hiragana(empty_if_null(F.col("pronunciation")))
         hits = F.when(spoken == "", hits).otherwise(
