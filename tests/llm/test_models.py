@@ -183,3 +183,14 @@ def test_rates_solve_the_least_squares(spark):
     rates = np.array([r[0] for r in members.select(F.col("n_tokens"), rate.alias("r")).select("r").collect()])
     assert (soft * (rates * tokens)[:, None]).sum(axis=0) == pytest.approx(expected, rel=1e-9)
     assert expected == pytest.approx(target, rel=1e-3)
+
+
+def test_learning_takes_bounded_passages_from_the_whole_text(spark):
+    assert quality_classifier.spread_over(5, 9, 10).tolist() == [5, 6, 7, 8]
+    assert quality_classifier.spread_over(0, 1000, 4).tolist() == [0, 250, 500, 750]
+    rows = [(1, "plain words here " * 5000), (2, "## $$ !! " * 5000), (3, ""), (4, None)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    model = quality_classifier.learn(own, marks, max_passages=3)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(own, model).collect()}
+    assert set(got) == {1, 2, 3, 4} and all(0 <= x <= 1 for x in got.values())

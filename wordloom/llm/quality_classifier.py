@@ -8,9 +8,10 @@ A layer embeds the passages, gated attention (Ilse, Tomczak, Welling 2018)
 
 weighs them, and a logistic unit scores the weighted sum of the embeddings.
 
-Learning takes at most ``max_rows`` labelled documents, the first by a hash of their id; their encoded
-passages, not their texts, go to the driver, where a few thousand weights are fitted
-(Adam, fixed seed). Scoring reads texts where they lie: no shuffle. Labels, language,
+Learning takes at most ``max_rows`` labelled documents, the first by a hash of their id, and of each at
+most ``max_passages`` passages, evenly spread over its whole text. These go to the driver encoded,
+so what it holds is bounded however long the texts are, and a few thousand weights are fitted there
+(Adam, fixed seed). Scoring reads all passages of all texts where they lie: no shuffle. Labels, language,
 source and id take no part in a score.
 
 Defined results: null and empty texts are a bag with one empty passage and get a score; labels
@@ -36,7 +37,7 @@ from wordloom.llm.tables import without
 
 PASSAGE = 64
 PAIRS = 48
-MAX_ROWS = 6000
+MAX_ROWS, MAX_PASSAGES = 6000, 128
 HIDDEN, GATE = 24, 12
 KINDS = 7  # lower, upper, digit, symbol, mark, stop, beyond ASCII
 FEATURES = PAIRS + KINDS + 5
@@ -173,9 +174,15 @@ def fit(
     return model
 
 
+def spread_over(start: int, end: int, most: int) -> np.ndarray:
+    """At most ``most`` numbers from ``start`` up to ``end``, evenly spread."""
+    n = min(end - start, most)
+    return start + np.arange(n) * (end - start) // n
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-    max_rows: int = MAX_ROWS,
+    max_rows: int = MAX_ROWS, max_passages: int = MAX_PASSAGES,
 ) -> AttentionModel:
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     marks = marks.groupBy(F.col(doc_id).alias("id__")).agg(F.min(label).cast("double").alias("label__"))
@@ -188,7 +195,8 @@ def learn(
             marks = batch.column(1).to_numpy()
             for rows, data, offsets in pieces(utf8(batch.column(0))):
                 features, before = encode(data, offsets)
-                bags = [features[a:b].tobytes() for a, b in zip(before[:-1], before[1:], strict=True)]
+                bags = [features[spread_over(a, b, max_passages)].tobytes()
+                        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bags), pa.array(marks[rows])], names=["bag", "label"])
 
     found = own.orderBy("id__").select("text__", "label__").mapInArrow(run, "bag binary, label double").toArrow()
