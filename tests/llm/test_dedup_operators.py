@@ -151,6 +151,15 @@ def test_suffix_dedup_of_odd_ids(spark):
     assert suffix_dedup.dedup_strings(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    rng = random.Random(9)
+    body, other = ("".join(rng.choice("abcdefghij") for _ in range(130)) for _ in range(2))
+    rows = [(1, body), (1, body), (None, other), (None, other), (2, body + "tail"), (3, other), (3, other)]
+    got = suffix_dedup.dedup_strings(frame(spark, rows)).collect()
+    left = sorted((r["doc_id"] or 0, r["n_bytes"] - r["n_removed"], r["n_spans"]) for r in got)
+    assert left == [(0, 130, 0), (0, 130, 0), (1, 130, 0), (1, 130, 0), (2, 4, 1), (3, 0, 1), (3, 0, 1)]
+
+
 # -- SimHash ----------------------------------------------------------------------
 
 

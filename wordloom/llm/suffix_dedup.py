@@ -19,7 +19,8 @@ the same string; all but the earliest start of each such class are repeats.
 
 Defined results: null is an empty text; texts shorter than ``length`` are kept; rows with equal ids, or
 without one, go in order of their text's hash, null ids first; rows that repeat another
-in id and text are the same text and are judged alike; an empty table gives an empty table.
+in id and text are one text: it is looked through once and what is found holds for each of them, so a row's
+repetition takes nothing from it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -445,7 +446,7 @@ def repeated_spans(
 ) -> DataFrame:
     """``id``, ``tie``, ``at``, ``n``: ``n`` strings from byte ``at`` on that also start earlier.
 
-    ``texts`` has ``id`` and ``tie``, which give the order and name a text, and ``text``.
+    ``texts`` has ``id`` and ``tie``, which give the order and name a text, and ``text``; each pair once.
     """
     rows = texts.select("id", "tie", "text").mapInArrow(_cut(length, gram), ROW)
     # Copies already known go anywhere; a minimizer's stretches meet.
@@ -483,7 +484,9 @@ def dedup_strings(
     tie = F.xxhash64("text") if twice else F.lit(0).cast("bigint")
     least = F.lit(-(1 << 63)).cast("bigint")
     texts = plain.select("doc_id", F.coalesce("doc_id", least).alias("id"), tie.alias("tie"), "text")
-    spans = repeated_spans(texts, length, **options)
+    # A row that comes again would be a later copy of itself.
+    once = shared(texts.select("id", "tie", "text").distinct(), "distinct-texts") if twice else texts
+    spans = repeated_spans(once, length, **options)
     gone = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     joined = texts.join(gone, ["id", "tie"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(
