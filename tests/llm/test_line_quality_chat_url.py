@@ -63,6 +63,17 @@ def test_line_dedup_without_broadcast(spark, monkeypatch):
     assert sorted(r["text"] for r in got.collect()) == sorted(str(i) for i in range(20))
 
 
+def test_copies_of_a_page_do_not_make_its_lines_boilerplate(spark):
+    copied = "first own line\nsecond own line\nMenu"
+    rows = [(i, copied, "en", "a") for i in range(10)]
+    rows += [(100 + i, f"own {i}\nMenu", "en", "a") for i in range(20)] + [(200 + i, None, "en", "a") for i in range(9)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(docs(spark, *rows)).collect()}
+    want = {i: "first own line\nsecond own line" for i in range(10)} | {100 + i: f"own {i}" for i in range(20)}
+    assert got == want | {200 + i: None for i in range(9)}
+    rows_count = line_dedup.drop_boilerplate(docs(spark, *rows), each_row=True)
+    assert rows_count.where("doc_id = 0").first()["text"] == ""
+
+
 # -- quality rules ----------------------------------------------------------------
 
 

@@ -2,18 +2,19 @@
 
 A line is boilerplate of its host if the pages of the host that hold it are more than
 ``ratio`` of the host's pages, and at least ``min_pages``: on a host of a few pages a share says
-nothing. Every row is a page; a line counts once per page. Lines are compared without the
+nothing. Rows of a host with equal texts are one page, so copies of a document do not vote its lines into
+boilerplate; with ``each_row`` every row is a page. A line counts once per page. Lines are compared without the
 spaces around them; blank lines are neither counted nor dropped.
 
-Lines are counted under 128 bits of hash, so no line travels; a hot host or line is folded in each
-task before the shuffle. The lines of one host above the ratio are at most
+Lines and pages are counted under 128 bits of hash, so no line travels; a hot host, page or line is folded in
+each task before the shuffle. The lines of one host above the ratio are at most
 (distinct lines per page / ratio), however many pages it has, so each host's list fits a row.
 The lists are stored and measured: small ones are broadcast and texts stay where they lie; else
 texts meet them in a shuffle join on the host, whose hot hosts AQE splits. Only DataFrame functions.
 
 Defined results: null text stays null and is a page without lines; null hosts are one host; an
-empty text stays empty; a text all of whose lines go becomes ''; repeated rows are pages
-of their own; an empty table gives an empty table; columns named like the new ones are replaced.
+empty text stays empty; a text all of whose lines go becomes ''; null texts
+of a host are one page; an empty table gives an empty table; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ from wordloom.llm.tables import broadcast_if_small, shared, without
 RATIO, MIN_PAGES = 0.1, 5
 
 
+def _hashes(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
+
+
 def _key(line: Column) -> Column:
-    line = F.trim(line)
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
+    return _hashes(F.trim(line))
 
 
 def _lines(text: str) -> Column:
@@ -37,14 +41,19 @@ def _lines(text: str) -> Column:
 
 def boilerplate(
     docs: DataFrame, host: str = "source", text: str = "text",
-    ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    ratio: float = RATIO, min_pages: int = MIN_PAGES, each_row: bool = False,
 ) -> DataFrame:
     """``host``, ``lines``: the keys of its boilerplate lines."""
     filled = F.filter(_lines(text), lambda x: F.trim(x) != "")
+    page = F.lit(None) if each_row else _hashes(F.col(text))
     lines = docs.select(
-        F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(filled, _key))).alias("line")
-    )
-    pages = docs.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("host_pages"))
+        F.col(host).alias("host"), page.alias("page"),
+        F.explode(F.array_distinct(F.transform(filled, _key))).alias("line"),
+    )
+    pages = docs.select(F.col(host).alias("host"), page.alias("page"))
+    if not each_row:
+        lines, pages = lines.distinct(), pages.distinct()
+    pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
     counted = counted.where(F.col("pages") >= min_pages)
     joined = counted.alias("l").join(pages.alias("p"), F.expr("l.host <=> p.host"))
@@ -54,11 +63,11 @@ def boilerplate(
 
 def drop_boilerplate(
     docs: DataFrame, host: str = "source", text: str = "text",
-    ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    ratio: float = RATIO, min_pages: int = MIN_PAGES, each_row: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate taken out of ``text``, and ``n_lines``, ``n_dropped``."""
     docs = without(docs, "n_lines", "n_dropped", "boilerplate__", "kept__", "host__")
-    found = boilerplate(docs, host, text, ratio, min_pages).select(
+    found = boilerplate(docs, host, text, ratio, min_pages, each_row).select(
         F.col("host").alias("host__"), F.col("lines").alias("boilerplate__")
     )
     found = broadcast_if_small(shared(found, "boilerplate"))

@@ -46,8 +46,9 @@ def queries() -> dict[str, Query]:
 
 @_query
 def op1_line_dedup(spark, folder):
+    """Every row is a page, as in the SQL it is checked against; the pipeline counts copies once."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup.drop_boilerplate(docs, each_row=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 @_query
