@@ -256,3 +256,22 @@ def test_near_duplicates(spark):
     kept = sorted((r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()), key=repr)
     assert kept == sorted((i for i, c in want if i is None or i == c), key=repr)
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
+    rows = [(1, a), (1, a), (None, a), (4, a + " more"), (None, b), (None, b), (None, b + " more"), (3, c), (7, c), (7, d), (9, d)]
+    got = sorted(map(tuple, simhash.one_row_of_each(frame(spark, rows)).collect()), key=repr)
+    assert len(got) == 4 and [r for r in got if r[0] is not None] == [(1, a, "x"), (3, c, "x"), (7, d, "x")]
+    assert [r[1].startswith(b) for r in got if r[0] is None] == [True]
+    odd = spark.createDataFrame([(1, None, "x"), (1, "x", None), (1, "x", None)], "doc_id long, text string, other string")
+    assert sorted(map(tuple, simhash.one_row_of_each(odd).collect()), key=repr) == [(1, "x", None), (1, None, "x")]
+    assert simhash.one_row_of_each(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_the_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    a = " ".join(f"w{i}" for i in range(200))
+    got = corpus_pipeline.keep_one_of_each(spark, frame(spark, [(1, a), (1, a), (None, a)]), "")
+    assert [tuple(r) for r in got.collect()] == [(1, a, "x")]

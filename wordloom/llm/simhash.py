@@ -31,10 +31,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.llm.arrays import U64, utf8
 from wordloom.llm.graph import components
-from wordloom.llm.tables import shared
+from wordloom.llm.tables import broadcast_if_small, shared
 
 SHINGLE, SEED, BITS = 4, 42, 4
 CELL_ROWS = 20_000
@@ -63,19 +64,20 @@ def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``fp``: the fingerprint as a signed 64-bit number."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def fingerprints(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc_id``, ``keep``, ``fp``: the fingerprint as a signed 64-bit number."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
+            texts = utf8(batch.columns[-1])
             found = np.fromiter((text_fingerprint(t.as_py()) for t in texts), U64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                [*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]).add("fp", "long"))
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -221,13 +223,18 @@ def links(distinct: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROWS) ->
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _rooted(distinct: DataFrame, bits: int) -> DataFrame:
+    """The stored table of distinct ``fp`` with ``root``, a number that linked fingerprints share."""
+    groups = components(links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
+    rooted = distinct.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    return shared(rooted.drop("component"), "rooted-fingerprints")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id``: the smallest id that links reach, the own one included."""
     marked = shared(fingerprints(docs, doc_id, text), "fingerprints")
     distinct = shared(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    groups = components(links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    rooted = shared(rooted.select("fp", "root", "first_id"), "rooted-fingerprints")
+    rooted = _rooted(distinct, bits)
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -242,3 +249,27 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
     found = near_duplicates(docs, doc_id, text, bits)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone__"))
     return docs.join(gone.distinct(), docs[doc_id] == F.col("gone__"), "left_anti")
+
+
+def one_row_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """One row of each group of ``docs``: the smallest id, none after all ids, then by a hash of the row.
+
+    Rows are told apart by 128 bits of hash over all their columns; of rows equal in all of them one stays. They are
+    folded in each task before they meet, and only winners that come again are moved to be folded.
+    """
+    key = ["row_a__", "row_b__"]
+    own = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]  # a hash skips nulls
+    keyed = docs.withColumns({key[0]: F.xxhash64(*own), key[1]: F.xxhash64(F.lit(1), *own)})
+    marked = fingerprints(keyed, doc_id, text, tuple(key))
+    rows = shared(marked.groupBy("doc_id", *key, "fp").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)
+    distinct = shared(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
+    firsts = _rooted(distinct, bits).groupBy("root").agg(F.min("first").alias("first"))
+    best = firsts.select(*[F.col("first")[k].alias(k) for k in key])
+    left = keyed.join(rows.join(best, key, "left_anti").select(*key), key, "left_anti")
+    again = shared(rows.where("n > 1").join(best, key, "left_semi").select(*key), "repeated-rows")
+    if not again.isEmpty():
+        again = broadcast_if_small(again)
+        once = left.join(again, key, "left_semi").dropDuplicates(key)
+        left = left.join(again, key, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
