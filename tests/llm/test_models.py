@@ -63,6 +63,17 @@ def test_many_languages_and_a_bounded_sample(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in answers) >= 10
 
 
+def test_copies_of_a_text_are_learned_from_once(spark, monkeypatch):
+    learned = []
+    counts = language_id._gram_counts
+    monkeypatch.setattr(language_id, "_gram_counts", lambda texts: learned.append(texts) or counts(texts))
+    copies = [(10_000 + i, speech("aa", "copied"), "aa") for i in range(200)]
+    model = language_id.learn(docs(spark, *corpus(), *copies))
+    plain = language_id.learn(docs(spark, *corpus(), copies[0]))
+    assert [t.count() for t in learned] == [91, 91]
+    assert (model.fill == plain.fill).all() and all((a == b).all() for a, b in zip(model.slots, plain.slots, strict=True))
+
+
 def test_false_positives_are_taken_off():
     full = np.ones(1 << language_id.SLOT_BITS, np.uint8)
     model = language_id.LanguageFilter(["aa", "bb"], [full], np.array([1.0, 0.0]), 0)

@@ -10,14 +10,15 @@ no letters read as spaces. A language contains an n-gram that is in at least ``m
 of its training texts, and in at least ``relative`` times the share that another language
 has, so stray foreign lines do not enter its filter.
 
-Learning takes about ``max_rows`` rows, chosen by a hash of the text, counts n-grams on the executors and
+Copies of a text in a language are one training text. Learning takes about ``max_rows`` of them, chosen by a
+hash of the text, counts n-grams on the executors and
 brings the filter, whose size is fixed, to the driver. Prediction reads texts where they lie:
 no shuffle. Only text and label are learned from, only text is predicted from.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; letters that no filter
 knows give the most frequent training language with score 0; ties go to the language first
 in order; rows without a label are not learned from; with nothing to learn from all
-is ``und``. Repeated rows are predicted each.
+is ``und``. Repeated rows are learned from once and predicted each.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm.arrays import BASE, U64, mix, pieces, utf8
+from wordloom.llm.tables import broadcast_if_small, shared
 
 SLOT_BITS, HASHES = 20, 3
 MAX_ROWS = 50_000
@@ -116,14 +118,21 @@ def learn(
     labelled: DataFrame, lang: str = "lang", text: str = "text", max_rows: int = MAX_ROWS,
     min_share: float = MIN_SHARE, relative: float = RELATIVE,
 ) -> LanguageFilter:
-    """The filter of all languages; ``max_rows`` bounds the expected number of rows learned from."""
+    """The filter of all languages; ``max_rows`` bounds the expected number of different texts learned from."""
     rows = labelled.select(F.col(lang).cast("string").alias("name"), F.col(text).alias("text"))
     rows = rows.where("name is not null and text is not null")
-    total = rows.count()
-    share = min(1.0, max_rows / max(total, 1))
+    key = ["name", "draw", "hash"]
+    rows = rows.withColumns({"draw": F.xxhash64("text", F.lit("learn")), "hash": F.xxhash64("text")})
+    different = shared(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "training-texts")
+    share = min(1.0, max_rows / max(different.count(), 1))
     if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit("learn")), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
-    sizes = {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        drawn = F.pmod(F.col("draw"), F.lit(1 << 30)) < math.ceil(share * (1 << 30))
+        rows, different = rows.where(drawn), different.where(drawn)
+    # Only texts that come again are moved, to be folded; of the sample they are at most some max_rows keys.
+    again = broadcast_if_small(shared(different.where("n > 1").select(*key), "repeated-texts"))
+    once = rows.join(again, key, "left_semi").dropDuplicates(key)
+    rows = rows.join(again, key, "left_anti").unionByName(once)
+    sizes = {r["name"]: r["n"] for r in different.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
     slots = [np.zeros(1 << SLOT_BITS, np.int64) for _ in range(-(-len(names) // WORD))]
     if not names:
@@ -179,10 +188,10 @@ def predict(
     """All columns of ``docs`` but for ones named like the two new ones: language and score."""
     taken = {pred.lower(), score.lower()}
     own = docs.select(*[c for c in docs.columns if c.lower() not in taken])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = sent.value
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
