@@ -184,5 +184,55 @@ LEFT JOIN tainted t ON node = t.u
 """
 
 
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    def nearest(r: int) -> str:
+        return f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+  FROM (SELECT rid, cluster, list_sum(list_transform(list_zip(x.v, c.v),
+          lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM kept x, c{r} c)
+  GROUP BY rid)"""
+
+    def means(r: int) -> str:
+        return f"""
+s{r} AS (
+  SELECT cluster, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+  FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS i FROM kept JOIN a{r} USING (rid)) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY cluster) m
+  USING (cluster))"""
+
+    steps = ",".join(nearest(r) + "," + means(r) for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v
+  FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k})),
+{steps},{nearest(rounds)},
+sums AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY cluster)
+SELECT vec_id, a.cluster::INTEGER AS cluster, a.distance::BIGINT AS distance, cluster_inertia,
+  (SELECT sum(distance)::BIGINT FROM a{rounds}) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (rid) JOIN sums USING (cluster) JOIN c{rounds} c USING (cluster)
+"""
+
+
+_SQL["op12_exact_top_k"] = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.rid, q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM kept q JOIN kept x ON q.rid <> x.rid WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id ASC NULLS LAST) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, "op3_quality_rules": _op3()}
+    return {**_SQL, "op3_quality_rules": _op3(), "op11_centroid_clustering": _op11()}

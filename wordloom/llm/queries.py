@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import (
+    centroids,
     chat_format,
     decontamination,
     language_id,
@@ -17,6 +18,8 @@ from wordloom.llm import (
     quality_rules,
     simhash,
     suffix_dedup,
+    token_alignment,
+    topk_search,
     url_filters,
 )
 from wordloom.llm.tables import table
@@ -122,3 +125,19 @@ def op10_simhash_near_dedup(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op11_centroid_clustering(spark, folder):
+    found = centroids.cluster(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@_query
+def op12_exact_top_k(spark, folder):
+    return topk_search.top_k(table(spark, folder, "embeddings"))
+
+
+@_query
+def op13_cross_tokenizer_alignment(spark, folder):
+    return token_alignment.summary(table(spark, folder, "documents"))
