@@ -187,6 +187,7 @@ TEXTS = [
     "The quick brown fox jumps over the lazy dog.", "Élan vital, naïve façade; ¿qué?", "日本語のテキスト と emoji 🙂🙃",
     "<|endoftext|> </s>[INST] <0x41> <unk>", "  two  spaces\n\n\ttabs \r\n", " ", "\n", "a", "▁ literal", "", None,
     "The quick brown fox", "The quick brown fox", "\x00\x01 control", "word " * 3000, "x" * 5000,
+    "a" + " " * 3000 + "b", "\n" * 1500 + "'s 'll it's",
 ]
 
 
