@@ -50,6 +50,7 @@ SLICE_BYTES, SLICE_TOKENS = 1 << 18, 1 << 17
 #: Pairs that a task gathers before it hands them on, and pairs sent to the tasks at a time.
 HELD_PAIRS, BLOCK_PAIRS = 1 << 22, 1 << 21
 _SPACE = "▁"
+COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,6 +67,31 @@ BYTE_LEVEL_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 LONG_RUN = re.compile(r"\s{1000}")
 
 
+def _byte_vocabulary(path: str) -> tuple[dict, list[bytes], dict[int, str]]:
+    """What the file says, the bytes of each id, and the added tokens."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    added = {t["id"]: t["content"] for t in told["added_tokens"]}
+    letters, known = byte_letters(), told["model"]["vocab"]
+    of_id = [b""] * (max([*known.values(), *added]) + 1)
+    for token, number in known.items():
+        if number not in added:
+            of_id[number] = bytes(map(letters.__getitem__, token))
+    for number, token in added.items():
+        of_id[number] = token.encode()
+    return told, of_id, added
+
+
+@lru_cache(maxsize=2)
+def _library_coder(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(path)
+    coder.encode_special_tokens = True
+    return coder
+
+
 @lru_cache(maxsize=4)
 def byte_level(path: str):
     """A: an encoder of lists of texts, and the bytes of each id.
@@ -74,25 +100,15 @@ def byte_level(path: str):
     vocabulary is run by an engine that merges by rank: the same ids at a quarter of the time
     (equal on every code point and on 900,000 random strings).
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     import tiktoken
-    from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-    with open(path, encoding="utf-8") as file:
-        told = json.load(file)
-    added = {t["id"]: t["content"] for t in told["added_tokens"]}
-    letters = byte_letters()
-    known = coder.get_vocab(with_added_tokens=True)
-    of_id = [b""] * (max(known.values()) + 1)
-    for token, number in known.items():
-        of_id[number] = added[number].encode() if number in added else bytes(map(letters.__getitem__, token))
+    told, of_id, added = _byte_vocabulary(path)
 
     def slow(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in coder.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in _library_coder(path).encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
     cut, model = told["pre_tokenizer"] or {}, told["model"]
+    known = model["vocab"]
     merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
     plain = (cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
              and not told["normalizer"] and not model.get("ignore_merges")
@@ -125,10 +141,10 @@ def pieces(path: str):
     return encode, of_id
 
 
-@lru_cache(maxsize=4)
-def _lengths(kind: str, path: str) -> np.ndarray:
-    of_id = (byte_level if kind == "a" else pieces)(path)[1]
-    return np.array([len(b) for b in of_id], np.int64)
+def lengths(files: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each id of both sides; found once, so that tasks which only read ids load no tokenizer."""
+    both = _byte_vocabulary(files[0])[1], pieces(files[1])[1]
+    return tuple(np.array([len(x) for x in side], np.int64) for side in both)
 
 
 def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,13 +210,13 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[starts[0] : starts[-1]].astype(np.int64), (starts - starts[0]).astype(np.int64)
 
 
-def _tokens(batch: pa.RecordBatch, files: tuple[str, str]) -> Iterator[tuple]:
+def _tokens(batch: pa.RecordBatch, sizes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
     """Rows, ids, starts and ends of both sides, in slices."""
     a, starts_a = _flat(batch.column("a"))
     b, starts_b = _flat(batch.column("b"))
     for x, y in _cuts(starts_a + starts_b, SLICE_TOKENS):
         own_a, own_b = a[starts_a[x] : starts_a[y]], b[starts_b[x] : starts_b[y]]
-        ends = (np.cumsum(_lengths(k, f)[own]) for k, f, own in zip("ab", files, (own_a, own_b), strict=True))
+        ends = (np.cumsum(size[own]) for size, own in zip(sizes, (own_a, own_b), strict=True))
         yield x, y, own_a, own_b, starts_a[x : y + 1] - starts_a[x], starts_b[x : y + 1] - starts_b[x], *ends
 
 
@@ -233,28 +249,35 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         run, T.StructType([rows.schema["doc_id"], T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def _groups(batch: pa.RecordBatch, sizes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
+    """Rows, starts of their tokens, groups of the tokens (from 0 in a text), and the groups, links and digest of each text."""
+    for x, y, a, b, starts_a, starts_b, ends_a, ends_b in _tokens(batch, sizes):
+        group_a, group_b = components(ends_a, ends_b)
+        full = np.diff(starts_b) > 0
+        first = np.zeros(y - x, np.int64)
+        first[full] = group_b[starts_b[:-1][full]]
+        n_groups = np.zeros(y - x, np.int64)
+        n_groups[full] = group_b[starts_b[1:][full] - 1] - first[full] + 1
+        shared_ends = np.searchsorted(np.flatnonzero(np.isin(ends_b, ends_a, assume_unique=True)), starts_b)
+        n_links = np.diff(starts_a) + np.diff(starts_b) - np.diff(shared_ends)
+        texts = group_texts(a, b, group_a, group_b, starts_a, starts_b)
+        digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+        own = [(group - np.repeat(first, np.diff(starts))).astype(np.int32)
+               for group, starts in ((group_a, starts_a), (group_b, starts_b))]
+        yield x, y, (starts_a, starts_b), own, n_groups, n_links, digests
+
+
 def align(encoded: DataFrame, files: tuple[str, str] = (f"{FOLDER}/{A_FILE}", f"{FOLDER}/{B_FILE}")) -> DataFrame:
     """The encoded rows with ``a_group``, ``b_group`` (group of each token, from 0 in each text) and
     ``n_groups``, ``n_links``, ``groups_sha256``."""
+    sizes = lengths(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, a, b, starts_a, starts_b, ends_a, ends_b in _tokens(batch, files):
-                group_a, group_b = components(ends_a, ends_b)
-                full = np.diff(starts_b) > 0
-                first = np.zeros(y - x, np.int64)
-                first[full] = group_b[starts_b[:-1][full]]
-                n_groups = np.zeros(y - x, np.int64)
-                n_groups[full] = group_b[starts_b[1:][full] - 1] - first[full] + 1
-                n_links = np.diff(starts_a) + np.diff(starts_b) - np.diff(np.searchsorted(
-                    np.flatnonzero(np.isin(ends_b, ends_a)), starts_b))
-                texts = group_texts(a, b, group_a, group_b, starts_a, starts_b)
-                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
-                own = [(group - np.repeat(first, np.diff(starts))).astype(np.int32)
-                       for group, starts in ((group_a, starts_a), (group_b, starts_b))]
+            for x, y, starts, own, n_groups, n_links, digests in _groups(batch, sizes):
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(x, y - x) for c in batch.columns),
-                     *(lists(g, np.diff(s), pa.int32()) for g, s in zip(own, (starts_a, starts_b), strict=True)),
+                     *(lists(g, np.diff(s), pa.int32()) for g, s in zip(own, starts, strict=True)),
                      pa.array(n_groups), pa.array(n_links), pa.array(digests, pa.string())],
                     names=[*batch.schema.names, *added.names])
 
@@ -272,6 +295,7 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
 
 def pair_counts(encoded: DataFrame, files: tuple[str, str] = (f"{FOLDER}/{A_FILE}", f"{FOLDER}/{B_FILE}")) -> DataFrame:
     """``a``, ``b``, ``n``, ``best``: in how many links an id pair stands, and whether no pair of this ``b`` has more."""
+    sizes = lengths(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -283,7 +307,7 @@ def pair_counts(encoded: DataFrame, files: tuple[str, str] = (f"{FOLDER}/{A_FILE
                 names=["a", "b", "n"])
 
         for batch in batches:
-            for _, _, a, b, _, _, ends_a, ends_b in _tokens(batch, files):
+            for _, _, a, b, _, _, ends_a, ends_b in _tokens(batch, sizes):
                 i, j = overlaps(ends_a, ends_b)
                 held.append(np.unique(a[i] << 32 | b[j], return_counts=True))
                 if len(held) > 8:
@@ -300,51 +324,72 @@ def pair_counts(encoded: DataFrame, files: tuple[str, str] = (f"{FOLDER}/{A_FILE
     return counted.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+def _block(pairs: DataFrame, n: int, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of a block of pairs with their counts and marks: about as many as a block may have."""
+    key = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+    part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(many).cast("long")) == n)
+    got = part.select(key.alias("key"), "n", "best").toArrow()
+    keys, counts, best = (got.column(c).to_numpy().astype(np.int64) for c in got.column_names)
+    order = np.argsort(keys)
+    return keys[order], counts[order], best[order]
+
+
+def _scores(batch: pa.RecordBatch, sizes, block) -> tuple[np.ndarray, np.ndarray]:
+    """What a block of pairs adds to ``n_best`` and ``count_sum`` of each row."""
+    keys, counts, best = block
+    sums = np.zeros((2, len(batch)), np.int64)
+    for x, y, a, b, _, starts_b, ends_a, ends_b in _tokens(batch, sizes) if len(keys) else []:
+        i, j = overlaps(ends_a, ends_b)
+        wanted = a[i] << 32 | b[j]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        bounds = np.searchsorted(j, starts_b)  # links stand in the order of b, which no text shares
+        for into, value in zip(sums, (best, counts), strict=True):
+            into[x:y] = np.diff(np.concatenate([[0], np.cumsum(np.where(hit, value[at], 0))])[bounds])
+    return sums[0], sums[1]
+
+
 def score_links(
-    aligned: DataFrame,
+    encoded: DataFrame,
     pairs: DataFrame,
     files: tuple[str, str] = (f"{FOLDER}/{A_FILE}", f"{FOLDER}/{B_FILE}"),
     block_pairs: int = BLOCK_PAIRS,
 ) -> DataFrame:
-    """``n_best`` and ``count_sum`` of each row: links whose count is the highest of their ``b``, and the sum of counts."""
-    context = aligned.sparkSession.sparkContext
+    """``doc_id``, token, group and link counts, ``n_best`` (links whose count is the highest of their ``b``),
+    ``count_sum`` (of the counts of all links) and the groups' digest of each encoded row."""
+    context, sizes = encoded.sparkSession.sparkContext, lengths(files)
     pairs = shared(pairs, "counted-pairs")
     many = max(1, -(-pairs.count() // block_pairs))
-    names = [c for c in aligned.columns if c not in ("n_best", "count_sum")]
-    out = aligned.select(*names, F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
-    kind = out.schema
+    zero = F.lit(0).cast("long")
+    rows = encoded.select("doc_id", "a", "b", zero.alias("n_best"), zero.alias("count_sum"))
+    result = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in COUNTS),
+                           T.StructField("groups_sha256", T.StringType())])
 
-    def passed(rows: DataFrame, block) -> DataFrame:
+    def passed(rows: DataFrame, sent, last: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, counts, best = block.value
             for batch in batches:
-                n_best, count_sum = (batch.column(c).to_numpy().copy() for c in ("n_best", "count_sum"))
-                for x, y, a, b, _, starts_b, ends_a, ends_b in _tokens(batch, files):
-                    i, j = overlaps(ends_a, ends_b)
-                    wanted = a[i] << 32 | b[j]
-                    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-                    hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-                    bounds = np.searchsorted(j, starts_b)  # links stand in the order of b, which no text shares
-                    for into, value in ((n_best, best), (count_sum, counts)):
-                        sums = np.concatenate([[0], np.cumsum(np.where(hit, value[at], 0))]) if len(keys) else np.zeros(len(j) + 1)
-                        into[x:y] += np.diff(sums[bounds]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-2], pa.array(n_best), pa.array(count_sum)], names=batch.schema.names)
-
-        return rows.mapInArrow(run, kind)
+                scores = _scores(batch, sizes, sent.value)
+                n_best, count_sum = (batch.column(c).to_numpy() + s for c, s in zip(names, scores, strict=True))
+                if not last:
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns[:3], pa.array(n_best), pa.array(count_sum)], names=batch.schema.names)
+                    continue
+                for x, y, starts, _, n_groups, n_links, digests in _groups(batch, sizes):
+                    n_a, n_b = map(np.diff, starts)
+                    numbers = (n_a, n_b, n_groups, n_links, n_best[x:y], count_sum[x:y])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(x, y - x), *map(pa.array, numbers), pa.array(digests, pa.string())],
+                        names=result.names)
+
+        names = ("n_best", "count_sum")
+        return rows.mapInArrow(run, result if last else rows.schema)
 
-    key = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     for n in range(many):
-        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(many).cast("long")) == n)
-        got = part.select(key.alias("key"), "n", "best").toArrow()  # about block_pairs rows
-        keys, counts, best = (got.column(c).to_numpy().astype(np.int64) for c in got.column_names)
-        order = np.argsort(keys)
-        block = context.broadcast((keys[order], counts[order], best[order]))
-        out = passed(out, block)
-        if n + 1 < many:
-            out = shared(out, "scored")
-            block.unpersist()
-    return out
+        sent = context.broadcast(_block(pairs, n, many))
+        if n + 1 == many:
+            return passed(rows, sent, last=True)
+        rows = shared(passed(rows, sent, last=False), "scored")
+        sent.unpersist()
 
 
 def summary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -352,8 +397,4 @@ def summary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """One row per document: token, group and link counts, and the groups' digest."""
     encoded = shared(encode(docs, doc_id, text, files), "encoded")
-    pairs = pair_counts(encoded, files)
-    scored = score_links(encoded, pairs, files, block_pairs)
-    return align(scored, files).select(
-        "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), "n_groups", "n_links",
-        "n_best", "count_sum", "groups_sha256")
+    return score_links(encoded, pair_counts(encoded, files), files, block_pairs)
