@@ -15,10 +15,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared(df: DataFrame, name: str) -> DataFrame:
+def shared(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """The rows written to the shared folder and read back: no lineage to recompute."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

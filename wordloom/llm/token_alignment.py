@@ -49,6 +49,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_BYTES, SLICE_TOKENS = 1 << 18, 1 << 17
 #: Pairs that a task gathers before it hands them on, and pairs sent to the tasks at a time.
 HELD_PAIRS, BLOCK_PAIRS = 1 << 22, 1 << 21
+#: Rows of a file of ids, so that files are read by tasks of even size.
+FILE_ROWS = 2000
 _SPACE = "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -205,9 +207,9 @@ def _cuts(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column without nulls, and the start of each row."""
+    """Values of a list column without nulls, where they lie, and the start of each row."""
     starts = column.offsets.to_numpy()
-    return column.values.to_numpy()[starts[0] : starts[-1]].astype(np.int64), (starts - starts[0]).astype(np.int64)
+    return column.values.to_numpy()[starts[0] : starts[-1]], (starts - starts[0]).astype(np.int64)
 
 
 def _tokens(batch: pa.RecordBatch, sizes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
@@ -215,7 +217,7 @@ def _tokens(batch: pa.RecordBatch, sizes: tuple[np.ndarray, np.ndarray]) -> Iter
     a, starts_a = _flat(batch.column("a"))
     b, starts_b = _flat(batch.column("b"))
     for x, y in _cuts(starts_a + starts_b, SLICE_TOKENS):
-        own_a, own_b = a[starts_a[x] : starts_a[y]], b[starts_b[x] : starts_b[y]]
+        own_a, own_b = (v[s[x] : s[y]].astype(np.int64) for v, s in ((a, starts_a), (b, starts_b)))
         ends = (np.cumsum(size[own]) for size, own in zip(sizes, (own_a, own_b), strict=True))
         yield x, y, own_a, own_b, starts_a[x : y + 1] - starts_a[x], starts_b[x : y + 1] - starts_b[x], *ends
 
@@ -396,5 +398,5 @@ def summary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             files: tuple[str, str] = (f"{FOLDER}/{A_FILE}", f"{FOLDER}/{B_FILE}"),
             block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """One row per document: token, group and link counts, and the groups' digest."""
-    encoded = shared(encode(docs, doc_id, text, files), "encoded")
+    encoded = shared(encode(docs, doc_id, text, files), "encoded", rows_per_file=FILE_ROWS)
     return score_links(encoded, pair_counts(encoded, files), files, block_pairs)
