@@ -47,6 +47,9 @@ HOT = 10_000
 
 # -- sorting ----------------------------------------------------------------------
 
+#: Suffixes a bucket has on average, below which a sweep by buckets costs more than one by suffixes.
+FEW = 256
+
 
 def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
@@ -67,9 +70,13 @@ class _Sorter:
         self.lms = np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]) + 1
         self.sizes = np.bincount(s, minlength=symbols)
         self.starts, self.ends = _spread(self.sizes)
+        #: 16-bit symbols are sorted by radix.
+        self.keys = s.astype(np.uint16) if symbols <= 1 << 16 else s
 
     def induce(self, lms: np.ndarray) -> np.ndarray:
         """The suffix array from leftmost S suffixes in this order."""
+        if self.n < FEW * np.count_nonzero(self.sizes):
+            return self._induce_singly(lms)
         array = np.full(self.n, -1, np.int64)
         own = self.s[lms]
         ordered = lms[np.argsort(own, kind="stable")]
@@ -97,6 +104,28 @@ class _Sorter:
         array[0] = self.n - 1
         return array
 
+    def _induce_singly(self, lms: np.ndarray) -> np.ndarray:
+        """The same, one suffix after the other: cheaper where a bucket holds a handful of them."""
+        s, is_s, array = self.s.tolist(), self.is_s.tolist(), [-1] * self.n
+        fill = self.ends.tolist()
+        for i in reversed(lms.tolist()):
+            fill[s[i]] -= 1
+            array[fill[s[i]]] = i
+        fill = self.starts.tolist()
+        for k in range(self.n):
+            i = array[k] - 1
+            if i >= 0 and not is_s[i]:
+                array[fill[s[i]]] = i
+                fill[s[i]] += 1
+        fill = self.ends.tolist()
+        for k in range(self.n - 1, -1, -1):
+            i = array[k] - 1
+            if i >= 0 and is_s[i]:
+                fill[s[i]] -= 1
+                array[fill[s[i]]] = i
+        array[0] = self.n - 1
+        return np.array(array, np.int64)
+
     def _push(self, suffixes: np.ndarray, array: np.ndarray, fill: np.ndarray, want_s: bool) -> None:
         """Put what comes before these suffixes, if of the class wanted, next in its bucket."""
         before = suffixes - 1
@@ -104,7 +133,7 @@ class _Sorter:
         before = before[self.is_s[before] == want_s]
         if not len(before):
             return
-        symbol = self.s[before]
+        symbol = self.keys[before]
         order = np.argsort(symbol, kind="stable")
         symbol, before = symbol[order], before[order]
         firsts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
