@@ -115,7 +115,7 @@ def test_no_query_crosses_or_leaves_the_jvm(spark, name):
         name in {"tokenize_plugged", "analysed_word_counts", "tokenize_lexicon"}
     )
     # These return totals: each task's sums meet in one row.
-    assert "SinglePartition" not in text or name in {"total_links", "backfill_count", "retract_store"}
+    assert "SinglePartition" not in text or name in {"total_links", "total_links_all", "backfill_count", "retract_store"}
 
 
 def test_the_layout_does_not_change_answers(spark, as_laid_out):
