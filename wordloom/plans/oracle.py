@@ -616,4 +616,11 @@ lax AS (
         ),
         "stream_ingest": doc_counts,
         "stream_running_counts": doc_counts,
+        "stream_running_vocabulary": _with(
+            TURN_FACTS,
+            f"""SELECT c.*, p.occurrence_count, p.context_sentence_id FROM ({_FIRST_FIVE.format("tf")}) c JOIN (
+                  SELECT source_id, word, sum(n)::BIGINT AS occurrence_count,
+                    arg_max(sentence_id, sentence_idx) AS context_sentence_id
+                  FROM tf GROUP BY ALL) p USING (source_id, word)""",
+        ),
     }

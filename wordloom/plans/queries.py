@@ -47,6 +47,12 @@ from wordloom.sources.readers import (
 )
 from wordloom.streaming.ingest import start_ingest, stream_documents, stream_name
 from wordloom.streaming.running import latest_counts, running_counts, start_running_counts
+from wordloom.streaming.vocabulary import (
+    first_contexts,
+    latest_vocabulary,
+    running_vocabulary,
+    start_running_vocabulary,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -747,3 +753,20 @@ def stream_running_counts(spark, folder):
     counts = running_counts(stream_documents(spark, folder, "documents.parquet"))
     start_running_counts(counts, path, work_folder(spark, "checkpoint")).awaitTermination()
     return latest_counts(spark, path)
+
+
+@_query
+def stream_running_vocabulary(spark, folder):
+    """Counts, latest and first contexts kept in state over the turns of the conversations.
+
+    Even turns arrive first; the query then ends and starts again on its checkpoint, and odd turns arrive
+    together with the even ones once more.
+    """
+    inbox, out, checkpoint = (work_folder(spark, name) for name in ("inbox", "vocabulary", "checkpoint"))
+    turns = corpus.table(spark, folder, "conversations").select(F.col("conv_id").alias("source_id"), "turn", "text")
+    for arriving in (turns.where("turn % 2 = 0"), turns):
+        arriving.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+        rows = running_vocabulary(stream, part="turn", drop_ascii=False)
+        start_running_vocabulary(rows, out, checkpoint).awaitTermination()
+    return first_contexts(latest_vocabulary(spark, out))
