@@ -57,7 +57,7 @@ def word_sources(facts: DataFrame, contexts: bool = False) -> DataFrame:
         measures.append(latest.alias("context_sentence_id"))
     if "ingested_at" in facts.columns:
         measures.append(F.min("ingested_at").alias("first_seen_at"))
-    keys = [c for c in ("source_id", "word", "language") if c in facts.columns]
+    keys = [c for c in ("source_id", "word", "language", "word_id") if c in facts.columns]
     return facts.groupBy(*keys).agg(*measures)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,6 +21,7 @@ from wordloom.session import work_folder
 from wordloom.sources.readers import accepted_pages, rejected_pages
 
 Tokenizer = Callable[[DataFrame], DataFrame]
+log = logging.getLogger(__name__)
 
 
 def sentence_rows(texts: DataFrame, part: str | None = None) -> DataFrame:
@@ -91,7 +93,7 @@ def fresh_sentences(texts: DataFrame, progress: DataFrame | None = None) -> Data
 
     One pass over the ids finds the sources that need care: known ones, and those that come more than once.
     They are few or many; either way the others, which are most, go straight
-    through. Texts of one source follow each other by ``arrival``.
+    through, and every text is split once. Texts of one source follow each other by ``arrival``.
     """
     counted = texts.groupBy("source_id").agg(F.count(F.lit(1)).alias("times"))
     known = counted.select("source_id").limit(0) if progress is None else progress
@@ -103,12 +105,17 @@ def fresh_sentences(texts: DataFrame, progress: DataFrame | None = None) -> Data
     path = work_folder(texts.sparkSession, "special")
     special.write.parquet(path)
     special = broadcast_if_small(texts.sparkSession.read.schema(special.schema).parquet(path))
-    split = spread(texts, "source_id", "arrival").withColumn("found", sentence_list(F.col("text"))).drop("text")
-    joined = split.join(special, "source_id", "left")
-    single = _continued(joined.where("times IS NULL OR times = 1"))
+    repeated = special.where("times > 1")
+    has_repeated = not repeated.isEmpty()
+    once = texts.join(repeated.select("source_id"), "source_id", "left_anti") if has_repeated else texts
+    split = spread(once, "source_id", "arrival").withColumn("found", sentence_list(F.col("text"))).drop("text")
+    single = _exploded(_continued(split.join(special, "source_id", "left")))
+    if not has_repeated:
+        return single
     # Several texts of a source: each is compared with the one before it.
     order = Window.partitionBy("source_id").orderBy("arrival", "own_id")
-    several = joined.where("times > 1").withColumn("own_id", _content_id(F.col("found")))
+    several = texts.join(repeated, "source_id").withColumn("found", sentence_list(F.col("text"))).drop("text")
+    several = several.withColumn("own_id", _content_id(F.col("found")))
     before, size = F.lag("own_id").over(order), F.lag(F.size("found").cast("bigint")).over(order)
     several = _continued(
         several.withColumn("known_id", F.coalesce(before, "known_id")).withColumn(
@@ -116,7 +123,7 @@ def fresh_sentences(texts: DataFrame, progress: DataFrame | None = None) -> Data
     )
     added = F.sum(F.size("found") - F.col("start")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     several = several.withColumn("base", F.col("base") + F.coalesce(added, F.lit(0)))
-    return _exploded(single).unionByName(_exploded(several))
+    return single.unionByName(_exploded(several))
 
 
 def ingest_batch(
@@ -158,6 +165,7 @@ def ingest_batch(
             on_progress, extra_write, new_sources, rejected,
         )
     except Exception as error:
+        log.error("batch %s of %s failed: %s", batch_id, stream, error)
         if on_error is not None:
             on_error(batch_id, error)
         raise
@@ -179,15 +187,16 @@ def _write_batch(
     nameless = named.where("source_id IS NULL").select("source_id", F.lit("no source").alias("reason"))
     put("rejected", nameless if rejected is None else nameless.unionByName(rejected))
     good = named.where("source_id IS NOT NULL")
-    sentences = put("sentences", fresh_sentences(good, store.progress() if resume else None))
-    total = sentences.count()
+    fresh = fresh_sentences(good, store.progress() if resume else None)
+    sentences, total = store.write_counted("sentences", batch_id, fresh, F.count(F.lit(1)), stream)
+    log.info("batch %s of %s: %s sentences", batch_id, stream, total)
     tell = on_progress or (lambda *_: None)
     tell("sentences", 0, total)
     if analyse is not None:
         facts = analysed_facts(sentences, analyse, drop_ascii)
     else:
         facts = fact_rows(sentences, tokenizer, drop_ascii)
-    facts = put("facts", facts.select(*FACTS.fieldNames()))
+    facts, links = store.write_counted("facts", batch_id, facts.select(*FACTS.fieldNames()), F.sum("n"), stream)
     tell("facts", total, total)
     latest = F.max_by(F.struct("text_sentences", "content_id"), "sentence_idx").alias("p")
     progress = sentences.groupBy("source_id").agg(F.max("sentence_idx").alias("last_processed"), latest)
@@ -196,7 +205,8 @@ def _write_batch(
         put("sources", new_sources.select(*SOURCES.fieldNames()))
     if extra_write is not None:
         extra_write(facts, batch_id)
-    summary = store.commit(batch_id, sentences, facts, stream)
+    summary = store.commit(batch_id, total, links, stream)
+    log.info("batch %s of %s: committed %s links as %s", batch_id, stream, links, summary["seq"])
     tell("committed", total, total)
     if on_batch is not None:
         on_batch(batch_id, summary["sentences"], summary["links"])

@@ -345,7 +345,7 @@ def _with(ctes: str, select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     doc_counts = _with(DOC_FACTS, _COUNTS.format("df"))
-    return {
+    sql = {
         "src_pages_gate": """
             SELECT page_id, strlen(html)::BIGINT AS html_bytes,
               CASE WHEN strlen(html) < 10485760 THEN 'accepted' ELSE 'rejected' END AS status
@@ -624,3 +624,8 @@ lax AS (
                   FROM tf GROUP BY ALL) p USING (source_id, word)""",
         ),
     }
+    # A view kept up by deltas is the view of the whole log.
+    sql["view_refreshed_links"] = sql["sink_roundtrip"]
+    for view in ("contexts", "words", "sentences"):
+        sql[f"view_refreshed_{view}"] = sql[f"view_{view}"]
+    return sql

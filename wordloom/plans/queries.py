@@ -200,6 +200,40 @@ def pages_ingest(spark, folder):
     )
 
 
+def _refreshed(spark, folder, view):
+    """A view kept up through three commits, each of which adds a third of the lines of every document."""
+    store = VocabularyStore(spark, work_folder(spark, "store"))
+    lines = F.split("text", "\n")
+    for part in (1, 2, 3):
+        some = F.slice(lines, 1, F.ceil(F.size(lines) * part / 3).cast("int"))
+        ingest_batch(store, _texts(spark, folder).withColumn("text", F.array_join(some, "\n")), drop_ascii=False)
+        rows = store.refresh_view(view)
+    return rows
+
+
+@_query
+def view_refreshed_links(spark, folder):
+    return _by_document(_refreshed(spark, folder, "word_sources")).select(
+        "word_id", "source_id", "word", "occurrence_count",
+        "context_sentence_id", "example_sentence_id",
+    )
+
+
+@_query
+def view_refreshed_contexts(spark, folder):
+    return _by_document(_refreshed(spark, folder, "word_contexts"))
+
+
+@_query
+def view_refreshed_words(spark, folder):
+    return _refreshed(spark, folder, "words").select("word_id", "word", "lemma", "language", "pronunciation")
+
+
+@_query
+def view_refreshed_sentences(spark, folder):
+    return _refreshed(spark, folder, "sentences")
+
+
 @_query
 def stream_replay(spark, folder):
     """Counts after a committed batch came again, by its key, by a new stream and by a batch job."""

@@ -24,7 +24,7 @@ One writer at a time; any number of readers.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,7 +64,14 @@ BATCHES = T.StructType(
         T.StructField("committed_at", T.TimestampType()),
     ]
 )
-VERSIONS = T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.LongType())])
+#: ``seq``: the last commit that a version holds; null where the writer gave rows of its own.
+VERSIONS = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("version", T.LongType()),
+        T.StructField("seq", T.LongType()),
+    ]
+)
 #: View -> the columns it is laid out by.
 VIEWS = {
     "sentences": None,
@@ -88,16 +95,23 @@ class VocabularyStore:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def commit(
-        self, batch_id: int, sentences: DataFrame | None, facts: DataFrame | None, stream: str = JOBS
-    ) -> Row:
+    def write_counted(
+        self, table: str, batch_id: int, rows: DataFrame, total: Column, stream: str = JOBS
+    ) -> tuple[DataFrame, int]:
+        """``write_part`` and a total over the rows, heard while they are written: nothing is read for it.
+
+        The observed rows are those the writing tasks put out, each task once, however often it was tried.
+        """
+        heard = Observation()
+        written = self.write_part(table, batch_id, rows.observe(heard, total.alias("total")), stream)
+        return written, heard.get.get("total") or 0
+
+    def commit(self, batch_id: int, sentences: int = 0, links: int = 0, stream: str = JOBS) -> Row:
         """Make a batch visible. Call it after all other tables of the batch are written."""
         if (done := self.committed(batch_id, stream)) is not None:
             return done
         seq = self.last_seq() + 1
-        n = 0 if sentences is None else sentences.count()
-        links = 0 if facts is None else views.total_links(facts).first()["links"]
-        rows = self.spark.createDataFrame([(seq, n, links, None)], BATCHES)
+        rows = self.spark.createDataFrame([(seq, sentences, links, None)], BATCHES)
         rows = rows.withColumn("committed_at", F.current_timestamp())
         self.write_part("batches", batch_id, rows.coalesce(1), stream)
         return self.committed(batch_id, stream)
@@ -129,25 +143,38 @@ class VocabularyStore:
         last = self.batches().where(F.col("stream") == stream).agg(F.max("batch_id")).first()[0]
         return 0 if last is None else last + 1
 
-    def log(self, name: str, schema: T.StructType) -> DataFrame:
-        """Rows of committed batches with the ``seq`` and the time of their commit."""
-        known = self.batches().select(*KEY, "seq", F.col("committed_at").alias("ingested_at"))
-        return self._table(name, schema).join(broadcast_if_small(known), KEY).drop(*KEY)
+    def log(self, name: str, schema: T.StructType, after: int | None = None) -> DataFrame:
+        """Rows of committed batches with the ``seq`` and the time of their commit.
 
-    def _live(self, name: str, schema: T.StructType) -> DataFrame:
+        ``after`` leaves out commits up to that one: their folders are pruned by name, not read and filtered.
+        """
+        known = self.batches().select(*KEY, "seq", F.col("committed_at").alias("ingested_at"))
+        rows = self._table(name, schema)
+        if after is not None:
+            known = known.where(F.col("seq") > after)
+            folders: dict[str, list[int]] = {}
+            for r in known.select(*KEY).collect():  # a row per commit since then
+                folders.setdefault(r["stream"], []).append(r["batch_id"])
+            wanted = F.lit(False)
+            for stream, ids in folders.items():
+                wanted |= (F.col("stream") == stream) & F.col("batch_id").isin(ids)
+            rows = rows.where(wanted)
+        return rows.join(broadcast_if_small(known), KEY).drop(*KEY)
+
+    def _live(self, name: str, schema: T.StructType, after: int | None = None) -> DataFrame:
         """The log without what was taken back after it was committed."""
         taken = self.log("retracted", RETRACTED).groupBy("source_id").agg(F.max("up_to").alias("up_to"))
         if taken.isEmpty():
-            return self.log(name, schema)
+            return self.log(name, schema, after)
         taken = taken.withColumnRenamed("source_id", "gone_id")
         gone = (F.col("source_id") == F.col("gone_id")) & (F.col("seq") <= F.col("up_to"))
-        return self.log(name, schema).join(broadcast_if_small(taken), gone, "left_anti")
+        return self.log(name, schema, after).join(broadcast_if_small(taken), gone, "left_anti")
 
-    def sentences(self) -> DataFrame:
-        return self._live("sentences", SENTENCES)
+    def sentences(self, after: int | None = None) -> DataFrame:
+        return self._live("sentences", SENTENCES, after)
 
-    def facts(self) -> DataFrame:
-        return self._live("facts", FACTS)
+    def facts(self, after: int | None = None) -> DataFrame:
+        return self._live("facts", FACTS, after)
 
     def progress(self) -> DataFrame:
         """Per source: last sentence index, number of sentences and hash of its latest text."""
@@ -172,35 +199,26 @@ class VocabularyStore:
         ids = sources.select(F.col("source_id").cast("string").alias("source_id")).distinct()
         rows = ids.withColumn("up_to", F.lit(self.last_seq()).cast("bigint"))
         self.write_part("retracted", batch_id, rows, "retractions")
-        self.commit(batch_id, None, None, "retractions")
+        self.commit(batch_id, stream="retractions")
 
     def backfill(self, matches: DataFrame) -> int:
         """Look up the words that have no definitions yet and keep what is found; return how many."""
         todo = self.view("words").where("definitions IS NULL")  # read back from the log
         found = lookups.backfill_definitions(todo, matches).where("updated")
         batch_id = self.next_batch_id("definitions")
-        rows = self.write_part(
-            "definitions", batch_id, found.select(*FOUND_DEFINITIONS.fieldNames()), "definitions")
-        self.commit(batch_id, None, None, "definitions")
-        return rows.count()
+        rows = found.select(*FOUND_DEFINITIONS.fieldNames())
+        _, n = self.write_counted("definitions", batch_id, rows, F.count(F.lit(1)), "definitions")
+        self.commit(batch_id, stream="definitions")
+        return n
 
     # -- views -------------------------------------------------------------------
 
     def view(self, name: str, matches: DataFrame | None = None) -> DataFrame:
         """A view computed from the log: one of ``VIEWS``."""
         if name == "words":
-            return self._words(matches)
+            return self._words(self._occurrences(), matches)
         if name == "word_sources":
-            return views.word_sources(self.facts(), contexts=True).select(
-                text_id(F.col("word"), F.col("word"), F.col("language")).alias("word_id"),
-                "source_id",
-                "word",
-                "context_sentence_id",
-                F.col("context_sentence_id").alias("example_sentence_id"),
-                "occurrence_count",
-                "first_seen_at",
-                F.lit(0).alias("is_primary"),
-            )
+            return _links(_linked(self.facts()))
         if name == "word_contexts":
             return views.top_contexts(self.facts())
         if name == "sentences":
@@ -213,8 +231,8 @@ class VocabularyStore:
             )
         raise ValueError(f"no view {name!r}")
 
-    def _words(self, matches: DataFrame | None) -> DataFrame:
-        occurrences = self.facts().select(
+    def _occurrences(self, after: int | None = None) -> DataFrame:
+        return self.facts(after).select(
             "word",
             F.col("word").alias("lemma"),
             "language",
@@ -224,9 +242,12 @@ class VocabularyStore:
             "sentence_idx",
             "first_token_idx",
         )
+
+    def _words(self, occurrences: DataFrame, matches: DataFrame | None) -> DataFrame:
         # A later commit wins, whatever its sources are called.
         order = ["seq", "source_id", "sentence_idx", "first_token_idx"]
         merged = views.upsert_words(occurrences, order)
+        merged = merged.withColumn("token_reading", F.col("pronunciation"))
         enriched = lookups.enrich_words(merged.withColumnRenamed("pronunciation", "reading"), matches)
         kept = self.log("definitions", FOUND_DEFINITIONS)
         kept = kept.groupBy("word_id").agg(F.max_by("definitions", "seq").alias("kept"))
@@ -239,15 +260,19 @@ class VocabularyStore:
             F.lit(None).cast("string").alias("image_url"),
             F.lit(None).cast("string").alias("mnemonic_text"),
             F.coalesce(F.when(F.size("definitions") > 0, F.col("definitions")), "kept").alias("definitions"),
+            "token_reading",
         )
 
     def _versions(self) -> DataFrame:
         return self._read("view_versions", VERSIONS)
 
-    def _version(self, name: str) -> int | None:
-        return self._versions().where(F.col("name") == name).agg(F.max("version")).first()[0]
+    def _version(self, name: str, field: str = "version") -> int | None:
+        own = self._versions().where(F.col("name") == name)
+        return own.agg(F.max_by(field, "version")).first()[0]
 
-    def write_view(self, name: str, rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+    def write_view(
+        self, name: str, rows: DataFrame, order: list[str] | None = None, seq: int | None = None
+    ) -> DataFrame:
         """Write a new version of a view, laid out in ``order`` where given, and make it the one that is read.
 
         Range partitions sorted by (source_id, word) let a reader that wants one source
@@ -259,17 +284,92 @@ class VocabularyStore:
         if order:
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         rows.write.mode("overwrite").parquet(f"{self.root}/views/{name}/version={version}")
-        pointer = self.spark.createDataFrame([(name, version)], VERSIONS)
+        pointer = self.spark.createDataFrame([(name, version, seq)], VERSIONS)
         pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/view_versions")
         return self.read_view(name)
 
     def write_views(self, matches: DataFrame | None = None) -> None:
-        """Write all views."""
+        """Write all views from the log."""
+        seq = self.last_seq()
         for name, order in VIEWS.items():
-            self.write_view(name, self.view(name, matches), order)
+            self.write_view(name, self.view(name, matches), order, seq)
+
+    def refresh_views(self, matches: DataFrame | None = None) -> None:
+        """Bring all views up to the last commit."""
+        for name in VIEWS:
+            self.refresh_view(name, matches)
+
+    def refresh_view(self, name: str, matches: DataFrame | None = None) -> DataFrame:
+        """Bring a written view up to the last commit by what was committed since, and return it.
+
+        Every view is a fold that takes its own rows as input: the rows of the last version and the facts of later
+        commits go through the aggregation that makes the view from the whole log, and give the same rows.
+        The log before is not read. Links and contexts of sources that were taken back since leave the last
+        version first; words and sentences, which do not say whose they are, are then made from the whole log, as
+        are views that were never written, or written with rows of the caller's own. The list of sources
+        is small beside the log and always made anew. A dictionary is looked up for all words of the view.
+        """
+        seq, done = self.last_seq(), self._version(name, "seq")
+        if done == seq and matches is None:
+            return self.read_view(name)
+        rows = None if done is None else self._refreshed(name, done, matches)
+        return self.write_view(name, self.view(name, matches) if rows is None else rows, VIEWS[name], seq)
+
+    def _refreshed(self, name: str, done: int, matches: DataFrame | None) -> DataFrame | None:
+        """The view from its last version, which holds all commits up to ``done``; nothing if that cannot be."""
+        old = self.read_view(name)
+        gone = self.log("retracted", RETRACTED, after=done).select("source_id").distinct()
+        taken_back = not gone.isEmpty()
+        if name in ("word_sources", "word_contexts") and taken_back:
+            old = old.join(broadcast_if_small(gone), "source_id", "left_anti")
+        if name == "word_sources":
+            known = old.select(
+                "source_id", "word", "word_id",
+                F.col("occurrence_count").alias("n"),
+                F.col("last_sentence_idx").alias("sentence_idx"),
+                F.col("context_sentence_id").alias("sentence_id"),
+                F.col("first_seen_at").alias("ingested_at"),
+            )
+            return _links(known.unionByName(_linked(self.facts(done))))
+        if name == "word_contexts":
+            columns = ["source_id", "word", "sentence_id", "sentence_idx"]
+            return views.top_contexts(old.select(*columns).unionByName(self.facts(done).select(*columns)))
+        if taken_back or name == "sources":
+            return None
+        if name == "sentences":
+            return distinct_sentences(old.select("sentence").unionByName(self.sentences(done).select("sentence")))
+        known = old.select(
+            "word", "lemma", "language",
+            F.col("token_reading").alias("pronunciation"),
+            F.lit(done).cast("bigint").alias("seq"),  # before all later commits; the rest of the order decides nothing
+            F.lit("").alias("source_id"),
+            F.lit(-1).cast("bigint").alias("sentence_idx"),
+            F.lit(-1).cast("bigint").alias("first_token_idx"),
+        )
+        return self._words(known.unionByName(self._occurrences(done)), matches)
 
     def read_view(self, name: str) -> DataFrame:
         version = self._version(name)
         if version is None:
             raise ValueError(f"view {name!r} was never written")
         return self.spark.read.parquet(f"{self.root}/views/{name}/version={version}")
+
+
+def _linked(facts: DataFrame) -> DataFrame:
+    """Facts as rows that links are made of."""
+    word_id = text_id(F.col("word"), F.col("word"), F.col("language")).alias("word_id")
+    return facts.select("source_id", "word", word_id, "n", "sentence_idx", "sentence_id", "ingested_at")
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    return views.word_sources(rows, contexts=True).select(
+        "word_id",
+        "source_id",
+        "word",
+        "context_sentence_id",
+        F.col("context_sentence_id").alias("example_sentence_id"),
+        "occurrence_count",
+        "first_seen_at",
+        F.lit(0).alias("is_primary"),
+        "last_sentence_idx",
+    )
