@@ -18,6 +18,7 @@ from wordloom.operators.views import dedup_keys
 from wordloom.plans.store import JOBS, VocabularyStore
 from wordloom.schemas import FACTS, SENTENCES, SOURCES
 from wordloom.session import work_folder
+from wordloom.sources.raw_pages import decoded_pages
 from wordloom.sources.readers import accepted_pages, rejected_pages
 
 Tokenizer = Callable[[DataFrame], DataFrame]
@@ -214,13 +215,19 @@ def _write_batch(
 
 
 def ingest_pages(
-    store: VocabularyStore, pages: DataFrame, batch_id: int | None = None, stream: str = JOBS, **options
+    store: VocabularyStore,
+    pages: DataFrame,
+    batch_id: int | None = None,
+    stream: str = JOBS,
+    rejected: DataFrame | None = None,
+    **options,
 ) -> int:
     """Add pages: metadata to sources, article text to sentences and facts; return the links.
 
     A source is known by (url, title, author), whose hash is its id, so page ids may be used again
     by the next crawl. A page of a known source goes on where that source ended, or is
-    taken in whole if it was edited. Pages over the size limit are kept in ``rejected``.
+    taken in whole if it was edited. Pages over the size limit are kept in ``rejected``, as are the
+    ``(source_id, reason)`` that the caller has rejected before.
     """
     if batch_id is None:
         batch_id = store.next_batch_id(stream)
@@ -256,5 +263,28 @@ def ingest_pages(
         .select(F.col("source_key").alias("source_id"), "arrival", "text")
     )
     too_large = rejected_pages(pages).select(F.col("url").alias("source_id"), F.lit("too large").alias("reason"))
+    refused = too_large if rejected is None else too_large.unionByName(rejected)
     return ingest_batch(
-        store, staged(texts, "texts"), batch_id, stream, new_sources=created, rejected=too_large, **options)
+        store, staged(texts, "texts"), batch_id, stream, new_sources=created, rejected=refused, **options)
+
+
+def ingest_raw_pages(
+    store: VocabularyStore,
+    raw: DataFrame,
+    batch_id: int | None = None,
+    stream: str = JOBS,
+    codecs: dict[str, str] | None = None,
+    **options,
+) -> int:
+    """Gate and decode fetched pages, add the good ones as ``ingest_pages`` does and keep why others were refused."""
+    if batch_id is None:
+        batch_id = store.next_batch_id(stream)
+    if (done := store.committed(batch_id, stream)) is not None:
+        return done["links"]
+    path = work_folder(raw.sparkSession, "decoded")
+    decoded = decoded_pages(raw, codecs=codecs)
+    decoded.write.parquet(path)
+    decoded = raw.sparkSession.read.schema(decoded.schema).parquet(path)
+    refused = decoded.where("reason IS NOT NULL").select(F.col("url").alias("source_id"), "reason")
+    good = decoded.where("reason IS NULL").select("page_id", "url", "html")
+    return ingest_pages(store, good, batch_id, stream, rejected=refused, **options)

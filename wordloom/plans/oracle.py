@@ -350,6 +350,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, strlen(html)::BIGINT AS html_bytes,
               CASE WHEN strlen(html) < 10485760 THEN 'accepted' ELSE 'rejected' END AS status
             FROM pages""",
+        "src_raw_pages": """
+            WITH p AS (
+              SELECT page_id, page_id % 6 AS kind, coalesce(html, '') AS html,
+                page_id % 7 = 3 AS refused, NOT regexp_matches(coalesce(html, ''), '[^\\x00-\\xFF]') AS narrow FROM pages),
+            told AS (
+              SELECT *, CASE WHEN refused THEN 'status' WHEN kind = 3 THEN 'unknown charset'
+                  WHEN kind IN (4, 5) THEN 'undecodable' ELSE 'accepted' END AS status,
+                CASE kind WHEN 1 THEN CASE WHEN narrow THEN 'iso-8859-1' ELSE 'utf-8' END
+                  WHEN 2 THEN 'utf-16le' WHEN 3 THEN 'x-unheard-of' WHEN 4 THEN 'utf-16be' ELSE 'utf-8' END AS charset
+              FROM p)
+            SELECT page_id, charset, status, CASE WHEN status = 'accepted' THEN
+              md5(CASE WHEN kind = 1 AND narrow THEN '<meta charset="iso-8859-1">' || html ELSE html END) END AS html_id
+            FROM told""",
         "src_documents": """
             SELECT doc_id AS source_id, length(text)::BIGINT AS n_chars, md5(text) AS content_id
             FROM documents""",

@@ -38,6 +38,7 @@ from wordloom.plans import corpus
 from wordloom.plans.ingest import fact_rows, ingest_batch, ingest_pages, page_texts, sentence_rows
 from wordloom.plans.store import VocabularyStore
 from wordloom.session import work_folder
+from wordloom.sources.raw_pages import decoded_pages
 from wordloom.sources.readers import (
     accepted_pages,
     page_bytes,
@@ -97,6 +98,30 @@ def src_pages_gate(spark, folder):
     )
 
 
+@_query
+def src_raw_pages(spark, folder):
+    """Pages as bytes in several charsets, some of them refused or broken, and what decoding makes of them."""
+    html, kind = F.coalesce("html", F.lit("")), F.col("page_id") % 6
+    narrow = ~html.rlike("[^\\x00-\\xFF]")
+    tagged = F.concat(F.lit('<meta charset="iso-8859-1">'), html)
+    raw = corpus.table(spark, folder, "pages").select(
+        "page_id", "url",
+        F.when(F.col("page_id") % 7 == 3, 404).otherwise(200).alias("status"),
+        F.when(kind == 0, "text/html; charset=UTF-8")
+        .when(kind == 3, "text/html; charset=x-unheard-of")
+        .when(kind == 4, "text/html;charset=utf-16be")
+        .alias("content_type"),
+        F.when((kind == 1) & narrow, F.encode(tagged, "ISO-8859-1"))
+        .when(kind == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE")))
+        .when(kind == 4, F.concat(F.encode(html, "UTF-16BE"), F.unhex(F.lit("41"))))
+        .when(kind == 5, F.concat(F.encode(html, "UTF-8"), F.unhex(F.lit("FF"))))
+        .otherwise(F.encode(html, "UTF-8"))
+        .alias("body"),
+    )
+    return decoded_pages(raw).select(
+        "page_id", "charset", F.coalesce("reason", F.lit("accepted")).alias("status"), F.md5("html").alias("html_id"))
+
+
 @_query
 def src_documents(spark, folder):
     docs = read_documents(spark, f"{folder}/documents.parquet")
