@@ -176,3 +176,28 @@ def test_lexicon_is_linear_in_a_long_run(spark, monkeypatch, small):
     assert {tuple(r) for r in got} == {
         ("手紙", True, times), ("は", False, times), ("犬", True, times),
     }
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lexicon_of_few_letters_against_brute_force(spark, monkeypatch, seed):
+    """Terms that begin alike, astral characters, and buffers cut between sentences."""
+    import random
+
+    from wordloom.operators import tokens as module
+
+    monkeypatch.setattr(module, "PIECE_LETTERS", [5, 40, 1 << 18][seed % 3])
+    rng = random.Random(seed)
+    alphabet = "ab手紙🙂é"[: 2 + seed % 5]
+    terms = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6))) for _ in range(9)})
+    texts = ["".join(rng.choice(alphabet + "x") for _ in range(rng.randint(0, 40))) for _ in range(12)]
+    want = []
+    for n, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            size = max((len(t) for t in terms if text.startswith(t, at)), default=0)
+            if size:
+                want.append((n, text[at : at + size]))
+            at += size or 1
+    found = tokenize_lexicon(sentences(spark, *texts), lexicon(spark, terms)).where("in_lexicon")
+    got = [(r["sentence_idx"], r["surface"]) for r in found.orderBy("sentence_idx", "token_idx").collect()]
+    assert got == want

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,8 @@ SCRIPT_RUN = (
 )
 #: Largest lexicon, as JSON text, that each Python worker keeps; a larger one is joined.
 LEXICON_BYTES = 16 << 20
+#: Characters that a task matches at a time; a longer sentence is matched by itself.
+PIECE_LETTERS = 1 << 18
 #: Characters of a sentence that one row stands for before they meet a large lexicon.
 CHUNK = 512
 #: Parts of speech given by script alone.
@@ -101,10 +105,10 @@ def tokenize_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     ``in_lexicon`` false. Blank terms are left out. Sentences must differ in their
     other columns.
 
-    A position only tries the lengths of the terms that begin with its two characters,
-    and one character if that is a term, so there is no cap on the length of terms. A
-    lexicon measured to be small goes to the tasks and texts stay where they lie; else the
-    spans of the text are joined to it. Time is linear in the length of a sentence.
+    There is no cap on the length of terms. A lexicon measured to be small goes to the
+    tasks as a trie (some 12 bytes a character of its terms) and texts stay where they lie;
+    else the spans of the text are joined to it, where a position only tries the lengths of the
+    terms that begin with its two characters, and one character if that is a term.
     """
     terms = (
         lexicon.where(~is_blank(F.col("term")))
@@ -155,31 +159,92 @@ def _walker() -> Callable[[str, Callable[[int], int]], list[str]]:
     return walk
 
 
-def _matcher(known: DataFrame) -> Callable[[Column], Column]:
-    """Pieces of a sentence by a small lexicon, which every worker holds."""
-    terms = set(known.toArrow().column(0).to_pylist())
-    lengths: dict[str, set[int]] = {}
-    for term in terms:
-        lengths.setdefault(term[:2], set()).add(len(term))
-    longest_first = {head: sorted(own, reverse=True) for head, own in lengths.items()}
-    shared = known.sparkSession.sparkContext.broadcast((longest_first, terms))
-    walk = _walker()
-
-    def match(texts: pd.Series) -> pd.Series:
-        by_head, terms = shared.value
+def trie_of(terms: list[str]) -> dict[str, np.ndarray]:
+    """A trie as arrays: edges sorted by (state, character), the state each leads to, and which states end a term.
 
-        def pieces(text: str) -> list[str]:
-            def length_at(at: int) -> int:
-                for length in by_head.get(text[at : at + 2], ()):
-                    if text[at : at + length] in terms:
-                        return length
-                return int(text[at] in terms)
+    Built level by level over all terms at once. State 0 is the root; ``first`` is its edge for every character.
+    """
+    size = np.array([len(t) for t in terms], np.int64)
+    letters = np.frombuffer("".join(terms).encode("utf-32-le"), np.uint32).astype(np.int64)
+    start = np.cumsum(size) - size
+    state = np.zeros(len(terms), np.int64)
+    keys, states = [], 1
+    for depth in range(int(size.max()) if len(size) else 0):
+        own = np.flatnonzero(size > depth)
+        edges, place = np.unique(state[own] << 21 | letters[start[own] + depth], return_inverse=True)
+        state[own] = states + place
+        keys.append(edges)
+        states += len(edges)
+    key = np.concatenate([np.zeros(0, np.int64), *keys])
+    order = np.argsort(key)
+    ends = np.zeros(states, bool)
+    ends[state[size > 0]] = True
+    first = np.zeros(0x110001, np.int32)
+    if keys:
+        first[keys[0]] = 1 + np.arange(len(keys[0]))
+    return {"key": key[order], "to": (order + 1).astype(np.int32), "ends": ends, "first": first}
 
-            return walk(text, length_at)
 
-        return texts.map(lambda text: pieces(text or ""))
+def _matcher(known: DataFrame) -> Callable[[Column], Column]:
+    """Pieces of a sentence by a small lexicon, which every worker holds as a trie.
 
-    return F.pandas_udf(match, T.ArrayType(T.StringType()))
+    All sentences of a batch are one buffer of characters with a mark between them. All positions go down the trie
+    together, a level at a time, until none has an edge; that leaves the longest term at each position.
+    From the left, the next term is the first that starts behind the last one taken. Pieces are cut
+    out of the buffer by their offsets.
+    """
+    shared = known.sparkSession.sparkContext.broadcast(trie_of(known.toArrow().column(0).to_pylist()))
+
+    def longest(codes: np.ndarray) -> np.ndarray:
+        trie = shared.value
+        state = trie["first"][codes]
+        at = np.flatnonzero(state)
+        state, size = state[at].astype(np.int64), np.zeros(len(codes), np.int64)
+        depth = 1
+        while len(at):
+            size[at[trie["ends"][state]]] = depth
+            inside = at + depth < len(codes)
+            at, state = at[inside], state[inside]
+            wanted = state << 21 | codes[at + depth]
+            edge = np.minimum(np.searchsorted(trie["key"], wanted), len(trie["key"]) - 1)
+            hit = trie["key"][edge] == wanted
+            at, state, depth = at[hit], trie["to"][edge[hit]].astype(np.int64), depth + 1
+        return size
+
+    def cut(texts: list[str]) -> pa.Array:
+        codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)) - 1
+        codes[ends] = 0x110000  # a character that no term holds
+        size = longest(codes)
+        starts = np.flatnonzero(size)
+        behind = np.searchsorted(starts, starts + size[starts]).tolist()
+        taken, k = [], 0
+        while k < len(behind):
+            taken.append(k)
+            k = behind[k]
+        begun = starts[np.array(taken, np.int64)]
+        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        width[ends] = 0
+        offset = np.concatenate([[0], np.cumsum(width)])
+        # A piece ends where a term starts or ends, and where a sentence does.
+        cuts = np.sort(np.concatenate([begun, begun + size[begun], ends]))
+        text = "".join(texts).encode()
+        offsets = pa.py_buffer(np.concatenate([[0], offset[cuts]]).astype(np.int32))
+        values = pa.StringArray.from_buffers(len(cuts), offsets, pa.py_buffer(text))
+        counts = 1 + 2 * np.diff(np.concatenate([[0], np.searchsorted(begun, ends)]))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+    def match(texts: pa.Array) -> pa.Array:
+        parts, rows, letters = [], [], 0
+        for text in texts.to_pylist():
+            rows.append(text or "")
+            letters += len(rows[-1])
+            if letters > PIECE_LETTERS:
+                parts.append(cut(rows))
+                rows, letters = [], 0
+        return pa.concat_arrays([*parts, cut(rows)] if rows or not parts else parts)
+
+    return F.arrow_udf(match, T.ArrayType(T.StringType()))
 
 
 def _hit_taker() -> Callable[[Column, Column], Column]:
