@@ -103,7 +103,7 @@ def test_a_large_dictionary_is_not_broadcast(spark, monkeypatch):
     assert dictionary.backfill_definitions(todo, matches).where("updated").count() == split > 0
 
 
-WRITES = {"dict_load", "sink_roundtrip", "main_text_blocks", "page_vocabulary", "stream_ingest", "stream_running_counts", "stream_running_vocabulary"}
+WRITES = {"dict_load", "dict_load_split", "sink_roundtrip", "main_text_blocks", "page_vocabulary", "stream_ingest", "stream_running_counts", "stream_running_vocabulary"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - WRITES))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from wordloom.functions import definitions as D
 from wordloom.functions.text import empty_if_null, to_hiragana
 from wordloom.operators.layout import broadcast_if, is_small
+from wordloom.operators.sieve import build_sieve, sift
 
 _MATCH = (
     "array<struct<entry_id:string,readings:array<string>,primary_reading:string,"
@@ -86,6 +87,23 @@ def lookup(
     return found.withColumn("matches", hits).drop("_by_word", "_by_lemma")
 
 
+def sifted_lookup(words: DataFrame, matches: DataFrame, match_reading: bool = False) -> DataFrame:
+    """``lookup`` in a dictionary too large to broadcast, moving only words that may be in it.
+
+    Words and lemmas are held against a Bloom filter of the terms. Rows that fail it have no entries and
+    stay where they are; the rest is joined by shuffle. ``words`` is read once for either kind of
+    row, so it should be a stored table.
+    """
+    sieve = build_sieve(matches, "term")
+    own = sift(words, sieve, F.col("word"), "_maybe")
+    if "lemma" in words.columns:
+        own = sift(own, sieve, F.col("lemma"), "_maybe_lemma")
+        own = own.withColumn("_maybe", F.col("_maybe") | F.col("_maybe_lemma")).drop("_maybe_lemma")
+    found = lookup(own.where("_maybe").drop("_maybe"), matches, match_reading, small=False)
+    none = own.where("not _maybe").drop("_maybe")
+    return found.unionByName(none.withColumn("matches", F.array().cast(found.schema["matches"].dataType)))
+
+
 def lookup_rows(words: DataFrame, matches: DataFrame, match_reading: bool = False) -> DataFrame:
     """Lookups as rows: a row of ``words`` per entry found, with its ``match_no`` from 1."""
     found = lookup(words, matches, match_reading)
@@ -121,7 +139,8 @@ def enrich_words(words: DataFrame, matches: DataFrame | None) -> DataFrame:
                 "definitions"
             ),
         )
-    found = lookup(words, matches)
+    small = is_small(matches)
+    found = lookup(words, matches, small=True) if small else sifted_lookup(words, matches)
     first = F.get(F.col("matches"), F.lit(0))
     return found.select(
         *[c for c in words.columns if c != "reading"],
@@ -143,7 +162,7 @@ def backfill_definitions(words: DataFrame, matches: DataFrame) -> DataFrame:
         missing = F.coalesce(F.col("definitions"), F.lit("")) == ""
     if is_small(matches):
         return _filled(lookup(words, matches, True, where=missing, small=True), missing)
-    filled = _filled(lookup(words.where(missing), matches, True, small=False), F.lit(True))
+    filled = _filled(sifted_lookup(words.where(missing), matches, True), F.lit(True))
     return words.where(~missing).withColumn("updated", F.lit(False)).unionByName(filled)
 
 

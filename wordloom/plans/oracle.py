@@ -185,7 +185,7 @@ words AS (
 )
 
 _FOUND = """
-found AS (
+found AS MATERIALIZED (
   SELECT DISTINCT word, lemma, pronunciation, id FROM words JOIN terms ON term = word
   UNION
   SELECT DISTINCT word, lemma, pronunciation, id FROM words JOIN terms ON term = lemma)"""
@@ -193,9 +193,10 @@ LOOKUPS = CORPUS_WORDS + "," + DICTIONARY + "," + _FOUND
 STRICT = (
     LOOKUPS
     + f""",
-strict AS (
-  SELECT * FROM found f WHERE pronunciation = '' OR EXISTS (
-    SELECT 1 FROM readings r WHERE r.id = f.id AND r.reading = {_hira('f.pronunciation')}))"""
+strict AS MATERIALIZED (
+  SELECT DISTINCT f.* FROM found f LEFT JOIN readings r
+    ON r.id = f.id AND r.reading = {_hira('f.pronunciation')}
+  WHERE pronunciation = '' OR r.id IS NOT NULL)"""
 )
 
 
@@ -210,7 +211,7 @@ _DEFS = _json("list({'senses': i.senses, 'pos': i.pos} ORDER BY i.id)")
 STRICT_DEFS = (
     STRICT
     + f""",
-defs AS (
+defs AS MATERIALIZED (
   SELECT word, lemma, pronunciation, {_DEFS} AS definitions
   FROM strict s JOIN items i ON i.id = s.id GROUP BY ALL)"""
 )
@@ -637,6 +638,9 @@ lax AS (
                   FROM tf GROUP BY ALL) p USING (source_id, word)""",
         ),
     }
+    # Other ways to the same rows.
+    sql["dict_load_split"] = sql["dict_load"]
+    sql["enrich_words_sifted"] = sql["enrich_words"]
     # A view kept up by deltas is the view of the whole log.
     sql["view_refreshed_links"] = sql["sink_roundtrip"]
     for view in ("contexts", "words", "sentences"):

@@ -38,6 +38,7 @@ from wordloom.plans import corpus
 from wordloom.plans.ingest import fact_rows, ingest_batch, ingest_pages, page_texts, sentence_rows
 from wordloom.plans.store import VocabularyStore
 from wordloom.session import work_folder
+from wordloom.sources.entry_list import read_entry_list
 from wordloom.sources.raw_pages import decoded_pages
 from wordloom.sources.readers import (
     accepted_pages,
@@ -143,7 +144,24 @@ def dict_load(spark, folder):
     bare = F.to_json("words")
     wrapped = F.concat(F.lit('{"words":'), bare, F.lit("}"))
     chunks.select(F.when(F.col("chunk") % 2 == 0, wrapped).otherwise(bare)).write.text(path)
-    return read_dictionary(spark, path, multi_line=False).select(
+    return _loaded(read_dictionary(spark, path, multi_line=False))
+
+
+@_query
+def dict_load_split(spark, folder):
+    """Entries written as one JSON document, and read back by byte ranges."""
+    path = work_folder(spark, "dictionary")
+    entries = corpus.entries(spark, folder)
+    line = F.to_json(F.struct(*entries.columns))
+    own = entries.select(F.lit(1).alias("at"), F.col("id"), F.concat(line, F.lit(",")).alias("value"))
+    # The last entry has no comma behind it; it has no id and is left out again.
+    ends = spark.createDataFrame([(0, "", '{"words":['), (2, "", '{"id":""}]}')], own.schema)
+    own.unionByName(ends).repartition(1).sortWithinPartitions("at", "id").select("value").write.text(path)
+    return _loaded(read_entry_list(spark, path).where("id <> ''"))
+
+
+def _loaded(entries):
+    return entries.select(
         F.col("id").alias("entry_id"),
         F.coalesce(F.size("kanji"), F.lit(0)).cast("bigint").alias("n_kanji"),
         F.array_join("kana.text", " ").alias("kana"),
@@ -772,6 +790,19 @@ def _to_backfill(spark, folder):
     )
 
 
+@_query
+def enrich_words_sifted(spark, folder):
+    """As ``enrich_words``, with the dictionary taken as too large to broadcast."""
+    words = corpus.corpus_words(spark, folder).select("word", "reading")
+    found = dictionary.sifted_lookup(words, _matches(spark, folder))
+    first = F.get(F.col("matches"), F.lit(0))
+    return found.select(
+        "word",
+        F.coalesce(first["primary_reading"], F.col("reading")).alias("pronunciation"),
+        D.definitions_json(D.definitions_of(F.col("matches"))).alias("definitions"),
+    )
+
+
 @_query
 def backfill_definitions(spark, folder):
     return dictionary.backfill_definitions(
