@@ -38,8 +38,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Loops and repeated edges are allowed; rows with a null end are left out.
     """
     pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
+    pairs = shared(pairs.distinct(), "edges")  # the edges are worked out once
     loops = pairs.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    now = shared(pairs.where("u <> v").distinct(), "edges")
+    now = pairs.where("u <> v")
     before = _digest(now)
     while before[0]:
         now = shared(_star(_star(now, large=True), large=False), "edges")
