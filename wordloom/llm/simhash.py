@@ -258,7 +258,12 @@ def one_row_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     folded in each task before they meet, and only winners that come again are moved to be folded.
     """
     key = ["row_a__", "row_b__"]
-    own = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]  # a hash skips nulls
+    while {c.lower() for c in docs.columns} & set(key):
+        key = [f"{k}_" for k in key]
+    # A hash skips nulls and takes no maps; as text their entries go by key.
+    plain = {f.name: F.to_json(F.struct(f.name), {"sortKeys": "true"}) if "map<" in f.dataType.simpleString() else F.col(f.name)
+             for f in docs.schema.fields}
+    own = [x for c in docs.columns for x in (plain[c], F.col(c).isNull())]
     keyed = docs.withColumns({key[0]: F.xxhash64(*own), key[1]: F.xxhash64(F.lit(1), *own)})
     marked = fingerprints(keyed, doc_id, text, tuple(key))
     rows = shared(marked.groupBy("doc_id", *key, "fp").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
