@@ -8,15 +8,15 @@ A layer embeds the passages, gated attention (Ilse, Tomczak, Welling 2018)
 
 weighs them, and a logistic unit scores the weighted sum of the embeddings.
 
-Learning takes at most ``max_rows`` labelled documents, the first by a hash of their id, and of each at
-most ``max_passages`` passages, evenly spread over its whole text. These go to the driver encoded,
-so what it holds is bounded however long the texts are, and a few thousand weights are fitted there
-(Adam, fixed seed). Scoring reads all passages of all texts where they lie: no shuffle. Labels, language,
+Learning takes a bounded sample of labelled documents, each with every passage of its text: at most
+``max_rows``, in the order of a hash of their id, of which those are taken that keep the sample within ``max_passages``
+passages. These go to the driver encoded, so what it holds is bounded however long the texts are, and a few thousand weights
+are fitted there (Adam, fixed seed). Scoring reads all passages of all texts where they lie: no shuffle. Labels, language,
 source and id take no part in a score.
 
 Defined results: null and empty texts are a bag with one empty passage and get a score; labels
 that are null or of unknown documents are not learned from; repeated labels of a document count once
-(the smallest); with nothing to learn from every score is 0.5; repeated rows are scored each.
+(the smallest); an id with several rows is learned from once, by the row of fewest passages; with nothing to learn from every score is 0.5; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -33,11 +33,12 @@ from pyspark.sql import types as T
 from wordloom.llm.arrays import (
     BASE, BYTE_CODES, U64, mix, pieces, prefix_sums, stretch_hashes, utf8, word_spans,
 )
-from wordloom.llm.tables import without
+from wordloom.llm.tables import shared, without
 
 PASSAGE = 64
 PAIRS = 48
-MAX_ROWS, MAX_PASSAGES = 6000, 128
+#: Bounds of the sample that is learned from: documents, and passages of all of them (240 bytes each).
+MAX_ROWS, MAX_PASSAGES = 6000, 300_000
 HIDDEN, GATE = 24, 12
 KINDS = 7  # lower, upper, digit, symbol, mark, stop, beyond ASCII
 FEATURES = PAIRS + KINDS + 5
@@ -188,18 +189,30 @@ def learn(
     marks = marks.groupBy(F.col(doc_id).alias("id__")).agg(F.min(label).cast("double").alias("label__"))
     some = marks.orderBy(F.xxhash64("id__"), "id__").limit(max_rows)  # so many numbers at most
     own = docs.select(F.col(doc_id).alias("id__"), F.col(text).alias("text__")).join(F.broadcast(some), "id__")
-    # A document whose rows repeat is learned from as often.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(1).to_numpy()
-            for rows, data, offsets in pieces(utf8(batch.column(0))):
+            for rows, data, offsets in pieces(utf8(batch.column(1))):
                 features, before = encode(data, offsets)
-                bags = [features[spread_over(a, b, max_passages)].tobytes()
-                        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bags), pa.array(marks[rows])], names=["bag", "label"])
-
-    found = own.orderBy("id__").select("text__", "label__").mapInArrow(run, "bag binary, label double").toArrow()
+                bags = [features[a:b].tobytes() for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+                some = batch.slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(2), pa.array(np.diff(before)), pa.array(bags, pa.binary())],
+                    names=["id__", "label", "n", "bag"])
+
+    schema = T.StructType([own.schema["id__"]]).add("label", "double").add("n", "long").add("bag", "binary")
+    encoded = own.select("id__", "text__", "label__").mapInArrow(run, schema)
+    bag = F.min(F.struct("n", "bag", "label")).alias("x")
+    stored = shared(encoded.groupBy("id__").agg(bag).select("id__", "x.*"), "bags")
+    order = F.xxhash64("id__")
+    sizes = stored.select(order.alias("at"), "n").orderBy("at", "id__").collect()  # max_rows numbers at most
+    left, taken = max_passages, []
+    for row in sizes:
+        if row["n"] <= left:
+            left -= row["n"]
+            taken.append(row["at"])
+    sample = stored if len(taken) == len(sizes) else stored.where(order.isin(taken))
+    found = sample.orderBy("id__").select("bag", "label").toArrow()
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found["bag"].to_pylist()]
     before = np.concatenate([[0], np.cumsum([len(b) for b in bags], dtype=np.int64)]).astype(np.int64)
     features = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
@@ -209,10 +222,10 @@ def learn(
 def score(docs: DataFrame, model: AttentionModel, text: str = "text", into: str = "score") -> DataFrame:
     """All columns and the probability of label 1; a column named ``into`` is replaced."""
     own = without(docs, into)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = sent.value
         for batch in batches:
             scores = np.zeros(len(batch))
             for rows, data, offsets in pieces(utf8(batch.column(batch.schema.get_field_index(text)))):
