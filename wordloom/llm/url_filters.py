@@ -12,9 +12,12 @@ A page may also come with a redirect target of its own in a column.
 Rules are joined on the suffixes of the distinct hosts and paths, never tried one by one; aliases meet
 by distributed connected components over the pages that have links. Only DataFrame functions.
 
+All canonical and refresh tags of a page count, with character references in their targets decoded.
+
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and
 no aliases: allow. Repeated rows are judged alike. Null html has no links. No rules:
-everything is allowed. Fragments do not tell urls apart.
+everything is allowed. Fragments do not tell urls apart. Kept columns named like
+those of the result are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,9 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.html import decode_entities
 from wordloom.llm.graph import components
 from wordloom.llm.tables import shared
 
+#: Columns of the result; kept columns of these names give way to them.
+NEW = {"host", "path", "rule", "verdict", "blocked_alias"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 # A tag ends at the next bracket, so that unclosed tags take linear time.
@@ -64,17 +70,22 @@ def absolute(link: Column, base: Column) -> Column:
     )
 
 
+def _named(html: Column, tag: str, target: str) -> Column:
+    """What all tags of a kind name, as written."""
+    tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+    found = F.coalesce(F.transform(tags, lambda x: F.regexp_extract(x, target, 1)), F.array().cast("array<string>"))
+    return F.array_distinct(found)
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html", redirect: str | None = None) -> DataFrame:
     """``u``, ``v``: a page's node and the node it names as canonical or redirects to."""
     base = F.regexp_extract(F.col(url), r"(?s)^[^#]*", 0)
-    named = [
-        F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1),
-    ]
+    targets = F.array_union(_named(F.col(html), CANONICAL, HREF), _named(F.col(html), REFRESH, TARGET))
+    rows = pages.select(base.alias("base"), F.explode(targets).alias("link"))
+    rows = rows.withColumn("link", decode_entities(F.col("link")))
     if redirect:
-        named.append(F.coalesce(F.col(redirect), F.lit("")))
-    targets = F.filter(F.array(*named), lambda x: x.isNotNull() & (x != ""))
-    rows = pages.select(base.alias("base"), F.explode(targets).alias("link")).where("base is not null")
+        rows = rows.unionAll(pages.select(base, F.col(redirect)))
+    rows = rows.where("base is not null and link <> ''")
     return rows.select(
         node_of(F.col("base")).alias("u"), node_of(absolute(F.col("link"), F.col("base"))).alias("v")
     ).where("u is not null and v is not null")
@@ -116,11 +127,11 @@ def judge(
     )
     tainted = groups.join(blocked, "component", "left_semi").select("node")
     own = pages.select(
-        *keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"),
+        *[F.col(c).alias(f"keep{k}__") for k, c in enumerate(keep)], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"),
         node_of(F.col(url)).alias("node"))
     out = own.join(decide(own, rules), ["host", "path"], "left").join(
         tainted.withColumn("tainted", F.lit(True)), "node", "left")
     alias = F.coalesce(F.col("tainted"), F.lit(False))
     verdict = F.coalesce("rule_verdict", F.when(alias, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(
-        *keep, "host", "path", "rule", verdict.alias("verdict"), alias.alias("blocked_alias"))
+    kept = [F.col(f"keep{k}__").alias(c) for k, c in enumerate(keep) if c.lower() not in NEW]
+    return out.select(*kept, "host", "path", "rule", verdict.alias("verdict"), alias.alias("blocked_alias"))
