@@ -16,7 +16,9 @@ before they are grouped, and running lengths are a streaming window.
 
 Defined results: turns go by number, equal numbers by role and parts; a null turn number comes first;
 null text, role or parts are empty; a null conversation id is a conversation; repeated rows are
-turns of their own; an unknown kind is a placeholder of its own name without tokens.
+turns of their own; an unknown kind is a placeholder of its own name without tokens
+(``turn`` and ``body``, which name markers, become ``part_turn`` and ``part_body``); an empty table gives an empty table;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -50,6 +52,7 @@ def visit(part: Column) -> Column:
     """What stands for a part in the text."""
     kind = F.coalesce(part["kind"], F.lit("unknown"))
     name = F.regexp_replace(kind, r"[^A-Za-z0-9_]", "_")
+    name = F.when(name.isin("turn", "body"), F.concat(F.lit("part_"), name)).otherwise(name)
     return F.when(kind == "text", escape(part["text"])).otherwise(F.concat(F.lit("<|"), name, F.lit("|>")))
 
 
