@@ -3,7 +3,8 @@
 A line is boilerplate of its host if the pages of the host that hold it are more than
 ``ratio`` of the host's pages, and at least ``min_pages``: on a host of a few pages a share says
 nothing. Rows of a host with equal texts are one page, so copies of a document do not vote its lines into
-boilerplate; with ``each_row`` every row is a page. A line counts once per page. Lines are compared without the
+boilerplate; with ``each_row`` every row is a page. Near copies still vote as pages of their own; so a page
+that would keep less than ``min_left`` of its characters keeps its whole text (0: no such guard). A line counts once per page. Lines are compared without the
 spaces around them; blank lines are neither counted nor dropped.
 
 Lines and pages are counted under 128 bits of hash, so no line travels; a hot host, page or line is folded in
@@ -63,7 +64,7 @@ def boilerplate(
 
 def drop_boilerplate(
     docs: DataFrame, host: str = "source", text: str = "text",
-    ratio: float = RATIO, min_pages: int = MIN_PAGES, each_row: bool = False,
+    ratio: float = RATIO, min_pages: int = MIN_PAGES, each_row: bool = False, min_left: float = 0.0,
 ) -> DataFrame:
     """``docs`` with boilerplate taken out of ``text``, and ``n_lines``, ``n_dropped``."""
     docs = without(docs, "n_lines", "n_dropped", "boilerplate__", "kept__", "host__")
@@ -79,7 +80,11 @@ def drop_boilerplate(
     )
     n_lines = F.coalesce(F.size(_lines(text)), F.lit(0)).cast("bigint")
     lines = F.when(F.col(text).isNull(), F.lit(0).cast("bigint")).otherwise(n_lines)
-    out = joined.withColumn("kept__", kept).withColumn("n_lines", lines)
+    out = joined.withColumn("kept__", kept)
+    if min_left > 0:
+        left = F.aggregate("kept__", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
+        out = out.withColumn("kept__", F.when(left >= F.lit(min_left) * F.length(text), F.col("kept__")))
+    out = out.withColumn("n_lines", lines)
     out = out.withColumn(
         "n_dropped",
         F.when(F.col("kept__").isNull(), F.lit(0).cast("bigint")).otherwise(
