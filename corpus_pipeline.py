@@ -18,6 +18,9 @@ from wordloom.llm.tables import shared, table  # noqa: E402
 #: Corrected share of a text's n-grams that its best language must hold.
 MIN_LANGUAGE_SCORE = 0.25
 
+#: A document that line dedup would leave with less of its text than this keeps all of it.
+MIN_TEXT_LEFT = 0.5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -29,8 +32,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take boilerplate lines out of the texts; ``n_chars`` follows."""
-    out = line_dedup.drop_boilerplate(docs)
+    """Take boilerplate lines out of the texts; ``n_chars`` follows.
+
+    Near copies are still there in this stage and vote each other's lines out, so texts that would lose most stay whole.
+    """
+    out = line_dedup.drop_boilerplate(docs, min_left=MIN_TEXT_LEFT)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
