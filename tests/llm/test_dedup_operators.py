@@ -69,6 +69,37 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(clean, key=repr)
 
 
+def test_a_benchmark_of_many_blocks(spark):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(200)]
+    docs = [(i, "before " + items[i * 7][1] + " after") for i in range(20)] + [(50, "clean " * 40), (51, None)]
+    docs += [(60 + k, docs[0][1]) for k in range(200)]
+    got = decontamination.mark_contaminated(
+        frame(spark, docs), frame(spark, items, "item_id"), block_bytes=sum(len(t) for _, t in items) // 10)
+    # The blocks were met one after the other: what is left is one pass that counts words, and a join.
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, decontamination.summary(got, "doc_id").collect()), key=repr) == contamination(docs, items)
+
+
+def test_repeated_words_take_linear_time(spark):
+    import time
+
+    items = [(i, "same " * (1000 + i)) for i in range(50)]
+    began = time.time()
+    got = decontamination.mark_contaminated(frame(spark, [(1, "same " * 1_000_000)]), frame(spark, items, "item_id"))
+    row = decontamination.summary(got, "doc_id").first()
+    assert (row["n_words"], row["n_hit"], row["n_items"]) == (1_000_000, 1_000_000, 50)
+    assert time.time() - began < 30
+
+
+def test_decontamination_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "q w e r t", "k", {"m": 1})], "doc_id long, text string, key__ string, spans map<string,int>")
+    items = frame(spark, [(1, "q w e r t"), (2, "other words")], "item_id")
+    for block_bytes in (1 << 20, 8):
+        kept = decontamination.mark_contaminated(docs, items, block_bytes=block_bytes)
+        assert kept.columns == [*docs.columns, "contamination"]
+        assert kept.first()["key__"] == "k" and kept.first()["contamination"]["items"] == [1]
+
+
 def test_decontamination_of_nothing(spark):
     one, none = frame(spark, [(1, "a b")]), frame(spark, [(1, "a b")]).limit(0)
     items = none.withColumnRenamed("doc_id", "item_id")
