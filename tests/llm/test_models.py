@@ -171,6 +171,8 @@ def test_mixing_meets_targets(spark):
     share = (soft * (rate * tokens)[:, None]).sum(axis=0) / tokens.sum()
     assert share == pytest.approx([0.2, 0.5, 0.3], abs=1e-4)
     assert all(abs(r["copies"] - r["rate"]) < 1 for r in got)
+    assert {x["domain"] for x in got[0]["residual"]} == set(TARGETS)
+    assert all(abs(x["tokens"]) < 1e-3 * tokens.sum() for r in got for x in r["residual"])
     mixed = [max(r["posterior"]) for r in got if 900 <= r["doc_id"] < 920]
     assert np.mean(mixed) < np.mean([max(r["posterior"]) for r in got if r["doc_id"] < 300])
 
@@ -181,6 +183,8 @@ def test_mixing_edges(spark):
     assert {r["rate"] for r in alone.collect()} == {2.0}
     unmet = mixing.mix_documents(table, table, {"zz": 1.0}, domain="lang").collect()
     assert all(r["rate"] >= 0 for r in unmet) and sum(r["rate"] for r in unmet) < 1e-3
+    left = {x["domain"]: x["tokens"] for x in unmet[0]["residual"]}
+    assert left["zz"] == -sum(r["n_tokens"] for r in unmet) and set(left) == {"aa", "bb", "cc", "zz"}
     assert mixing.mix_documents(table.limit(0), table, TARGETS, domain="lang").count() == 0
 
 

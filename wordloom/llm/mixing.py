@@ -17,8 +17,10 @@ costs nothing but itself.
 
 Defined results: null and empty texts have no tokens, the prior as posterior, and a rate like
 others; rows without a label are not learned from; without any labelled row there are no domains and each rate is
-the budget's ratio; a target for a domain nobody belongs to can't be met and leaves a
-residual; domains without a target aim at zero; repeated rows are documents of their own.
+the budget's ratio; a target for a domain nobody belongs to can't be met and shows in
+``residual``; domains without a target aim at zero; repeated rows are documents of their own, also where
+their posteriors tie; an empty table gives an empty one; very long texts are read whole, in pieces; columns
+of the input named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -187,16 +189,24 @@ def mix_documents(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain: str = "domain",
     text: str = "text", budget: float = 1.0, keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """``keep``, ``n_tokens``, ``posterior``, ``rate`` and ``copies`` of every document.
+    """``keep``, ``n_tokens``, ``posterior``, ``rate``, ``copies`` and ``residual`` of every document.
 
-    ``copies`` rounds the rate up or down by a hash of the kept columns, so that the expected number
+    ``residual`` is the same in all rows: by domain, the expected tokens of the mix minus those asked for, so a mix
+    that could not be met shows, also for a domain that no labelled row has. ``copies`` rounds the rate up or down by a hash of the kept columns, so that the expected number
     of copies is the rate, and a retry gives the same.
     """
     model = learn_domains(labelled, domain, text)
-    docs = without(docs, "n_tokens", "posterior", "rate", "copies")
+    docs = without(docs, "n_tokens", "posterior", "rate", "copies", "residual")
     keep = tuple(c for c in keep if c in docs.columns)
     members = shared(posteriors(docs, model, *keep, text=text), "members")
-    rate, _, _ = fit_rates(members, model.domains, targets, budget)
+    rate, expected, target = fit_rates(members, model.domains, targets, budget)
+    unmet = dict(zip(model.domains, (expected - target).tolist(), strict=True))
+    if unknown := sorted(set(targets) - set(model.domains)):
+        total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
+        unmet |= {k: -targets[k] * budget * total for k in unknown}
+    pairs = sorted((str(k), float(v)) for k, v in unmet.items())
+    residual = F.array(*[F.struct(F.lit(k).alias("domain"), F.lit(v).alias("tokens")) for k, v in pairs])
     chance = F.pmod(F.xxhash64(*keep, F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = members.withColumn("rate", rate)
-    return out.withColumn("copies", F.floor(F.col("rate") + chance).cast("bigint"))
+    copies = F.floor(F.col("rate") + chance).cast("bigint")
+    return out.withColumn("copies", copies).withColumn("residual", residual.cast("array<struct<domain:string,tokens:double>>"))

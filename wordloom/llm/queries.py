@@ -98,7 +98,7 @@ def op5_source_mixing(spark, folder):
     """The domain of a document is its language, learned from the rows that name one."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     mixed = mixing.mix_documents(docs, docs, MIX_TARGETS, domain="lang")
-    return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies", "residual")
 
 
 @_query
