@@ -10,6 +10,7 @@ from wordloom.operators.facts import vocabulary_tokens
 from wordloom.operators.sentences import split_sentences
 from wordloom.operators.tokens import tokenize_spaced
 from wordloom.operators.views import occurrence_counts
+from wordloom.streaming.state import rocksdb_state
 
 
 def running_counts(texts: DataFrame, drop_ascii: bool = True) -> DataFrame:
@@ -26,18 +27,22 @@ def running_counts(texts: DataFrame, drop_ascii: bool = True) -> DataFrame:
 def start_running_counts(
     counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Write the counts that changed in each batch to a folder of that batch."""
+    """Write the counts that changed in each batch to a folder of that batch.
+
+    State grows with sentences and pairs, so it lies in RocksDB, not in the heap of the executors.
+    """
 
     def write(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    with rocksdb_state(counts.sparkSession):
+        return (
+            counts.writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(write)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -5,13 +5,16 @@ with the highest index, and the ``CONTEXTS`` different sentences with the lowest
 with what a new batch brings, whatever order sentences arrive in, so after any batch the
 rows equal ``occurrence_counts``, ``latest_context`` and ``top_contexts`` over all that has arrived. State is some
 hundred bytes a pair, however often the pair occurs; it lies in RocksDB on the executors and in the checkpoint.
+A call of Python and its reads and writes of state cost milliseconds, so a key is not a pair but one of
+``WORD_BUCKETS`` parts of a source's words; a batch reads and writes the parts that it touches.
 
 Sentences that arrive again are dropped before they are tokenised, by their key. As there is no event time,
 that key state grows with the sentences; an endless stream is better taken in by ``start_ingest``, which asks the
 store, and followed by ``VocabularyStore.refresh``.
 
-A pair is one key, so its sentences of one batch meet in one task; words are counted inside the sentence before, and the
-task reads them in pieces and holds five of them. ``files_per_batch`` bounds a batch.
+The sentences of one key in a batch meet in one task; words are counted inside the sentence before, and the
+task reads them in pieces and holds five of a pair. ``files_per_batch`` bounds a batch. Checkpoints of the
+earlier state, which had a key per pair, are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +31,15 @@ from pyspark.sql.streaming.query import StreamingQuery
 from wordloom.operators.facts import spaced_facts
 from wordloom.operators.sentences import split_sentences, with_sentence_id
 from wordloom.operators.views import CONTEXTS
+from wordloom.streaming.state import STORE_CLASS as STORE_CLASS  # where it was imported from before
+from wordloom.streaming.state import rocksdb_state
 
-STATE = "n long, last_idx long, last_id string, idxs array<long>, ids array<string>"
-STORE_CLASS = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = (
+    "pairs array<struct<word: string, n: long, last_idx: long, last_id: string,"
+    " idxs: array<long>, ids: array<string>>>"
+)
+#: Keys that the words of one source are dealt to.
+WORD_BUCKETS = 4
 
 
 def merged_pair(state: tuple | None, sentences: Iterator[tuple[int, str, int]], limit: int = CONTEXTS) -> tuple:
@@ -54,24 +62,29 @@ def merged_pair(state: tuple | None, sentences: Iterator[tuple[int, str, int]],
     return n, last_idx, last_id, [i for i, _ in kept], [s for _, s in kept]
 
 
-class RunningPair(StatefulProcessor):
-    """Keeps one (source, word); gives its row whenever a batch brings sentences of it."""
+class RunningPairs(StatefulProcessor):
+    """Keeps some words of a source; gives the row of each whenever a batch brings sentences of it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pair = handle.getValueState("pair", STATE)
+        self.words = handle.getValueState("words", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.pair.get() if self.pair.exists() else None
-        if state is not None:
-            state = (*state[:3], list(state[3]), list(state[4]))
+        states, touched = {}, {}
+        if self.words.exists():
+            for word, n, last_idx, last_id, idxs, ids in self.words.get()[0]:
+                states[word] = (n, last_idx, last_id, list(idxs), list(ids))
         for part in rows:
-            brought = zip(part["sentence_idx"].tolist(), part["sentence_id"].tolist(), part["n"].tolist(), strict=True)
-            state = merged_pair(state, brought)
-        self.pair.update(state)
-        n, _, last_id, idxs, ids = state
+            brought = {}
+            columns = [part[c].tolist() for c in ("word", "sentence_idx", "sentence_id", "n")]
+            for word, *sentence in zip(*columns, strict=True):
+                brought.setdefault(word, []).append(sentence)
+            for word, sentences in brought.items():
+                states[word] = touched[word] = merged_pair(states.get(word), sentences)
+        self.words.update(([(word, *state) for word, state in states.items()],))
+        n, _, last_ids, idxs, ids = zip(*touched.values(), strict=True)
         yield pd.DataFrame(
-            {"source_id": [key[0]], "word": [key[1]], "occurrence_count": [n], "context_sentence_id": [last_id],
-             "context_idxs": [idxs], "context_ids": [ids]})
+            {"source_id": [key[0]] * len(n), "word": list(touched), "occurrence_count": n,
+             "context_sentence_id": last_ids, "context_idxs": idxs, "context_ids": ids})
 
     def close(self) -> None:
         pass
@@ -95,8 +108,9 @@ def running_vocabulary(texts: DataFrame, part: str | None = None, drop_ascii: bo
             T.StructField("context_ids", T.ArrayType(T.StringType())),
         ]
     )
-    keyed = facts.select("source_id", "word", "sentence_idx", "sentence_id", "n").groupBy("source_id", "word")
-    return keyed.transformWithStateInPandas(RunningPair(), row, "append", "none")
+    bucket = F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket")
+    keyed = facts.select("source_id", bucket, "word", "sentence_idx", "sentence_id", "n").groupBy("source_id", "bucket")
+    return keyed.transformWithStateInPandas(RunningPairs(), row, "append", "none")
 
 
 def start_running_vocabulary(
@@ -107,10 +121,7 @@ def start_running_vocabulary(
     def write(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    conf = rows.sparkSession.conf
-    before = conf.get(STORE_CLASS, None)
-    conf.set(STORE_CLASS, ROCKSDB)  # the only store that keeps state of one's own making
-    try:
+    with rocksdb_state(rows.sparkSession):  # the only store that keeps state of one's own making
         return (
             rows.writeStream.outputMode("append")
             .option("checkpointLocation", checkpoint)
@@ -118,8 +129,6 @@ def start_running_vocabulary(
             .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
-    finally:
-        conf.unset(STORE_CLASS) if before is None else conf.set(STORE_CLASS, before)
 
 
 def latest_vocabulary(spark: SparkSession, path: str) -> DataFrame:
