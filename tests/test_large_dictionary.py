@@ -118,3 +118,12 @@ def test_a_sifted_lookup_finds_the_same(spark, rows, tmp_path):
     )
     moved = sift(words, build_sieve(matches, "term"), F.col("word"), "maybe").where("maybe").count()
     assert moved < 30
+
+
+def test_a_sifted_lookup_makes_its_words_once(spark, tmp_path):
+    matches = dictionary.term_matches(read_dictionary(spark, written(tmp_path, [entry(i) for i in range(5)])))
+    words = spark.range(100).select(F.concat(F.lit("w"), F.col("id") % 7).alias("word")).distinct()
+    found = dictionary.sifted_lookup(words, matches)
+    assert len(found.collect()) == 7
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Range (") == 1

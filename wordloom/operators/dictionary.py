@@ -92,7 +92,7 @@ def sifted_lookup(words: DataFrame, matches: DataFrame, match_reading: bool = Fa
 
     Words and lemmas are held against a Bloom filter of the terms. Rows that fail it have no entries and
     stay where they are; the rest is joined by shuffle. ``words`` is read once for either kind of
-    row, so it should be a stored table.
+    row, so it should be a stored table or end in a shuffle, which both then read.
     """
     sieve = build_sieve(matches, "term")
     own = sift(words, sieve, F.col("word"), "_maybe")

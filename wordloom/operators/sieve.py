@@ -39,10 +39,14 @@ def build_sieve(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
 
 
 def sift(rows: DataFrame, sieve: tuple[DataFrame, int], key: Column, into: str) -> DataFrame:
-    """Add ``into``: false for rows whose key is surely not among those of the sieve, or null."""
+    """Add ``into``: false for rows whose key is surely not among those of the sieve, or null.
+
+    The null test is inside the choice: as a condition of its own the optimizer would move it into the rows' own
+    plan, which then differs for hits and the rest, so that a shuffle in it ran once for either.
+    """
     table, blocks = sieve
     side = F.broadcast(table.select(F.col("block").alias("_block"), F.col("bits").alias("_bits")))
     found = rows.join(side, _block(key, blocks) == F.col("_block"), "left")
     own = _bits(key)
-    hit = F.coalesce(F.col("_bits").bitwiseAND(own) == own, F.lit(False)) & key.isNotNull()
+    hit = F.coalesce(F.when(key.isNotNull(), F.col("_bits").bitwiseAND(own) == own), F.lit(False))
     return found.withColumn(into, hit).drop("_block", "_bits")
