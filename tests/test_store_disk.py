@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.plans import store as stores
+from wordloom.operators import layout
+from wordloom.plans import ingest, store as stores
 from wordloom.plans.ingest import ingest_batch
 from wordloom.plans.store import VIEWS, VocabularyStore
 from wordloom.session import DROP_SHUFFLES, shuffles_dropped, work_folder
@@ -91,3 +92,35 @@ def test_cuts_are_in_order_and_a_source_is_never_cut(spark, store, monkeypatch):
     assert one._cuts(4) == []
     assert one.write_view("word_sources", one.view("word_sources"), VIEWS["word_sources"]).count() > 0
 
+
+def test_a_refresh_keeps_the_version_before_and_removes_older_ones(spark, store, rows):
+    def versions():
+        return sorted(d for d in os.listdir(f"{plain(store.root)}/views/word_sources") if d.startswith("version="))
+
+    read = []
+    for lines in (2, 4, 6):
+        ingest_batch(store, texts(spark, range(6), lines), drop_ascii=False)
+        read.append(store.refresh_view("word_sources"))
+    assert versions() == ["version=1", "version=2"]
+    assert read[1].count() > 0  # readers of the version before are not disturbed
+    store.write_view("word_sources", store.view("word_sources"))
+    assert versions() == ["version=1", "version=2", "version=3"]  # only a refresh removes
+
+
+def test_texts_of_many_known_sources_move_once(spark, store, rows, monkeypatch):
+    ingest_batch(store, texts(spark, range(40), 4), drop_ascii=False)
+    once = VocabularyStore(spark, work_folder(spark, "store"))
+    ingest_batch(once, texts(spark, range(40), 9), drop_ascii=False)
+    monkeypatch.setattr(layout, "BROADCAST_BYTES", 0)  # as if they were many
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        more = texts(spark, range(40), 9).withColumn("arrival", F.lit(0))
+        more = more.withColumn("source_id", F.col("source_id").cast("string"))
+        plan = ingest.fresh_sentences(more, store.progress())._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan, plan[:3000]
+        assert plan.count("Exchange hashpartitioning(source_id") == 2, plan[:3000]  # texts, and what is known of them
+        ingest_batch(store, texts(spark, range(40), 9), drop_ascii=False)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    columns = ["source_id", "sentence_idx", "word", "n"]
+    assert rows(store.facts(), *columns) == rows(once.facts(), *columns)
