@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,17 @@ def test_each_write_of_the_store_drops_its_shuffles(spark, store, monkeypatch):
     assert len(settings) >= 5 + len(VIEWS) and set(settings) == {"true"}
 
 
+def test_words_and_ids_of_a_file_are_in_its_dictionary(spark, store):
+    """A column of 50,000 different ids: over the usual dictionary, written once each, not once a row."""
+    path = work_folder(spark, "ids")
+    ids = spark.range(300_000, numPartitions=1).select(
+        F.md5(F.pmod(F.hash("id"), F.lit(50_000)).cast("string")).alias("word_id"))
+    stores._write(ids, path)
+    files = [f for f in os.listdir(plain(path)) if f.endswith(".parquet")]
+    column = [pq.ParquetFile(f"{plain(path)}/{f}").metadata.row_group(0).column(0) for f in files]
+    assert sum(c.total_compressed_size for c in column) < 300_000 * 6
+    assert not any("PLAIN" == e for c in column for e in c.encodings)
+
 
 @pytest.mark.parametrize("name", ["word_sources", "word_contexts"])
 def test_slices_make_the_same_view_in_the_same_ranges(spark, store, rows, monkeypatch, name):
