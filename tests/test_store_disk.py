@@ -81,10 +81,13 @@ def test_slices_make_the_same_view_in_the_same_ranges(spark, store, rows, monkey
     ingest_batch(store, texts(spark, range(15, 45), 12), drop_ascii=False)
     written.clear()
     got = store.refresh_view(name)  # out of the last version and what is new
-    assert [mode for _, mode in written] == ["overwrite"] + ["append"] * (stores.SLICES - 1)
+    modes = ["overwrite"] + ["append"] * (stores.SLICES - 1)
+    assert [mode for _, mode in written] == (modes if name == "word_sources" else modes[:1])
     whole = store.view(name)
     assert rows(got, *whole.columns) == rows(whole) and got.count() > 0
+    written.clear()
     again = store.write_view(name, store.view(name), VIEWS[name])
+    assert [mode for _, mode in written] == modes
     assert rows(again, *whole.columns) == rows(whole)
     # A source lies in one slice: its pairs are in files of one write.
     writes = again.select("source_id", F.regexp_extract(F.input_file_name(), "part-[0-9]+-([0-9a-f-]+)-c", 1).alias("w"))
